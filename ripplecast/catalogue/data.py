@@ -396,7 +396,10 @@ def reach_author(spark, d):
 
 
 def tweet_reach(spark, d):
-    return ad.proc(spark, d).select("tweet_id", "reach")
+    first_ref = F.try_element_at("referenced_tweets", F.lit(1))["id"]
+    posts = ad.tw(spark, d).withColumn("own_ref", F.coalesce(first_ref, F.lit(0)))
+    reached = rc.tweet_reach(posts, ad.us(spark, d), ad.rti(spark, d), F.size("topics") > 0)
+    return reached.select("tweet_id", "reach")
 
 
 def cascade_join(spark, d):

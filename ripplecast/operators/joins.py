@@ -13,9 +13,10 @@ SMALL_BYTES = 64 << 20  # below this a table is a handful of scan tasks and is n
 def planned_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a DataFrame, None where it is not reachable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
+        plan = df._jdf.queryExecution().optimizedPlan()
+    except AttributeError:  # a client without a JVM of its own
         return None
+    return int(plan.stats().sizeInBytes())
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -11,7 +11,7 @@ from ripplecast.functions import topics as tg
 from ripplecast.functions.sentiment import sentiment_class, sentiment_score
 from ripplecast.operators.filters import OUTLIER_BOUNDS, outlier_filter
 from ripplecast.operators.joins import author_join, retweet_info
-from ripplecast.operators.reach import tweet_reach
+from ripplecast.operators.reach import reshare_reach, total_reach
 from ripplecast.sources.tables import sink_by_year
 
 PROCESSED_COLUMNS = [
@@ -75,18 +75,24 @@ def reshare_info(
 def enrich(
     tweets: DataFrame, users: DataFrame, info: DataFrame, lexicon: DataFrame
 ) -> DataFrame:
-    """One wide row per post with a known author; one lazy plan."""
+    """One wide row per post with a known author; one lazy plan.
+
+    Posts meet their re-share totals and sentiment scores on ``tweet_id``, so they are shuffled
+    once for both, and their authors by broadcast while the user table is small.
+    """
     first_ref = F.try_element_at("referenced_tweets", F.lit(1))["id"]
+    has_topics = F.size("topics") > 0
     posts = tweets.withColumn("own_ref", F.coalesce(first_ref, F.lit(0)))
-    posts = tweet_reach(posts, users, info, F.size("topics") > 0)
-    posts = sentiment_column(topic_columns(posts), tweets, lexicon)
+    posts = posts.join(reshare_reach(posts, info, has_topics), "tweet_id", "left")
+    posts = author_join(sentiment_column(posts, tweets, lexicon), users, keys=tweets)
     posts = posts.withColumns(
         {
+            "reach": total_reach("followers", has_topics),
             "hashtags": tx.has_hashtag(F.col("text")),
             "popularity": tx.popularity(F.col("retweet_count")),
         }
     )
-    return account_age(time_parts(author_join(posts, users, keys=tweets))).select(*PROCESSED_COLUMNS)
+    return account_age(time_parts(topic_columns(posts))).select(*PROCESSED_COLUMNS)
 
 
 def process(

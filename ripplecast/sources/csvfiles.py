@@ -17,6 +17,7 @@ from ripplecast.operators.ordering import keep_first
 
 ORDINAL = "ordinal"
 _STAMP = "yyyy-MM-dd HH:mm:ss"
+_NEVER_NULL = ("device", "tweet_type")  # CSV cannot tell an unknown class, '', from null
 
 
 def _raw(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
@@ -36,6 +37,8 @@ def _typed(name: str, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         parse = tx.parse_list if isinstance(kind.elementType, T.StringType) else tx.parse_ref_list
         return parse(value)
+    if name in _NEVER_NULL:
+        return F.coalesce(value, F.lit(""))
     return value.try_cast(kind)
 
 
