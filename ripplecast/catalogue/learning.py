@@ -1,3 +1,178 @@
-"""Queries for feature building, selection, balancing and models."""
+"""Queries for feature building, selection, balancing and models.
 
-QUERIES = {}
+Model queries fit on all years but the last and score the last. Tree counts, depths and grids
+are small here so that a check takes seconds; the library's defaults are the full ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ripplecast import adapters as ad
+from ripplecast.models import balance, classifiers, evaluate, features, selection
+from ripplecast.operators import filters as fl
+from ripplecast.operators.ordering import top_k
+from ripplecast.plans import predict
+from ripplecast.session import cut_lineage, scratch_path
+
+LABEL = features.LABEL
+NUMERIC = features.NUMERIC
+MODEL_COLUMNS = [*NUMERIC, "hashtags_True", "verified_True", "sentiment_Neutral",
+                 "sentiment_Positive"]
+DEPTH, TREES, ROUNDS, BOOSTS, FOLDS = 5, 10, 5, 5, 3
+
+
+def kept_rows(spark: SparkSession, d: str) -> DataFrame:
+    return predict.model_rows(fl.outlier_filter(ad.proc(spark, d)))
+
+
+def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train and test rows from one stored copy, as between stages of a real run."""
+    stored = cut_lineage(kept_rows(spark, d))
+    return predict.prepare(*features.split_by_last_year(stored))
+
+
+def matrices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    train, test, _ = prepared(spark, d)
+    return tuple(features.assemble_features(df, MODEL_COLUMNS).persist() for df in (train, test))
+
+
+def standardize(spark, d):
+    train, test, _ = prepared(spark, d)
+    both = train.unionByName(test)
+    return both.select("tweet_id", *[F.round(c, 6).alias(c) for c in NUMERIC])
+
+
+def chi2_top10(spark, d):
+    train, _, coded = prepared(spark, d)
+    return selection.chi2_top10(train, coded).withColumn("score", F.round("score", 6))
+
+
+def anova_top3(spark, d):
+    train, _, _ = prepared(spark, d)
+    return selection.anova_top3(train, NUMERIC).withColumn("score", F.round("score", 6))
+
+
+def tree_importance_top3(spark, d):
+    return selection.tree_importance_top3(prepared(spark, d)[0], NUMERIC, trees=TREES)
+
+
+def lasso_top3(spark, d):
+    return selection.lasso_top3(prepared(spark, d)[0], NUMERIC, steps=4, folds=FOLDS)
+
+
+def rfe_top3(spark, d):
+    return selection.rfe_top3(prepared(spark, d)[0], NUMERIC, trees=TREES)
+
+
+def feature_vote(spark, d):
+    """Votes of four selectors with closed forms: F, spread, mean and largest value."""
+    rows = kept_rows(spark, d)
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in NUMERIC]
+    )
+    long = rows.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("feature")
+    scores = {
+        "spread": long.agg(F.stddev_pop("v").alias("score")),
+        "mean": long.agg(F.avg("v").alias("score")),
+        "largest": long.agg(F.max("v").alias("score")),
+    }
+    kept = {name: top_k(score, 3) for name, score in scores.items()}
+    kept["ANOVA"] = selection.anova_top3(rows, NUMERIC)
+    cast = selection.votes(kept, NUMERIC, spark)
+    return selection.feature_vote(cast, discards_to_drop=2)
+
+
+def assemble_features(spark, d):
+    train, test, _ = prepared(spark, d)
+    both = features.assemble_features(train.unionByName(test), MODEL_COLUMNS)
+    values = {c: F.round(features.feature_value(i), 6) for i, c in enumerate(MODEL_COLUMNS)}
+    return both.select("tweet_id", LABEL, *[v.alias(c) for c, v in values.items()])
+
+
+def smote(spark, d):
+    made = balance.smote(matrices(spark, d)[0])
+    values = [F.round(features.feature_value(i), 6).alias(c) for i, c in enumerate(MODEL_COLUMNS)]
+    return made.select(LABEL, *values)
+
+
+def _scored(make):
+    def query(spark, d):
+        train, test = matrices(spark, d)
+        model = make(train).fit(train)
+        return model.transform(test).select("tweet_id", LABEL, F.col("prediction").cast("int"))
+
+    return query
+
+
+def kfold_assign(spark, d):
+    rows = kept_rows(spark, d).select("tweet_id", "timestamp")
+    return evaluate.kfold_assign(rows, ["timestamp", "tweet_id"]).select("tweet_id", "fold")
+
+
+def _folded(spark, d) -> DataFrame:
+    return evaluate.kfold_assign(matrices(spark, d)[0], ["tweet_id"], FOLDS)
+
+
+def compare_models(spark, d):
+    folded = _folded(spark, d)
+    models = classifiers.base_models(folded.count(), DEPTH, TREES, ROUNDS, BOOSTS)
+    return evaluate.comparison_summary(evaluate.compare_models(folded, models))
+
+
+def grid_search(spark, d):
+    grid = {"maxDepth": [DEPTH], "featureSubsetStrategy": ["2", "3"], "numTrees": [TREES]}
+    best = evaluate.grid_search(_folded(spark, d), grid, folds=FOLDS)
+    rows = [(name, str(value)) for name, value in sorted(best.items())]
+    return spark.createDataFrame(rows, "parameter string, value string")
+
+
+def train_evaluate(spark, d):
+    train, test = matrices(spark, d)
+    model = classifiers.extra_trees(TREES, DEPTH, "3", 3, bootstrap=True)
+    scored, _ = evaluate.train_evaluate(model, train, test, scratch_path(spark, "model"))
+    return evaluate.classification_report(scored)
+
+
+def classification_report(spark, d):
+    """The report on a fixed rule's predictions."""
+    rows = kept_rows(spark, d)
+    guess = F.when((F.col("followers") % 3 == 0) & (F.col("like_count") > 200), 0).otherwise(1)
+    report = evaluate.classification_report(rows.withColumn("prediction", guess))
+    return report.withColumns({m: F.round(m, 9) for m in ("precision", "recall", "f1")})
+
+
+def batch_predict(spark, d):
+    train, test = matrices(spark, d)
+    path = scratch_path(spark, "model")
+    evaluate.train_evaluate(classifiers.forest(TREES, DEPTH), train, test, path)
+    scored = evaluate.batch_predict(path, test)
+    return scored.select("tweet_id", F.col("prediction").cast("int"))
+
+
+QUERIES = {
+    "standardize": standardize,
+    "chi2_top10": chi2_top10,
+    "anova_top3": anova_top3,
+    "tree_importance_top3": tree_importance_top3,
+    "lasso_top3": lasso_top3,
+    "rfe_top3": rfe_top3,
+    "feature_vote": feature_vote,
+    "assemble_features": assemble_features,
+    "smote": smote,
+    "model_lr": _scored(lambda train: classifiers.logistic(train.count())),
+    "model_lda": _scored(lambda train: classifiers.LinearDiscriminant()),
+    "model_cart": _scored(lambda train: classifiers.cart(DEPTH)),
+    "model_nb": _scored(lambda train: classifiers.gaussian_bayes()),
+    "model_adaboost": _scored(lambda train: classifiers.AdaBoost(ROUNDS)),
+    "model_gbm": _scored(lambda train: classifiers.boosted_trees(BOOSTS)),
+    "model_rf": _scored(lambda train: classifiers.forest(TREES, DEPTH)),
+    "model_extra_trees": _scored(lambda train: classifiers.extra_trees(TREES, DEPTH)),
+    "kfold_assign": kfold_assign,
+    "compare_models": compare_models,
+    "grid_search": grid_search,
+    "train_evaluate": train_evaluate,
+    "classification_report": classification_report,
+    "batch_predict": batch_predict,
+}
