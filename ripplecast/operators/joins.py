@@ -10,27 +10,31 @@ SALTS = 64
 SMALL_BYTES = 64 << 20  # below this a table is a handful of scan tasks and is not salted
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a DataFrame, None where it is not reachable."""
+def _plan(df: DataFrame):
+    """Catalyst's optimized plan, None for a client without a JVM of its own."""
     try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-    except AttributeError:  # a client without a JVM of its own
+        return df._jdf.queryExecution().optimizedPlan()
+    except AttributeError:
         return None
-    return int(plan.stats().sizeInBytes())
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is within the session's own broadcast threshold."""
-    size = planned_bytes(df)
-    if size is None:
+    """Whether Catalyst's estimate is within the session's own broadcast threshold."""
+    plan = _plan(df)
+    if plan is None:
         return False
     conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return size <= conf.autoBroadcastJoinThreshold()
+    return int(plan.stats().sizeInBytes()) <= conf.autoBroadcastJoinThreshold()
 
 
 def is_small(df: DataFrame) -> bool:
-    size = planned_bytes(df)
-    return size is not None and size <= SMALL_BYTES
+    """Whether all tables read for a DataFrame come to no more than a few scan tasks."""
+    plan = _plan(df)
+    if plan is None:
+        return False
+    leaves = plan.collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(sizes) <= SMALL_BYTES
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ripplecast.operators.joins import HOT_ROWS, hot_keys, is_small
 from ripplecast.session import cut_lineage
 
+RANGES = 64
 _ROWS_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -91,6 +92,11 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -
     )
 
 
+def range_count(df: DataFrame) -> int:
+    """Ranges an ordered pass over ``df`` is split into."""
+    return 1 if is_small(df) else RANGES
+
+
 def value_buckets(df: DataFrame, value: str, parts: int) -> list[float]:
     """Ascending cut points that split the rows of ``df`` about evenly by value."""
     probabilities = [i / parts for i in range(1, parts)]
@@ -111,10 +117,13 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
 
 
 def running_total(
-    df: DataFrame, value: str, weight: str, name: str = "upto", parts: int = 64
+    df: DataFrame, value: str, weight: str, name: str = "upto", parts: int | None = None
 ) -> DataFrame:
-    """Add the inclusive running sum of ``weight`` in ascending order of distinct ``value``."""
-    cuts = value_buckets(df, value, parts)
+    """Add the inclusive running sum of ``weight`` in ascending order of distinct ``value``.
+
+    The values are totalled in ranges, and the range totals added up; a small table is one range.
+    """
+    cuts = value_buckets(df, value, range_count(df) if parts is None else parts)
     placed = df.withColumn("_bucket", bucket_of(F.col(value), cuts))
     sums = placed.groupBy("_bucket").agg(F.sum(weight).alias("_w"))  # at most ``parts`` rows
     before = sums.select(
