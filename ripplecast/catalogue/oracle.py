@@ -167,11 +167,11 @@ facts AS (
   FROM casc GROUP BY ref),
 times AS (
   SELECT twt.*, facts.*,
-    abs(epoch_us(twt.timestamp) - epoch_us(last)) / 86400000000.0 AS t_all,
+    abs(epoch_us(twt.timestamp) - epoch_us(last)) AS t_all,
     CASE WHEN n = 1 THEN abs(epoch_us(twt.timestamp) - epoch_us(last))
-      ELSE abs(epoch_us(twt.timestamp) - epoch_us(mid)) END / 86400000000.0 AS t_one,
+      ELSE abs(epoch_us(twt.timestamp) - epoch_us(mid)) END AS t_one,
     CASE WHEN n = 1 THEN abs(epoch_us(twt.timestamp) - epoch_us(last))
-      ELSE abs(epoch_us(mid) - epoch_us(last)) END / 86400000000.0 AS t_two
+      ELSE abs(epoch_us(mid) - epoch_us(last)) END AS t_two
   FROM twt JOIN facts ON tweet_id = ref),
 texts AS (
   SELECT 'document' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS part, text FROM documents
@@ -228,9 +228,9 @@ _AGE = half_even("coalesce(sum(ss) / sum(sn), 0.0)") + " AS account_age_mean"
 _HALVES = f"""{half_even("coalesce(avg(f1), 0.0)")} AS first_half_followers_mean,
   {half_even("coalesce(avg(f2), 0.0)")} AS second_half_followers_mean"""
 _PCT_TIME = half_even("avg(t_one) / nullif(avg(t_all), 0.0)")
-_TIMES = f"""{half_even("coalesce(avg(t_one), 0.0)")} AS half_time_days,
-  {half_even("coalesce(avg(t_two), 0.0)")} AS second_half_time_days,
-  {half_even("coalesce(avg(t_all), 0.0)")} AS total_time_days,
+_TIMES = f"""{half_even("coalesce(avg(t_one) / 86400000000.0, 0.0)")} AS half_time_days,
+  {half_even("coalesce(avg(t_two) / 86400000000.0, 0.0)")} AS second_half_time_days,
+  {half_even("coalesce(avg(t_all) / 86400000000.0, 0.0)")} AS total_time_days,
   {half_even(f"coalesce({_PCT_TIME} * 100.0, 0.0)")} AS pct_time_to_half"""
 
 

@@ -154,13 +154,17 @@ def retweeter_characteristics(
     """Cascade measures per year and topic over posts re-shared more than ``above`` times.
 
     A topic seen in a year with no such post has zeros. ``ord`` is the topic's report order.
+    Above zero few posts are left, so only their re-shares are ordered.
     """
-    facts = cascade_facts(info, order, hot_rows)
     cells = ["year", "topics_cleaned"]
     known = posts.where(F.col("topics_cleaned").isNotNull())
     popular = known.where(F.col("retweet_count") > above).select(
         *cells, "tweet_id", F.col("timestamp")
     )
+    if above > 0:
+        wanted = popular.select(F.col("tweet_id").alias("ref_tweet_id"))
+        info = info.join(wanted, "ref_tweet_id", "left_semi")
+    facts = cascade_facts(info, order, hot_rows)
     names = list(_measures())
     measured = _grouped(cascade_times(popular, facts), cells, names)
     ranks = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topics_cleaned")) - 1
