@@ -47,7 +47,7 @@ def page(ids, users):
     metrics = {"like_count": 1, "reply_count": 0, "retweet_count": 2, "quote_count": 0}
     data = [
         {"id": str(i), "text": f"t\n{i}", "author_id": str(i % 10), "lang": "en",
-         "created_at": f"20{20 + i % 2}-01-01T00:00:00.000Z", "source": "Twitter Web App",
+         "created_at": f"20{20 + i % 2}-01-01T00:00:00.000Z", "source": "Some Web App",
          "public_metrics": metrics, "context_annotations": None, "referenced_tweets": None}
         for i in ids
     ]
