@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplecast.operators.joins import lookup_join
 
+# Classes in report order.
 SENTIMENTS = ["Negative", "Neutral", "Positive"]
 
 # Class bounds, score normalisation, weight of a negated word and its reach.
@@ -38,34 +39,27 @@ def sentiment_score(
 ) -> DataFrame:
     """One row (key, compound) per post; ``lexicon`` has columns word, valence.
 
-    A token carries the tokens just before it, so negation needs no window: the only rows
+    A post's tokens carry the places of its negators, so negation needs no window: the only rows
     that move are partial sums per post.
     """
-    deny = F.array(*[F.lit(word) for word in negators])
     tokens = F.split(F.lower(F.col(text)), r"\s+")
-    cells = posts.select(key, tokens.alias("_tokens")).select(
-        key,
-        F.explode_outer(
-            F.transform(
-                F.col("_tokens"),
-                lambda word, at: F.struct(
-                    word.alias("word"),
-                    F.arrays_overlap(
-                        F.slice(
-                            F.col("_tokens"),
-                            F.greatest(at - REACH + 1, F.lit(1)),
-                            F.least(at, F.lit(REACH)),
-                        ),
-                        deny,
-                    ).alias("negated"),
-                ),
-            )
-        ).alias("_cell"),
+    places = F.transform(
+        F.col("_tokens"), lambda word, at: F.when(word.isin(list(negators)), at)
+    )
+    words = (
+        posts.select(key, tokens.alias("_tokens"))
+        .withColumn("_denied", F.filter(places, lambda at: at.isNotNull()))
+        .select(key, "_denied", F.posexplode_outer("_tokens").alias("_at", "word"))
+    )
+    negated = F.exists(
+        "_denied", lambda at: (at < F.col("_at")) & (at >= F.col("_at") - REACH)
     )
-    words = cells.select(key, F.col("_cell.word").alias("word"), F.col("_cell.negated").alias("negated"))
     weighted = lookup_join(words, lexicon.select("word", "valence"), "word", "left").select(
         key,
-        (F.col("valence") * F.when(F.col("negated"), F.lit(NEGATED)).otherwise(F.lit(1.0))).alias("v"),
+        F.when(
+            F.col("valence").isNotNull(),
+            F.col("valence") * F.when(negated, F.lit(NEGATED)).otherwise(F.lit(1.0)),
+        ).alias("v"),
     )
     total = F.coalesce(F.sum("v"), F.lit(0.0))
     return weighted.groupBy(key).agg(total.alias("_s")).select(

@@ -49,7 +49,8 @@ def cascade_facts(
 ) -> DataFrame:
     """One row per shared post: size, sums, half means, middle and last time."""
     needed = list(dict.fromkeys(["ref_tweet_id", *order, "followers", "seniority"]))
-    placed = cascade_position(info.select(*needed), order, hot_rows)
+    shares = info.where(F.col("ref_tweet_id").isNotNull()).select(*needed)
+    placed = cascade_position(shares, order, hot_rows)
     followers, stamp = F.col("followers"), F.col("timestamp")
     return placed.groupBy("ref_tweet_id").agg(
         F.max("n").alias("n"),

@@ -26,7 +26,9 @@ def reshare_reach(
     Followers are summed once per shared post. A post gets its own sum and, if it spreads itself
     and refers to another post, that one's; both are totalled before the posts themselves move.
     """
-    sums = info.groupBy("ref_tweet_id").agg(F.sum("followers").alias("_sum"))
+    # both uses below then read the same aggregate, which Spark runs once
+    shares = info.where(F.col("ref_tweet_id").isNotNull())
+    sums = shares.groupBy("ref_tweet_id").agg(F.sum("followers").alias("_sum"))
     other = (F.col(own_ref) != 0) & (F.col(own_ref) != F.col("tweet_id"))
     links = tweets.where(_spreads(has_topics) & other).select(
         "tweet_id", F.col(own_ref).alias("ref_tweet_id")
