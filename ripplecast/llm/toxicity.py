@@ -82,11 +82,13 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     rows: int = 12_000,
-    passes: int = 4,
-    alpha: float = 0.3,
+    passes: int = 3,
+    alpha: float = 2.0,
     beta: float = 1.0,
-    l1: float = 2.0,
-    l2: float = 0.1,
+    l1: float = 6.0,
+    l2: float = 0.0,
+    least_docs: int = 4,
+    toxic_weight: float = 2.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -94,7 +96,8 @@ def fit(
     """Learn from the labelled rows; ``labels`` holds the ids that may be learned from.
 
     Only ids and labels are sorted, the chosen ones (at most ``rows``) are broadcast to the
-    documents, and one task learns from their features.
+    documents, and one task learns from their features, without those of fewer than
+    ``least_docs`` of them. ``toxic_weight`` is how much more a toxic document counts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y"))
@@ -105,8 +108,9 @@ def fit(
     draw = F.xxhash64("_id")
     parts = [known.where(f"_y = {y}").orderBy(draw, "_id").limit(rows // 2) for y in (0, 1)]
     chosen = stored(parts[0].unionByName(parts[1]), "sample")
-    weight = {y: totals[y] / min(totals[y], rows // 2) for y in (0, 1)}
     mean = sum(totals.values()) / sum(min(n, rows // 2) for n in totals.values())
+    weight = {y: totals[y] / min(totals[y], rows // 2) / mean for y in (0, 1)}
+    weight[1] *= toxic_weight
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -117,11 +121,15 @@ def fit(
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(d, y, np.frombuffer(at, np.int32)) for b in batches for d, y, at in zip(*(c.to_pylist() for c in b.columns))]
         held.sort(key=lambda row: (row[0], row[1], row[2].tobytes()))
+        seen = np.zeros(1 << BITS, dtype=np.int32)
+        for _, _, at in held:
+            seen[at] += 1
+        held = [(y, at[seen[at] >= least_docs]) for _, y, at in held]
         learner = Learner(alpha, beta, l1, l2)
         for turn in range(passes):
             for place in np.random.default_rng(turn).permutation(len(held)):
-                _, y, at = held[place]
-                learner.learn(at, y, weight[y] / mean)
+                y, at = held[place]
+                learner.learn(at, y, weight[y])
         w = learner.weights(np.arange((1 << BITS) + 1))
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(w[kept])], ["place", "value"])
