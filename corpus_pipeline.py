@@ -30,7 +30,7 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without blanks stays: the longest."""
     kind = dict(docs.dtypes)["doc_id"]
-    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index")).create(kind)
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index")).open(kind)
     return exact_dedup.keep_one(docs, index)
 
 

@@ -1,10 +1,10 @@
 """Exact de-duplication against a persistent digest index, bucketed and sorted by digest.
 
-The index holds one row per distinct text: its SHA-256 and the document that stays. It is a folder
-of one Parquet table per batch, each cut into the same buckets and sorted by digest, so a new
-batch is shuffled once, to the index's buckets, and meets the index in a sort-merge anti-join in
-which the index itself is not shuffled. Digests that are not in it yet are appended as one more
-table. Documents of earlier batches stay.
+The index holds one row per distinct text: its SHA-256, the document that stays and the batch that
+brought it. It is a Parquet table cut into buckets and sorted by digest, so a new batch is shuffled
+once, to the index's buckets, and meets the index in a sort-merge anti-join in which the index
+itself is not shuffled. Digests that are not in it yet are appended. Documents of earlier batches
+stay.
 
 Texts are equal when they are identical without blanks (space, and U+0009 to U+000D). Of equal
 texts in a batch, the one with the most code points stays, then the one with the smallest id.
@@ -41,64 +41,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class DigestIndex:
-    """A persistent index under a table-name prefix in the session's warehouse or an own folder."""
+    """A table of (digest, keep_id, batch) in a folder of its own, bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.batches = 0
-
-    def _name(self, batch: int) -> str:
-        mark = self.path.rsplit("/", 1)[-1].replace("-", "_")
-        return f"{mark}_{batch}"
-
-    def rows(self, batch: int | None = None) -> DataFrame | None:
-        """(digest, keep_id, batch) of one batch or of all; None while the index is empty."""
-        found = None
-        for number in range(self.batches) if batch is None else (batch,):
-            part = self.spark.table(self._name(number)).withColumn("batch", F.lit(number))
-            found = part if found is None else found.unionByName(part)
-        return found
-
-    def create(self, id_type: str = "long") -> DigestIndex:
-        """Start the index with a batch of no rows, so that every later one takes the same path."""
-        none = self.spark.createDataFrame([], f"doc_id {id_type}, digest string, length int")
-        self.append(none)
+        self.name = self.path.rsplit("/", 1)[-1].replace("-", "_")
+
+    def open(self, id_type: str = "bigint") -> DigestIndex:
+        """Name the table for this session; its files, if there are any, come from earlier ones."""
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{self.name}` (digest STRING, keep_id {id_type}, batch INT) "
+            f"USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (digest) SORTED BY (digest) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        )
         return self
 
-    def append(self, prints: DataFrame) -> None:
-        """Add the digests of a batch (``fingerprints``) that the index does not hold."""
-        order = F.struct((-F.col("length")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
-        fresh = prints.groupBy("digest").agg(F.min(order).alias("first"))
-        fresh = fresh.select("digest", F.col("first")["d"].alias("keep_id"))
-        for number in range(self.batches):  # the index's side of each join needs no shuffle
-            known = self.spark.table(self._name(number)).hint("merge")
-            fresh = fresh.join(known, "digest", "left_anti")
-        (
-            fresh.repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .option("path", f"{self.path}/batch={self.batches}")
-            .option("compression", "zstd")
-            .saveAsTable(self._name(self.batches))
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, prints: DataFrame) -> int:
+        """Add the digests of a batch (``fingerprints``) that the index lacks; the batch's number.
+
+        The batch is shuffled to the index's buckets; the index's side of the join is not.
+        """
+        order = F.struct(
+            (-F.col("length")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d")
+        )
+        batch = 1 + (self.rows().agg(F.max("batch")).first()[0] or 0)
+        found = prints.groupBy("digest").agg(F.min(order).alias("first"))
+        fresh = found.select("digest", F.col("first.d").alias("keep_id"), F.lit(batch).alias("batch")).join(
+            self.rows().hint("merge"), "digest", "left_anti"
         )
-        self.batches += 1
-
-    def open(self) -> DigestIndex:
-        """Find the batches that an earlier session left in the folder."""
-        jvm = self.spark.sparkContext._jvm
-        while True:
-            place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={self.batches}/_SUCCESS")
-            if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-                return self
-            name = self._name(self.batches)
-            if not self.spark.catalog.tableExists(name):
-                kind = self.spark.read.parquet(f"{self.path}/batch={self.batches}").schema["keep_id"].dataType
-                self.spark.sql(
-                    f"CREATE TABLE {name} (digest STRING, keep_id {kind.simpleString()}) USING parquet "
-                    f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
-                    f"LOCATION '{self.path}/batch={self.batches}'"
-                )
-            self.batches += 1
+        fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
+        return batch
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,10 +83,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     after works on digests. A very large group is a skewed join key, which AQE splits.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    index.append(prints)
+    batch = index.append(prints)
     sizes = prints.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = index.rows().join(sizes, "digest")
-    own = F.col("batch") == index.batches - 1
+    own = F.col("batch") == batch
     return prints.join(groups, "digest").select(
         "doc_id",
         "keep_id",

@@ -43,7 +43,7 @@ def op5_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index")).create()
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index")).open()
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
 
 
