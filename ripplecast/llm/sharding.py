@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import running
+from ripplecast.llm.common import running, stored
 
 
 @dataclass(frozen=True)
@@ -142,5 +142,5 @@ def place(
         moved.alias("grown_shard"),
     )
     one = F.lit(1).cast("long")
-    slots = running(placed, ["doc_id", "text_crc32", "size"], {"slot": one}, by=["shard"])
+    slots = running(stored(placed, "placed"), ["doc_id", "text_crc32", "size"], {"slot": one}, by=["shard"])
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
