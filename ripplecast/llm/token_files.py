@@ -34,15 +34,28 @@ from ripplecast.session import scratch_path
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of ranks below 2**32."""
+def pack(ranks: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Control bytes and data bytes of documents of ``counts`` ranks (below 2**32) each."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
-    codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = lengths - 1
-    control = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)
-    return np.bitwise_or.reduce(control, axis=1).astype(np.uint8).tobytes(), data.tobytes()
+    widest = 1 + int(np.searchsorted([1 << 8, 1 << 16, 1 << 24], ranks.max(initial=0), side="right"))
+    lengths = np.ones(len(ranks), dtype=np.uint8)
+    for bits in range(8, 8 * widest, 8):
+        lengths += ranks >> np.uint32(bits) > 0
+    used = np.arange(widest) < lengths[:, None]
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :widest][used].tobytes()
+    groups = -(-counts // 4)
+    padding = 4 * groups - counts  # after each document, to whole control bytes
+    place = np.arange(len(ranks)) + np.repeat(np.cumsum(padding) - padding, counts)
+    codes = np.zeros(4 * int(groups.sum()), dtype=np.uint8)
+    codes[place] = lengths - 1
+    codes = codes.reshape(-1, 4)
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.cumsum(counts)].tolist()
+    stops = np.cumsum(groups).tolist()
+    return [
+        (control[a:b], data[c:d])
+        for a, b, c, d in zip([0, *stops[:-1]], stops, [0, *ends[:-1]], ends)
+    ]
 
 
 def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -91,9 +104,9 @@ def ranking(ids: DataFrame, vocabulary: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
         total = np.zeros(coder.size, dtype=np.int64)
-        for batch in slices(batches, "ids"):
-            for coded in batch.column(0):
-                total += np.bincount(coder.ids(coded.as_py()), minlength=coder.size)
+        for batch in slices(batches, "ids", 2 << 20):
+            ids = coder.ids(b"".join(batch.column(0).to_pylist()))
+            total += np.bincount(ids, minlength=coder.size)
         tokens = np.arange(coder.size)
         yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(total)], ["token", "n"])
 
@@ -125,9 +138,10 @@ def write_archive(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, local, part = codec(vocabulary), 0, TaskContext.get().partitionId()
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", 2 << 20):
             sizes = batch.column(1).to_numpy(zero_copy_only=False)
-            packed = [pack(rank_of.value[coder.ids(x.as_py())]) for x in batch.column(2)]
+            ids = coder.ids(b"".join(batch.column(2).to_pylist()))
+            packed = pack(rank_of.value[ids], sizes)
             starts = local + np.cumsum(sizes) - sizes
             local += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
