@@ -8,28 +8,35 @@ units in order, and frequent units need to be encoded only once.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
 
 import numpy as np
 
-CACHED_UNITS = 400_000  # units kept by one Python worker, about 60 MB
+CACHED_UNITS = 1_000_000  # units kept by one Python worker, about 200 MB
 _LONGEST_CACHED = 48  # characters
 
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNIT = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+_ALONE = "\0"  # mark of a unit that is encoded by itself
 
 
-def units(text: str) -> list[str]:
-    """The text, cut before every ASCII blank that follows a non-blank character."""
-    if _ODD.search(text) is None and "  " not in text and " \n" not in text and "\n\n" not in text and "\n " not in text:
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[piece if piece[:1] == "\n" else " " + piece for piece in rest]]
+def unit_keys(text: str) -> list[str]:
+    """The text, cut before ASCII blanks that follow a non-blank character, as keys of units.
+
+    A key is the unit without its leading space, or the unit if it starts with a line end, or the
+    mark and the unit. Ordinary prose is cut by two string operations.
+    """
+    if _ODD.search(text) is None and not any(run in text for run in ("  ", " \n", "\n\n", "\n ")):
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = _ALONE + keys[0]
+        return keys
     if _WIDE.search(text) is not None:  # other blanks join ASCII ones to a run
-        return [text]
-    return _UNIT.findall(text)
+        return [_ALONE + text]
+    return [_ALONE + unit for unit in _UNIT.findall(text)]
 
 
 def _byte_of() -> dict[str, int]:
@@ -71,44 +78,47 @@ class Codec:
             plain = token in added or any(c not in byte_of for c in token)
             self.bytes_of[i] = token.encode() if plain else bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def _encode_units(self, new: list[str]) -> dict[str, bytes]:
+    def _encode_units(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of units. Those that may follow one another go through the library as long texts."""
-        chained = [w for w in new if w[0] in " \n" and not w[-1].isspace() and len(w) <= _LONGEST_CACHED]
-        chosen = set(chained)
-        alone = [word for word in new if word not in chosen]
-        made = dict(zip(alone, self._library(alone))) if alone else {}
-        groups = [chained[at : at + 4096] for at in range(0, len(chained), 4096)]
-        for words, coded in zip(groups, self._library(["".join(g) for g in groups]) if groups else ()):
-            ends = np.cumsum([len(word.encode()) for word in words])
-            stops = np.searchsorted(np.cumsum(self.lengths[self.ids(coded)]), ends) + 1
-            stops = (stops * self.dtype.itemsize).tolist()
-            made.update(zip(words, map(coded.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+        made: dict[str, bytes] = {}
+        alone = [key for key in keys if key[:1] == _ALONE or key in ("", "\n")]
+        texts = [key[1:] if key[:1] == _ALONE else key or " " for key in alone]
+        made.update(zip(alone, self._library(texts)))
+        lines = [key for key in keys if key[:1] == "\n" and key != "\n"]
+        spaced = list(set(keys).difference(alone, lines))
+        for start, some in (("\n", lines), (" ", spaced)):
+            groups = [some[at : at + 4096] for at in range(0, len(some), 4096)]
+            joined = ["".join(g) if start == "\n" else " " + " ".join(g) for g in groups]
+            for group, text, coded in zip(groups, joined, self._library(joined)):
+                raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                ends = np.append(np.flatnonzero(raw == ord(start))[1:], len(raw))
+                stops = np.searchsorted(np.cumsum(self.lengths[self.ids(coded)]), ends) + 1
+                stops = (stops * self.dtype.itemsize).tolist()
+                made.update(zip(group, map(coded.__getitem__, map(slice, [0, *stops[:-1]], stops))))
         return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as bytes of ``dtype``."""
         if not self.by_unit:
             return self._library(texts)
-        cut = [units(text) for text in texts]
+        cut = [unit_keys(text) for text in texts]
         if len(self.cache) > CACHED_UNITS:
-            self.cache = {"": b""}
-        cache, fresh = self.cache, set()
-        for words in cut:
-            fresh.update(words)
-        fresh.discard("")
-        new = [word for word in fresh if word not in cache]
-        made = self._encode_units(new)
-        spare = {word: ids for word, ids in made.items() if len(word) > _LONGEST_CACHED}
-        cache.update(made)
-        out = [b"".join(map(cache.__getitem__, words)) for words in cut]
-        for word in spare:
-            del cache[word]
+            self.cache = {}
+        cache = self.cache
+        new = list(set(itertools.chain.from_iterable(cut)).difference(cache))
+        cache.update(self._encode_units(new))
+        out = [b"".join(map(cache.__getitem__, keys)) for keys in cut]
+        for key in new:
+            if len(key) > _LONGEST_CACHED:
+                del cache[key]
         return out
 
     def ids(self, coded: bytes) -> np.ndarray:
