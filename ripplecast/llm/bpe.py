@@ -74,51 +74,55 @@ def _digests(text: bytes, cuts: list[int]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *cuts], cuts)]
 
 
-def assemble(coder: Codec, text: bytes, cuts: list[int], parts: list[bytes]) -> np.ndarray:
-    """Ids of the whole text from the ids of its chunks: every seam repaired until it agrees."""
-    ids = np.concatenate([coder.ids(part) for part in parts]) if parts else coder.ids(b"")
+def seams(coder: Codec, text: bytes, cuts: list[int], ids: np.ndarray) -> list[list[int]]:
+    """Stretches around the seams of a text: grown by sure borders until both ends are token borders."""
     if len(cuts) < 2:
-        return ids
-    ends = np.cumsum(coder.lengths[ids])  # where each token ends in the text
-
-    def on_edge(at: int) -> bool:
-        place = int(np.searchsorted(ends, at))
-        return at == 0 or (place < len(ends) and ends[place] == at)
-
+        return []
+    edges = set(np.cumsum(coder.lengths[ids]).tolist())
     spans: list[list[int]] = []
     for seam in cuts[:-1]:
-        low, high = seam, seam
-        while low > 0:  # back to a sure border that is also a token border
+        low, high = _border_before(text, seam), _border_after(text, seam)
+        while low > 0 and low not in edges:
             low = _border_before(text, low)
-            if on_edge(low):
-                break
-        while high < len(text):
+        while high < len(text) and high not in edges:
             high = _border_after(text, high)
-            if on_edge(high):
-                break
         if spans and low <= spans[-1][1]:
             spans[-1][1] = max(high, spans[-1][1])
         else:
             spans.append([low, high])
-    anew = coder.encode([text[a:b].decode() for a, b in spans])
-    out, at = [], 0
-    for (low, high), fresh in zip(spans, anew):
-        a = int(np.searchsorted(ends, low)) + 1 if low else 0
-        out += [ids[at:a], coder.ids(fresh)]
-        at = int(np.searchsorted(ends, high)) + 1
-    return np.concatenate([*out, ids[at:]])
+    return spans
 
 
-def _border_before(text: bytes, at: int, step: int = 128) -> int:
+def stitch(coder: Codec, ids: np.ndarray, spans: list[list[int]], anew: list[bytes]) -> np.ndarray:
+    """The ids with every stretch replaced by its own ids."""
+    if not spans:
+        return ids
+    ends = np.concatenate([[0], np.cumsum(coder.lengths[ids])])
+    at = np.searchsorted(ends, np.array(spans)).tolist()  # tokens up to both ends of each stretch
+    out, done = [], 0
+    for (low, high), fresh in zip(at, anew):
+        out += [ids[done:low], coder.ids(fresh)]
+        done = high
+    return np.concatenate([*out, ids[done:]])
+
+
+def assembled(coder: Codec, plans: list[tuple[bytes, list[int], list[bytes]]]) -> list[np.ndarray]:
+    """Ids of whole texts from (text, cuts, ids of the chunks): seams of all texts repaired together."""
+    joined = [coder.ids(b"".join(parts)) for _, _, parts in plans]
+    spans = [seams(coder, text, cuts, ids) for (text, cuts, _), ids in zip(plans, joined)]
+    pieces = [text[a:b].decode() for (text, _, _), own in zip(plans, spans) for a, b in own]
+    fresh = iter(coder.encode(pieces))
+    return [
+        stitch(coder, ids, own, [next(fresh) for _ in own]) for ids, own in zip(joined, spans)
+    ]
+
+
+def _border_before(text: bytes, at: int) -> int:
     """The last sure border before ``at``, else 0."""
-    start = at
-    while start > 0:
-        start, stop = max(0, start - step), at
-        found = [m.start() for m in _BORDER.finditer(text, max(0, start - 1), min(len(text), stop + 1))]
-        found = [place for place in found if start <= place < stop]
-        if found:
-            return found[-1]
-        step *= 4
+    while at > 0:
+        at = max(text.rfind(b" ", 0, at), text.rfind(b"\n", 0, at))
+        if at > 0 and 0x21 <= text[at - 1] <= 0x7E:
+            return at
     return 0
 
 
@@ -213,7 +217,7 @@ def encode(
                 plans.append((text, cuts, parts))
             for (parts, i, _), coded in zip(lacking, coder.encode([piece for _, _, piece in lacking])):
                 parts[i] = coded
-            made = [assemble(coder, *plan) for plan in plans]
+            made = assembled(coder, plans)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -247,8 +251,8 @@ def digests(decoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
         for batch in slices(batches, "ids", 2 << 20):
-            listed = [",".join(map(str, coder.ids(x).tolist())) for x in batch.column(2).to_pylist()]
-            found = [hashlib.sha256(x.encode()).hexdigest() for x in listed]
+            ids = map(coder.ids, batch.column(2).to_pylist())
+            found = [hashlib.sha256(coder.listed(x)).hexdigest() for x in ids]
             back = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(back, pa.string())],

@@ -14,7 +14,13 @@ from ripplecast.session import scratch_path
 BLANKS = r"[\x20\x09-\x0D]"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Texts are long, so a Python worker gets 1,000 rows at a time unless set otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +75,7 @@ def running(
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice holds about ``most`` bytes of a text or binary column."""
     for batch in batches:
         place = batch.schema.get_field_index(column)
