@@ -8,10 +8,12 @@ the least value is the coordinate. Both are computed bijections, so nothing is s
 probability of 1 - (1 - 0.8**4)**32 = 1 - 5e-8.
 
 Documents of equal shingle sets are one class and only classes are compared. Inside a bucket, the
-class with the smallest number is compared with all others. Confirmed pairs merge to components;
-where a bucket still holds several, every class outside its largest component is compared with the
-classes of other components. So no candidate pair of different components is left out, and a large
-group of near copies is confirmed by a star and not by all its pairs. Candidate pairs must pass
+class with the smallest number is compared with all others. Confirmed pairs merge to components.
+Where a bucket still holds several, a few rounds compare other members of its largest component
+with all classes outside it, each round with another member; then every class still outside is
+compared with all classes of other components, in the first bucket that the two share. So no
+candidate pair of different components is left out, and a large group of near copies is confirmed
+by stars and not by all its pairs. Candidate pairs must pass
 the size ratio that the threshold implies, and are confirmed on the full sets of both texts.
 
 Edge cases: a null or blank text has the empty set and links with nothing; a text of fewer words
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.llm.common import components, free_name, slices, stored
@@ -146,6 +148,7 @@ def link(
     per_cent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
+    rounds: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -161,7 +164,7 @@ def link(
         .agg(F.min(F.struct("key", "n_shingles", "buckets")).alias("one"))
         .select("class", "one.key", "one.n_shingles", "one.buckets")
     )
-    entries = classes.select("class", "n_shingles", F.explode("buckets").alias("bucket"))
+    entries = classes.select("class", "n_shingles", F.posexplode("buckets").alias("band", "bucket"))
     least = F.min(F.struct("class", "n_shingles")).alias("least")
     shared = entries.groupBy("bucket").agg(least, F.max("class").alias("last"))
     shared = shared.where("least.class < last").drop("last")
@@ -184,37 +187,65 @@ def link(
         .dropDuplicates(["class"]),
         "texts",
     )
-    edges = stored(confirmed(star, texts, width, per_cent), "edges")
-    merged = components(edges)
-    rest = stored(_unmerged(entries, merged, ratio).join(star, ["a", "b"], "left_anti"), "rest")
+    edges, tested = stored(confirmed(star, texts, width, per_cent), "edges"), star
+    named = _named(entries, edges)
+    for turn in range(rounds):
+        pairs = stored(_star_pairs(named, turn, ratio).join(tested, ["a", "b"], "left_anti"), "star")
+        more = stored(confirmed(pairs, texts, width, per_cent), "edges")
+        if more.isEmpty():
+            break
+        edges, tested = edges.unionByName(more), tested.unionByName(pairs)
+        named = _named(entries, edges)
+    lists = classes.select("class", "buckets")
+    rest = stored(_all_pairs(named, lists, ratio).join(tested, ["a", "b"], "left_anti"), "rest")
     more = stored(confirmed(rest, texts, width, per_cent), "edges")
-    found = components(edges.unionByName(more))
-    return _labelled(made, found)
+    return _labelled(made, components(edges.unionByName(more)))
 
 
-def _unmerged(entries: DataFrame, merged: DataFrame, ratio) -> DataFrame:
-    """Pairs of a bucket that lie in different components, one of them not the bucket's largest."""
-    named = entries.join(merged.withColumnRenamed("node", "class"), "class", "left").select(
-        "bucket", "class", "n_shingles", F.coalesce("component", "class").alias("component")
+def _named(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entries of buckets that hold several components, with theirs and ``top``, the largest."""
+    merged = components(edges).withColumnRenamed("node", "class")
+    named = entries.join(merged, "class", "left").select(
+        "bucket", "band", "class", "n_shingles", F.coalesce("component", "class").alias("component")
     )
     parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(
         F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
     )
     mixed = largest.where("parts > 1").select("bucket", F.col("top.component").alias("top"))
-    named = stored(named.join(mixed, "bucket"), "mixed")
-    few = named.where("component <> top").select(
+    return stored(named.join(mixed, "bucket"), "mixed")
+
+
+def _ordered(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _star_pairs(named: DataFrame, turn: int, ratio) -> DataFrame:
+    """One member of each bucket's largest component, another in every turn, with all outside it."""
+    draw = F.struct(F.xxhash64(F.lit(turn), "class").alias("draw"), F.col("class").alias("c"), "n_shingles")
+    leader = named.where("component = top").groupBy("bucket").agg(F.min(draw).alias("leader"))
+    leader = leader.select("bucket", F.col("leader.c").alias("c1"), F.col("leader.n_shingles").alias("n1"))
+    outside = named.where("component <> top").select("bucket", "class", "n_shingles")
+    pairs = outside.join(leader, "bucket").where(ratio(F.col("n1"), F.col("n_shingles")))
+    return pairs.select(*_ordered("c1", "class")).distinct()
+
+
+def _all_pairs(named: DataFrame, lists: DataFrame, ratio) -> DataFrame:
+    """Pairs of different components, one of them not the bucket's largest, from their first bucket."""
+    listed = stored(named.join(lists, "class"), "listed")
+    few = listed.where("component <> top").select(
         "bucket",
         F.col("class").alias("c1"),
         F.col("n_shingles").alias("n1"),
         F.col("component").alias("p1"),
+        F.col("buckets").alias("b1"),
     )
-    pairs = few.join(named, "bucket").where(
-        (F.col("p1") != F.col("component")) & ratio(F.col("n1"), F.col("n_shingles"))
+    earlier = F.arrays_overlap(F.slice("b1", F.lit(1), F.col("band")), F.slice("buckets", F.lit(1), F.col("band")))
+    once = (F.col("component") == F.col("top")) | (F.col("c1") < F.col("class"))
+    pairs = few.join(listed, "bucket").where(
+        (F.col("p1") != F.col("component")) & once & ratio(F.col("n1"), F.col("n_shingles")) & ~earlier
     )
-    return pairs.select(
-        F.least("c1", "class").alias("a"), F.greatest("c1", "class").alias("b")
-    ).distinct()
+    return pairs.select(*_ordered("c1", "class")).distinct()
 
 
 def _labelled(made: DataFrame, found: DataFrame) -> DataFrame:
