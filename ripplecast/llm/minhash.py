@@ -148,7 +148,7 @@ def link(
     per_cent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
-    rounds: int = 6,
+    rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
