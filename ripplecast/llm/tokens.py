@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-CACHED_UNITS = 400_000  # units kept by one Python worker, about 80 MB
+CACHED_UNITS = 250_000  # units kept by one Python worker, about 50 MB
 _LONGEST_CACHED = 48  # characters
 
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -51,11 +51,7 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -69,7 +65,7 @@ class Codec:
                 for t in spec["added_tokens"]
             )
         )
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max(vocabulary.values())
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         added, byte_of = {t["content"] for t in spec["added_tokens"]}, _byte_of()
@@ -78,9 +74,22 @@ class Codec:
             plain = token in added or any(c not in byte_of for c in token)
             self.bytes_of[i] = token.encode() if plain else bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.decimals = [b"%d," % i for i in range(self.size)]
         self.cache: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def decimals(self) -> list[bytes]:
+        return [b"%d," % i for i in range(self.size)]
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer; workers that only decode never load it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _library(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
