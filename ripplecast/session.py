@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +17,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _own_root() -> str:
+    """The one folder of this process for a local session without a setting; removed at its end."""
+    root = tempfile.mkdtemp(prefix="ripplecast-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def _shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="ripplecast-")
+    return _own_root()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
