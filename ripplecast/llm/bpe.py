@@ -2,7 +2,7 @@
 
 1. A rolling hash over the UTF-8 bytes of a text decides where chunks end, so equal passages fall
    into equal chunks wherever they stand.
-2. The digests of all chunks are counted. A chunk that occurs in more than one place is encoded
+2. The digests of all chunks are counted by document. A chunk of more than one document is encoded
    once, from one document that holds it; its ids then travel to every document that has it.
 3. Each document puts the ids of its chunks together. Where two chunks meet, the ids around the
    seam are made anew: the stretch between the last sure piece border before the seam and the
@@ -156,7 +156,7 @@ def encode(
             raw = [text.encode() for text in batch.column(1).to_pylist()]
             keys, found = [], []
             for key, text, cuts in zip(batch.column(0).to_pylist(), raw, cut_points(raw)):
-                own = _digests(text, cuts)
+                own = list(dict.fromkeys(_digests(text, cuts)))
                 keys += [key] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays(
@@ -197,10 +197,9 @@ def encode(
         .dropDuplicates(["chunk"])
     )
     brought = (
-        places.distinct()
-        .join(once, "chunk")
+        places.join(once, "chunk")
         .groupBy("key")
-        .agg(F.collect_list(F.struct("chunk", "ids")).alias("given"))
+        .agg(F.collect_set(F.struct("chunk", "ids")).alias("given"))  # rows may repeat a key
     )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
