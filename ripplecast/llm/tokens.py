@@ -8,12 +8,13 @@ units in order, and frequent units need to be encoded only once.
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_UNITS = 250_000  # units kept by one Python worker, about 50 MB
 _LONGEST_CACHED = 48  # characters
@@ -21,16 +22,22 @@ _LONGEST_CACHED = 48  # characters
 _ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNIT = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+_LISTS = pa.list_(pa.string())
 _ALONE = "\0"  # mark of a unit that is encoded by itself
 
 
+def _is_prose(text: str) -> bool:
+    """Whether all blanks are single spaces and line ends."""
+    return _ODD.search(text) is None and not any(run in text for run in ("  ", " \n", "\n\n", "\n "))
+
+
 def unit_keys(text: str) -> list[str]:
     """The text, cut before ASCII blanks that follow a non-blank character, as keys of units.
 
     A key is the unit without its leading space, or the unit if it starts with a line end, or the
     mark and the unit. Ordinary prose is cut by two string operations.
     """
-    if _ODD.search(text) is None and not any(run in text for run in ("  ", " \n", "\n\n", "\n ")):
+    if _is_prose(text):
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = _ALONE + keys[0]
         return keys
@@ -75,6 +82,7 @@ class Codec:
             self.bytes_of[i] = token.encode() if plain else bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
+        self.again: set[str] = set()  # units of the cache that came again since it was last thinned
 
     @functools.cached_property
     def decimals(self) -> list[bytes]:
@@ -115,21 +123,45 @@ class Codec:
                 made.update(zip(group, map(coded.__getitem__, map(slice, [0, *stops[:-1]], stops))))
         return made
 
+    def _thin(self) -> None:
+        """Keep the units that came again, unless these are too many themselves."""
+        kept = self.again if 2 * len(self.again) < CACHED_UNITS else ()
+        self.cache, self.again = {key: self.cache[key] for key in kept}, set()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as bytes of ``dtype``."""
         if not self.by_unit:
             return self._library(texts)
-        cut = [unit_keys(text) for text in texts]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [at for at, text in enumerate(texts) if _is_prose(text)]
+        if plain:
+            marked = pa.array([_ALONE + texts[at].replace("\n", " \n") for at in plain])
+            self._fill(out, plain, pc.split_pattern(marked, " "))
+        other = sorted(set(range(len(texts))).difference(plain))
+        if other:
+            self._fill(out, other, pa.array([unit_keys(texts[at]) for at in other], _LISTS))
+        return out
+
+    def _fill(self, out: list[bytes], places: list[int], keys: pa.ListArray) -> None:
+        """Set the ids of the texts at ``places``; a row of ``keys`` holds the units of each."""
         if len(self.cache) > CACHED_UNITS:
-            self.cache = {}
-        cache = self.cache
-        new = list(set(itertools.chain.from_iterable(cut)).difference(cache))
+            self._thin()
+        cache, coded = self.cache, keys.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [key for key in distinct if key not in cache]
+        if len(new) < len(distinct):
+            self.again.update(set(distinct).difference(new))
         cache.update(self._encode_units(new))
-        out = [b"".join(map(cache.__getitem__, keys)) for keys in cut]
+        units = pa.array(map(cache.__getitem__, distinct), pa.binary(), size=len(distinct))
+        joined = units.take(coded.indices)
+        unit_ends = np.frombuffer(joined.buffers()[1], dtype=np.int32)
+        ends = unit_ends[keys.offsets.to_numpy() - keys.offsets[0].as_py()].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        for place, start, end in zip(places, ends, ends[1:]):
+            out[place] = bytes(data[start:end])
         for key in new:
             if len(key) > _LONGEST_CACHED:
                 del cache[key]
-        return out
 
     def ids(self, coded: bytes) -> np.ndarray:
         return np.frombuffer(coded, dtype=self.dtype)
