@@ -29,6 +29,9 @@ def half_even(value: str) -> str:
 
 _KEYWORDS = sql_list([w if w == "WHO" else w.lower() for w in COVID_KEYWORDS])
 _MATCHED = f"CAST(list_has_any(string_split(lower(text), ' '), {_KEYWORDS}) AS INTEGER)"
+# Fixed value: ASCII punctuation, as an SQL string.
+_PUNCTUATION = """'!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"""
+
 _HASHTAG = (
     r"regexp_matches(text, '(^|[^\p{L}\p{N}_])#[\p{L}\p{N}_]*[a-zA-Z][\p{L}\p{N}_]*')"
 )
@@ -131,7 +134,9 @@ shared AS (
   SELECT arms.tweet_id, sum(followers) AS followers FROM arms JOIN rti ON rti.ref = arms.ref
   GROUP BY arms.tweet_id),
 lexicon(word, valence) AS (VALUES {", ".join(f"({quoted(w)}, CAST({v} AS DOUBLE))" for w, v in LEXICON)}),
-token_lists AS (SELECT tweet_id, regexp_split_to_array(lower(text), '\\s+') AS tokens FROM tw),
+token_lists AS (
+  SELECT tweet_id, [coalesce(nullif(trim(t, {_PUNCTUATION}), ''), t)
+    FOR t IN regexp_split_to_array(lower(text), '\\s+')] AS tokens FROM tw),
 places AS (SELECT tweet_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM token_lists),
 hits AS (
   SELECT tweet_id, valence * CASE WHEN list_has_any(list_slice(tokens, greatest(i - 3, 1), i - 1),

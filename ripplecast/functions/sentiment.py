@@ -30,6 +30,11 @@ def sentiment_class(compound: Column) -> Column:
     )
 
 
+def text_hash(text: str) -> Column:
+    """Tells the texts of a repeated key apart."""
+    return F.xxhash64(text).alias("text_hash")
+
+
 def sentiment_score(
     posts: DataFrame,
     lexicon: DataFrame,
@@ -37,31 +42,52 @@ def sentiment_score(
     text: str = "text",
     negators: Sequence[str] = NEGATORS,
 ) -> DataFrame:
-    """One row (key, compound) per post; ``lexicon`` has columns word, valence.
+    """One row (key, compound) per post and text; ``lexicon`` has columns word, valence.
+
+    Tokens lose the punctuation around them unless they hold nothing else. Rows that repeat a key
+    and its text are one post; a key with several texts has a row for each.
+    """
+    return text_scores(posts, lexicon, key, text, negators).select(key, "compound")
+
+
+def text_scores(
+    posts: DataFrame,
+    lexicon: DataFrame,
+    key: str = "tweet_id",
+    text: str = "text",
+    negators: Sequence[str] = NEGATORS,
+) -> DataFrame:
+    """(key, text_hash, compound): one row for every key and text; see :func:`text_hash`.
 
     A post's tokens carry the places of its negators, so negation needs no window: the only rows
-    that move are partial sums per post.
+    that move are partial sums per post. Every row of a post has one first token, so that the
+    number of rows is known where the sums meet.
     """
-    tokens = F.split(F.lower(F.col(text)), r"\s+")
+    bare = r"^\p{Punct}++(?=.*[^\p{Punct}])|(?<=[^\p{Punct}])\p{Punct}+$"
+    tokens = F.transform(
+        F.split(F.lower(F.col(text)), r"\s+"), lambda word: F.regexp_replace(word, bare, "")
+    )
     places = F.transform(
         F.col("_tokens"), lambda word, at: F.when(word.isin(list(negators)), at)
     )
     words = (
-        posts.select(key, tokens.alias("_tokens"))
+        posts.select(key, text_hash(text), tokens.alias("_tokens"))
         .withColumn("_denied", F.filter(places, lambda at: at.isNotNull()))
-        .select(key, "_denied", F.posexplode_outer("_tokens").alias("_at", "word"))
+        .select(key, "text_hash", "_denied", F.posexplode_outer("_tokens").alias("_at", "word"))
     )
     negated = F.exists(
         "_denied", lambda at: (at < F.col("_at")) & (at >= F.col("_at") - REACH)
     )
     weighted = lookup_join(words, lexicon.select("word", "valence"), "word", "left").select(
         key,
+        "text_hash",
+        F.coalesce(F.col("_at") == 0, F.lit(True)).alias("_first"),
         F.when(
             F.col("valence").isNotNull(),
             F.col("valence") * F.when(negated, F.lit(NEGATED)).otherwise(F.lit(1.0)),
         ).alias("v"),
     )
-    total = F.coalesce(F.sum("v"), F.lit(0.0))
-    return weighted.groupBy(key).agg(total.alias("_s")).select(
-        key, (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(NORMALISER))).alias("compound")
+    total = F.coalesce(F.sum("v"), F.lit(0.0)) / F.count_if("_first")
+    return weighted.groupBy(key, "text_hash").agg(total.alias("_s")).select(
+        key, "text_hash", (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(NORMALISER))).alias("compound")
     )

@@ -120,15 +120,35 @@ def ref_tweet_id(stored: Column) -> Column:
     return F.nullif(F.regexp_extract(stored, r"id: (\d+)", 1), F.lit("")).try_cast("long")
 
 
+_QUOTED = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+
+
 def list_text(items: Column) -> Column:
-    """Quoted list-literal text of a list of strings."""
-    quoted = F.transform(items, lambda item: F.concat(F.lit("'"), item, F.lit("'")))
+    """Quoted list-literal text of a list of strings.
+
+    An item with an apostrophe stands in double quotes; backslashes, and quotes of the kind
+    around the item, are escaped by a backslash.
+    """
+
+    def literal(item: Column) -> Column:
+        mark = F.when(F.contains(item, F.lit("'")), F.lit('"')).otherwise(F.lit("'"))
+        safe = F.replace(item, F.lit("\\"), F.lit("\\\\"))
+        return F.concat(mark, F.replace(safe, mark, F.concat(F.lit("\\"), mark)), mark)
+
+    quoted = F.transform(items, literal)
     return F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
 
 
 def parse_list(stored: Column) -> Column:
-    """Inverse of :func:`list_text`."""
-    return F.from_json(F.replace(stored, F.lit("'"), F.lit('"')), "array<string>")
+    """Inverse of :func:`list_text`, for either kind of quotes; null for text that is no list."""
+    quoted = F.regexp_extract_all(stored, F.lit(_QUOTED), F.lit(0))
+    items = F.transform(
+        quoted,
+        lambda item: F.regexp_replace(
+            F.substring(item, F.lit(2), F.char_length(item) - 2), r"\\(.)", "$1"
+        ),
+    )
+    return F.when(stored.rlike(rf"^\s*\[\s*(?:(?:{_QUOTED})\s*(?:,\s*|(?=\])))*+\]\s*$"), items)
 
 
 def first_list_item(stored: Column) -> Column:

@@ -15,9 +15,13 @@ _ROWS_BITS = 33  # monotonically_increasing_id keeps the row number in the low 3
 
 
 def keep_first(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """The row with the lowest ordinal of every key, by partial aggregation."""
+    """The row with the lowest ordinal of every key, by partial aggregation.
+
+    Rows without an ordinal come last; rows of equal ordinals are ordered by a hash of the row.
+    """
     rest = [name for name in df.columns if name != key]
-    first = F.min_by(F.struct(*rest), F.col(ordinal)).alias("_first")
+    place = F.struct(F.isnull(ordinal), F.col(ordinal), F.xxhash64(*rest))
+    first = F.min_by(F.struct(*rest), place).alias("_first")
     kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(first)
     return kept.select(key, *[F.col("_first")[name].alias(name) for name in rest]).select(
         *df.columns

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ripplecast.functions import text as tx
 from ripplecast.functions import timeparts as tp
 from ripplecast.functions import topics as tg
-from ripplecast.functions.sentiment import sentiment_class, sentiment_score
+from ripplecast.functions.sentiment import sentiment_class, text_scores
 from ripplecast.operators.filters import OUTLIER_BOUNDS, outlier_filter
 from ripplecast.operators.joins import author_join, retweet_info
+from ripplecast.operators.ordering import keep_first
 from ripplecast.operators.reach import reshare_reach, total_reach
 from ripplecast.sources.tables import sink_by_year
 
@@ -57,14 +58,27 @@ def topic_columns(posts: DataFrame) -> DataFrame:
 
 def sentiment_column(posts: DataFrame, texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``texts`` holds the posts' ids and texts; the raw table is the cheapest to read again."""
-    scores = sentiment_score(texts.select("tweet_id", "text"), lexicon)
+    scores = text_scores(texts.select("tweet_id", "text"), lexicon)
+    one = F.struct("text_hash", "compound")
+    scores = scores.groupBy("tweet_id").agg(F.collect_list(one).alias("_scores"))
+    own = F.filter("_scores", lambda s: s["text_hash"] == F.xxhash64("text"))
     return (
         posts.join(scores, "tweet_id")
-        .withColumn("sentiment", sentiment_class(F.col("compound")))
-        .drop("compound")
+        .withColumn("sentiment", sentiment_class(F.try_element_at(own, F.lit(1))["compound"]))
+        .drop("_scores")
     )
 
 
+def one_profile(users: DataFrame) -> DataFrame:
+    """The first profile of every user: by row number if there is one, else by a hash of the row."""
+    ordinal = F.col("ordinal") if "ordinal" in users.columns else F.lit(None).cast("long")
+    profile = users.select(
+        "user_id", "followers", "following", "tweet_count", "verified", "created_at",
+        ordinal.alias("ordinal"),
+    )
+    return keep_first(profile, "user_id", "ordinal")
+
+
 def reshare_info(
     retweets: DataFrame, retweeters: DataFrame, ref: Column | None = None
 ) -> DataFrame:
@@ -104,8 +118,8 @@ def process(
     bounds: dict[str, float] = OUTLIER_BOUNDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Processed posts without outliers, and re-share info."""
-    info = reshare_info(retweets, retweeters)
-    return outlier_filter(enrich(tweets, users, info, lexicon), bounds), info
+    info = reshare_info(retweets, one_profile(retweeters))
+    return outlier_filter(enrich(tweets, one_profile(users), info, lexicon), bounds), info
 
 
 def process_and_save(

@@ -76,10 +76,13 @@ def load_datasets(
 ) -> tuple[DataFrame, DataFrame]:
     """Posts, and users with the first record of each by row number.
 
-    Posts are not sorted here: whatever needs their order sorts by ``timestamp`` itself.
+    A file that does not number its rows is numbered as Spark reads it. Posts are not sorted
+    here: whatever needs their order sorts by ``timestamp`` itself.
     """
-    users = keep_first(scan_users(spark, users_path), "user_id", ORDINAL)
-    return scan_tweets(spark, tweets_path), users
+    users = scan_users(spark, users_path)
+    if ORDINAL not in users.columns:
+        users = users.withColumn(ORDINAL, F.monotonically_increasing_id())
+    return scan_tweets(spark, tweets_path), keep_first(users, "user_id", ORDINAL)
 
 
 def _stored(name: str, kind: T.DataType) -> Column:
@@ -88,9 +91,9 @@ def _stored(name: str, kind: T.DataType) -> Column:
         return F.date_format(value, _STAMP)
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, T.StringType):
-            return tx.list_text(value)
+            return tx.flatten_newlines(tx.list_text(value))
         return tx.flatten_newlines(tx.ref_list_text(value))
-    if name == "text":
+    if isinstance(kind, T.StringType):
         return tx.flatten_newlines(value)
     return value
 

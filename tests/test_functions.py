@@ -67,8 +67,15 @@ def test_reference_lists_survive_their_text_form(spark):
 
 
 def test_first_list_item(spark):
-    stored = ["['a b', 'c']", "[]", None]
-    assert apply(spark, stored, "string", tx.first_list_item) == ["a b", None, None]
+    stored = ["['a b', 'c']", "[]", None, "[\"Women's Sports\", 'News']", "no list"]
+    items = apply(spark, stored, "string", tx.first_list_item)
+    assert items == ["a b", None, None, "Women's Sports", None]
+
+
+def test_lists_survive_their_text_form(spark):
+    lists = [["Women's Sports", "News"], ["'\"", "a\\", "\\'", "x, y]", ""], [], None]
+    back = apply(spark, lists, "array<string>", lambda c: tx.parse_list(tx.list_text(c)))
+    assert back == lists
 
 
 def test_newlines_are_flattened(spark):
@@ -122,6 +129,22 @@ def test_sentiment_negation_reaches_three_tokens(spark):
     assert got[4] == got[5] == 0.0
 
 
+def test_sentiment_of_punctuation_and_repeated_ids(spark):
+    posts = spark.createDataFrame(
+        [(1, "so great!"), (2, "\"great\","), (3, "great"), (3, "great"), (4, ":) !!"), (5, "")],
+        "tweet_id long, text string",
+    )
+    words = [("great", 3.1), (":)", 2.0)]
+    lexicon = spark.createDataFrame(words, "word string, valence double")
+    rows = sentiment_score(posts, lexicon).collect()
+    assert len(rows) == 5
+    got, one = dict(map(tuple, rows)), 3.1 / (3.1**2 + 15) ** 0.5
+    assert got[1] == got[2] == pytest.approx(one)
+    assert got[3] == pytest.approx(one)
+    assert got[4] == pytest.approx(2 / 19**0.5)
+    assert got[5] == 0.0
+
+
 def test_half_even_rounding(spark):
     rounded = apply(spark, [0.125, 0.375, -0.125], "double", nm.round_half_even)
     assert rounded == [0.12, 0.38, -0.12]

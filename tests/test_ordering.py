@@ -61,10 +61,10 @@ def test_running_total(spark, shares, parts):
 
 
 def test_keep_first(spark):
-    rows = [(1, "b", 2), (1, "a", 1), (2, None, 5), (None, "x", 0)]
+    rows = [(1, "b", 2), (1, "a", 1), (2, None, 5), (None, "x", 0), (3, "n", None), (1, "z", None)]
     df = spark.createDataFrame(rows, "k long, v string, o long")
     got = ordering.keep_first(df, "k", "o").orderBy("k").collect()
-    assert [tuple(r) for r in got] == [(1, "a", 1), (2, None, 5)]
+    assert [tuple(r) for r in got] == [(1, "a", 1), (2, None, 5), (3, "n", None)]
 
 
 def test_vocabulary_limit(spark):

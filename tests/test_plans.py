@@ -1,11 +1,12 @@
 """Physical plans: no Python, no nested loops, filters and columns at the scan."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripplecast import adapters
 from ripplecast.catalogue import data
 from ripplecast.operators import cascades, filters, profiles
-from ripplecast.plans import analyse
+from ripplecast.plans import analyse, process
 
 
 def plan_of(df):
@@ -28,6 +29,17 @@ def test_enriching_touches_the_users_once(spark, folder):
     assert plan.count("customer.parquet") == 1
 
 
+def test_repeated_profiles_change_nothing(spark, folder):
+    tweets, users, lexicon = adapters.tw(spark, folder), adapters.us(spark, folder), adapters.lexicon(spark)
+    shares, sharers = adapters.rt(spark, folder), adapters.rtu(spark, folder)
+    found = []
+    for times in (1, 2):
+        many, more = [df if times == 1 else df.unionByName(df) for df in (users, sharers)]
+        posts, info = process.process(tweets, many, shares, more, lexicon)
+        found.append((posts.agg(F.count("*"), F.sum("reach")).first(), info.count()))
+    assert found[0] == found[1]
+
+
 def test_year_filter_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).selectExpr("id", "2019 + id % 2 as year").write.partitionBy("year").parquet(path)
