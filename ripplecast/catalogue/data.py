@@ -161,8 +161,8 @@ def _api_user(users: DataFrame) -> DataFrame:
 
 
 def tweet_pages(spark, d) -> DataFrame:
-    """Pages of at most 100 posts with their authors; verified ones are left out."""
-    authors = _api_user(ad.us(spark, d).where(~F.col("verified")))
+    """Pages of at most 100 posts with their authors."""
+    authors = _api_user(ad.us(spark, d))
     posts = ad.tw(spark, d).select("user_id", "tweet_id", _api_tweet().alias("tweet"))
     both = jn.lookup_join(posts, authors, "user_id", "left")
     page = F.floor(F.col("tweet_id") / PAGE)  # ids are unique, so a page holds at most 100
@@ -391,8 +391,8 @@ def retweets_join_retweeters(spark, d):
 
 
 def reach_author(spark, d):
-    known = ad.us(spark, d).where(~F.col("verified"))
-    return rc.author_followers(ad.tw(spark, d), known).select("tweet_id", "author_followers")
+    reached = rc.author_followers(ad.tw(spark, d), ad.us(spark, d))
+    return reached.select("tweet_id", "author_followers")
 
 
 def tweet_reach(spark, d):

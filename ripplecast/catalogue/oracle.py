@@ -419,7 +419,7 @@ _BODY = {
     "retweets_join_retweeters": f"""SELECT {_KEYS}, like_count, followers, following, seniority,
       {stamp("timestamp")} AS timestamp FROM rti""",
     "reach_author": """SELECT tweet_id, coalesce(followers, 0) AS author_followers
-      FROM tw LEFT JOIN (SELECT * FROM us WHERE NOT verified) USING (user_id)""",
+      FROM tw LEFT JOIN us USING (user_id)""",
     "tweet_reach": "SELECT tweet_id, reach FROM proc",
     "cascade_join": f"""SELECT {_KEYS.replace("user_id", "rti.user_id")}, rti.like_count, followers,
       {stamp("tw.timestamp")} AS posted_at FROM rti JOIN tw ON tweet_id = ref""",
@@ -431,7 +431,7 @@ _BODY = {
       LEFT JOIN (SELECT year, topics_cleaned, count(*) AS count FROM twt GROUP BY ALL) a
         ON a.year = y.year AND a.topics_cleaned = c.topics_cleaned""",
     "include_user_match": """SELECT tweet_id, coalesce(name, 'none') AS author
-      FROM tw LEFT JOIN (SELECT * FROM us WHERE NOT verified) USING (user_id)""",
+      FROM tw LEFT JOIN us USING (user_id)""",
     "profile_by_key": profile("day_of_week", WEEK_DAYS),
     "profile_by_day_phase": profile("day_phase", DAY_PHASES),
     "profile_by_month": profile("month", MONTHS),

@@ -137,6 +137,9 @@ def test_comparison_and_saved_model(spark, separable, tmp_path):
     grid = {"maxDepth": [2, 80], "numTrees": [3], "min_samples_split": [8]}
     best = evaluate.grid_search(folded, grid, folds=3)
     assert best["numTrees"] == 3 and best["maxDepth"] in (2, 30)
+    assert best["not_searched"] == ["min_samples_split"]
+    with pytest.raises(ValueError, match="numTres"):
+        evaluate.grid_search(folded, {"numTres": [3]}, folds=3)
     path = str(tmp_path / "model")
     scored, accuracy = evaluate.train_evaluate(classifiers.forest(3, 3), separable, separable, path)
     again = evaluate.batch_predict(path, separable)
