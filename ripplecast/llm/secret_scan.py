@@ -9,8 +9,9 @@ touches a decoded character, and is reported at its span in the text.
 
 Findings of the first layer are always reported as they are. The patterns are fixed values.
 
-Edge cases: a null text is the empty text, without findings; runs that do not decode to printable
-text stay as they are; compressed data that would grow beyond ``most`` bytes are counted in
+Edge cases: a null text is the empty text, without findings; base64 runs that do not decode to UTF-8
+stay as they are; what compressed data hold is read with U+FFFD for bytes that are not UTF-8;
+compressed data that would grow beyond ``most`` bytes are counted in
 ``refused`` and not opened; rows that repeat an id are scanned each; an empty table gives an empty
 result. Extra columns are ignored.
 """
@@ -90,10 +91,6 @@ def _utf8(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Read | None:
     return text, starts[last - sizes], ends[last - 1]
 
 
-def _readable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\n\r\t" for c in text)
-
-
 def _read_url(run: str, most: int) -> Read | None:
     place = np.arange(0, len(run), 3)
     return _utf8(bytes.fromhex(run.replace("%", "")), place, place + 3)
@@ -119,21 +116,23 @@ class _TooLarge(Exception):
     pass
 
 
-def _unpacked(raw: bytes, most: int) -> bytes | None:
-    """What gzip, zlib or zstandard data hold."""
+def _unpacked(raw: bytes, most: int) -> tuple[bytes, bool] | None:
+    """What gzip, zlib or zstandard data hold, and whether they were read to their end."""
     try:
         if raw[:4] == b"\x28\xb5\x2f\xfd":
             with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(most + 1)
+                out, ended = reader.read(most + 1), True
         elif raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            out = zlib.decompressobj(47).decompress(raw, most + 1)
+            reader = zlib.decompressobj(47)
+            out = reader.decompress(raw, most + 1)
+            ended = reader.eof
         else:
             return None
     except (zlib.error, zstandard.ZstdError):
         return None
     if len(out) > most:
         raise _TooLarge
-    return out
+    return out, ended
 
 
 def _read_base64(run: str, most: int) -> Read | None:
@@ -148,14 +147,13 @@ def _read_base64(run: str, most: int) -> Read | None:
     ends = -(-(place + 1) * 4 // 3)
     ends[-1] = len(run)
     plain = _utf8(raw, place * 4 // 3, ends)
-    if plain and _readable(plain[0]):
+    # a checksum tells packed data from text that only begins like it
+    out, ended = _unpacked(raw, most) or (b"", False)
+    if not out or (plain and not ended):
         return plain
-    out = _unpacked(raw, most)
-    if out is None:
-        return None
-    whole = np.zeros(len(out), dtype=np.int64)
-    plain = _utf8(out, whole, whole + len(run))
-    return plain if plain and _readable(plain[0]) else None
+    text = out.decode(errors="replace")
+    whole = np.zeros(len(text), dtype=np.int64)
+    return text, whole, whole + len(run)
 
 
 _DECODERS = (("url", _URL, _read_url), ("unicode", _ESCAPE, _read_escapes), ("base64", _BASE64, _read_base64))

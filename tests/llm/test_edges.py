@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -126,6 +127,23 @@ def test_secret_layers():
     assert secret_scan.scan_text(bomb, most=1000)[2] >= 1
 
 
+@pytest.mark.parametrize("odd", ["\xa0", "\u3000", "\u200d", "\ufeff", "\f", "\u2028", "\x00"])
+def test_secret_layers_of_any_text(odd):
+    """One character that does not print hides neither the layer nor what is nested in it."""
+    secret = "password: hunter2hunter2"
+    nested = base64.b64encode(secret.encode()).decode()
+    for inner in (f"{secret} é {odd} z", f"{nested} é {odd} z"):
+        for raw in (inner.encode(), gzip.compress(inner.encode()), zlib.compress(inner.encode(), 1)):
+            found, _, refused = secret_scan.scan_text("a " + base64.b64encode(raw).decode() + " z")
+            assert [(a, k) for a, k, _, _ in found] == [(2, 0)] and not refused
+
+
+def test_secret_layers_of_packed_bytes():
+    code = base64.b64encode(gzip.compress(b"\xff\x00 password: hunter2hunter2 \xe9")).decode()
+    assert secret_scan.scan_text(f"a {code} z")[0] == [(2, 0, 2 + len(code), "base64")]
+    assert secret_scan.scan_text(base64.b64encode(b"\xff\xfe password: hunter2hunter2").decode())[:2] == ([], 1)
+
+
 def test_secret_scan_rows(docs, none, odd):
     assert secret_scan.digests(secret_scan.scan(docs)).count() == len(odd)
     assert secret_scan.scan(none).count() == 0
