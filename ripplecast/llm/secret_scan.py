@@ -4,7 +4,10 @@ The text itself is the first layer. A layer is scanned, then each decoder (URL e
 escapes, base64, and base64 of gzip, zlib or zstandard data) replaces all it can read in the layer
 and so makes another one. Layers seen before, by digest, are not taken up again, so cycles end and
 the worklist runs to its fixpoint. Every character of a layer knows its span in the text: exact
-for escapes and base64, the whole run for compressed data. A finding of a later layer counts if it
+for escapes and base64, the whole run for compressed data. Base64 lines that follow each other are
+read twice, as one wrapped run and each by itself, since a list of codes looks like a wrapped one;
+so a secret across a wrap may also be listed as far as its first line goes. A run that does not
+decode is read from after a ``/``, ``-`` or ``_``. A finding of a later layer counts if it
 touches a decoded character, and is reported at its span in the text.
 
 Findings of the first layer are always reported as they are. The patterns are fixed values.
@@ -19,7 +22,7 @@ result. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -52,6 +55,9 @@ _ESCAPE = re.compile(
 )
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"[ \t]*(?:\r\n|\n|\r)[ \t]*([A-Za-z0-9+/_-]+)(={0,2})")
+_JOINT = re.compile(r"[/_-]")
+_HEAD = 64  # characters of a run that tell most of what does not decode
 
 
 def matches(text: str) -> list[tuple[int, int, int]]:
@@ -135,18 +141,41 @@ def _unpacked(raw: bytes, most: int) -> tuple[bytes, bool] | None:
     return out, ended
 
 
+def _bytes(body: str) -> bytes:
+    """The bytes of base64 of either alphabet without padding; a lone last character holds none."""
+    body = body.replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _packed(raw: bytes) -> bool:
+    """Whether bytes begin as gzip, zlib or zstandard data do."""
+    if raw[:1] == b"\x78":
+        return int.from_bytes(raw[:2]) % 31 == 0
+    return raw[:2] == b"\x1f\x8b" or raw[:4] == b"\x28\xb5\x2f\xfd"
+
+
+def _first_bad(raw: bytes) -> int | None:
+    """The place of the first byte that is not UTF-8; a character cut at the end is none."""
+    try:
+        codecs.utf_8_decode(raw)
+    except UnicodeDecodeError as error:
+        return error.start
+    return None
+
+
 def _read_base64(run: str, most: int) -> Read | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    """A run, which may hold line ends."""
+    text = run.rstrip("=")
+    pos = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) > 32)
+    body = "".join(text.split())
     if len(body) % 4 == 1:
         return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
+    raw = _bytes(body)
     place = np.arange(len(raw))
-    ends = -(-(place + 1) * 4 // 3)
+    ends = pos[-(-(place + 1) * 4 // 3) - 1] + 1
     ends[-1] = len(run)
-    plain = _utf8(raw, place * 4 // 3, ends)
+    plain = _utf8(raw, pos[place * 4 // 3], ends)
     # a checksum tells packed data from text that only begins like it
     out, ended = _unpacked(raw, most) or (b"", False)
     if not out or (plain and not ended):
@@ -156,21 +185,105 @@ def _read_base64(run: str, most: int) -> Read | None:
     return text, whole, whole + len(run)
 
 
-_DECODERS = (("url", _URL, _read_url), ("unicode", _ESCAPE, _read_escapes), ("base64", _BASE64, _read_base64))
+def _read_from(run: str, first: int, most: int) -> tuple[int, Read] | None:
+    """What a run holds, from its start or else from after a joint among its ``first`` characters.
+
+    Two starts at the same place in a group of four read the same bytes, so a start is passed over
+    when a byte that an earlier one could not read is still ahead.
+    """
+    bad = [-1] * 4
+    for at in (0, *[m.end() for m in _JOINT.finditer(run, 0, first)]):
+        if len(run) - at < 16:
+            break
+        head = "".join(run[at : at + 2 * _HEAD].split()).rstrip("=")[:_HEAD]
+        raw = _bytes(head[: len(head) // 4 * 4])
+        if not _packed(raw) and (at < bad[at % 4] or _first_bad(raw) is not None):
+            continue
+        start = len(run) - len(run[at:].lstrip())
+        got = _read_base64(run[start:], most)
+        if got is not None:
+            return start, got
+        body = "".join(run[at:].split()).rstrip("=")
+        wrong = _first_bad(_bytes(body))
+        bad[at % 4] = len(run) if wrong is None else at + wrong * 4 // 3
+    return None
+
+
+def _lines_of(text: str, m: re.Match) -> list[int]:
+    """The ends of a run's lines: lines after the first are as wide as the second, but the last."""
+    ends, width, last = [m.end()], None, m[0].endswith("=")
+    while not last and (line := _NEXT_LINE.match(text, ends[-1])):
+        size = len(line[1])
+        if width is not None and size > width:
+            break
+        ends.append(line.end())
+        last = bool(line[2]) or (width is not None and size < width)
+        width = size
+    return ends
+
+
+#: Runs of a text that a decoder reads: start, end, and what is read; None if it is too large.
+Runs = Iterator[tuple[int, int, Read | None]]
+
 
+def _runs(text: str, pattern: re.Pattern, read, most: int) -> Runs:
+    for m in pattern.finditer(text):
+        if (got := read(m[0], most)) is not None:
+            yield *m.span(), got
 
-def _decode(layer: Layer, name: str, pattern: re.Pattern, read, most: int) -> tuple[Layer | None, int]:
+
+def _url_runs(text: str, most: int) -> Runs:
+    return _runs(text, _URL, _read_url, most)
+
+
+def _escape_runs(text: str, most: int) -> Runs:
+    return _runs(text, _ESCAPE, _read_escapes, most)
+
+
+def _base64_runs(text: str, most: int, wrapped: bool = False) -> Runs:
+    """Runs one by one, or with line ends in them; where no lines join, both are the same.
+
+    Whether lines are one payload or a list of payloads cannot be told, hence both are read. Lines
+    that do not join from their first one are tried from one more, which leaves out a line above.
+    """
+    at, misses = 0, []
+    while m := _BASE64.search(text, at):
+        at = m.end()
+        ends = [at]
+        if wrapped and sum(end > m.start() for end in misses[-2:]) < 2:
+            ends = _lines_of(text, m)
+            if len(ends) > 1:
+                misses.append(ends[-1])
+        # the last line may be a word that follows
+        for end in sorted({ends[-1], ends[-2:][0], ends[0]}, reverse=True):
+            try:
+                found = _read_from(text[m.start() : end], ends[0] - m.start(), most)
+            except _TooLarge:
+                if not wrapped or end > ends[0]:  # others are counted one by one
+                    yield m.start(), end, None
+                at = end
+                break
+            if found:
+                yield m.start() + found[0], end, found[1]
+                at = end
+                break
+
+
+def _wrapped_runs(text: str, most: int) -> Runs:
+    if any(_NEXT_LINE.match(text, m.end()) for m in _BASE64.finditer(text) if m[0][-1] != "="):
+        yield from _base64_runs(text, most, True)
+
+
+_DECODERS = (("url", _url_runs), ("unicode", _escape_runs), ("base64", _wrapped_runs), ("base64", _base64_runs))
+
+
+def _decode(layer: Layer, name: str, runs, most: int) -> tuple[Layer | None, int]:
     """The layer with every readable run replaced, None without any; and how many were too large."""
     texts, arrays, at, refused = [], [], 0, 0
-    for m in pattern.finditer(layer.text):
-        try:
-            got = read(m[0], most)
-        except _TooLarge:
-            refused += 1
-            continue
+    for a, b, got in runs(layer.text, most):
         if got is None:
+            refused += 1
             continue
-        a, b = m.span()
         text, starts, ends = got
         texts += [layer.text[at:a], text]
         arrays.append((layer.start[at:a], layer.end[at:a], layer.decoded[at:a]))

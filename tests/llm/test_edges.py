@@ -144,6 +144,49 @@ def test_secret_layers_of_packed_bytes():
     assert secret_scan.scan_text(base64.b64encode(b"\xff\xfe password: hunter2hunter2").decode())[:2] == ([], 1)
 
 
+@pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (64, "\n  ")])
+def test_secret_layers_of_wrapped_runs(width, end):
+    """Secrets and characters across a wrap, packed data of many lines, what stands around them."""
+    random = np.random.default_rng(4)
+    noise = " ".join(map(str, random.integers(0, 1 << 60, 90)))
+    inner = "é" * 23 + "x password: hunter2hunter2 " + noise + " secret=abcdefgh12345678 ü"
+    for raw in (inner.encode(), gzip.compress(inner.encode()), zlib.compress(inner.encode())):
+        code = base64.b64encode(raw).decode()
+        lines = [code[i : i + width] for i in range(0, len(code), width)]
+        for before, after in (("é ", " z"), ("-----BEGIN A CERTIFICATE-----\n", "\n-----END A CERTIFICATE-----"),
+                              ("internationalisations\n", "\nword"), ("key_", "\n")):
+            text = before + end.join(lines) + after
+            place = [i for i, c in enumerate(text) if len(before) <= i < len(text) - len(after) and c not in " \r\n"]
+            want = set()
+            for secret in ("password: hunter2hunter2", "secret=abcdefgh12345678"):
+                a, b = (len(x.encode()) for x in (inner[: inner.index(secret)], inner[: inner.index(secret)] + secret))
+                if raw == inner.encode():
+                    want.add((place[a * 4 // 3], 0, place[-(-b * 4 // 3) - 1] + 1))
+                else:
+                    want.add((len(before), 0, len(text) - len(after)))
+            assert want <= {x[:3] for x in secret_scan.scan_text(text)[0]}, (before, raw[:2])
+
+
+def test_secret_layers_of_joined_and_listed_runs():
+    secret = "password: hunter2hunter2"
+    code = base64.b64encode(secret.encode()).decode()
+    for before in ("path/", "some/path-of_the/", "key_", "Pz8/", "x-y-"):
+        for raw in (secret.encode(), gzip.compress(secret.encode())):
+            joined = base64.b64encode(raw).decode()
+            spans = {x[:3] for x in secret_scan.scan_text(f"{before}{joined} z")[0]}
+            assert any(a in (len(before), 0) and b == len(before + joined) for a, _, b in spans), before
+    spans = {x[:3] for x in secret_scan.scan_text(f"{code}\n{code}\n{code}")[0]}
+    assert {(i * (len(code) + 1), 0, i * (len(code) + 1) + len(code)) for i in range(3)} <= spans
+
+
+def test_secret_layers_of_long_noise():
+    """Runs without an end in sight take time that grows with their length."""
+    code = base64.b64encode(b"???" * 60_000 + b"\xff").decode()
+    lines = "\n".join(code[i : i + 64] for i in range(0, len(code), 64))
+    for text in (code, lines, "x" * 200_000):
+        secret_scan.scan_text(text)
+
+
 def test_secret_scan_rows(docs, none, odd):
     assert secret_scan.digests(secret_scan.scan(docs)).count() == len(odd)
     assert secret_scan.scan(none).count() == 0
