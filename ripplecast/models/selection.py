@@ -12,6 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplecast.models.classifiers import DEEPEST
 from ripplecast.models.features import LABEL
 from ripplecast.operators.ordering import top_k
 
@@ -104,15 +105,15 @@ def _matrix(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return assembled.select("label", "features")
 
 
-def _importances(matrix: DataFrame, trees: int) -> list[float]:
-    forest = RandomForestClassifier(numTrees=trees, seed=SEED)
+def _importances(matrix: DataFrame, trees: int, depth: int) -> list[float]:
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
     return forest.fit(matrix).featureImportances.toArray().tolist()
 
 
 def tree_importance_top3(
-    df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 50
+    df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 50, depth: int = DEEPEST
 ) -> DataFrame:
-    scores = _importances(_matrix(df, columns, label), trees)
+    scores = _importances(_matrix(df, columns, label), trees, depth)
     return top_k(_score_table(df, dict(zip(columns, scores))), KEEP_NUMERIC)
 
 
@@ -148,14 +149,14 @@ def lasso_top3(
 
 
 def rfe_top3(
-    df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 100
+    df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 100, depth: int = DEEPEST
 ) -> DataFrame:
     """Drop the least important feature of a refitted forest until three remain."""
     left = list(columns)
-    scores = _importances(_matrix(df, left, label), trees)
+    scores = _importances(_matrix(df, left, label), trees, depth)
     while len(left) > KEEP_NUMERIC:
         left.pop(scores.index(min(scores)))
-        scores = _importances(_matrix(df, left, label), trees)
+        scores = _importances(_matrix(df, left, label), trees, depth)
     return top_k(_score_table(df, dict(zip(left, scores))), KEEP_NUMERIC)
 
 

@@ -63,6 +63,19 @@ def test_chi2_and_anova_against_numpy(spark):
         assert f[name] == pytest.approx(between / (within / 198))
 
 
+def test_forests_of_the_selectors_grow_to_the_end(spark):
+    """The label is the parity of three columns' bits; a split pays only below five others."""
+    fields = [(i, *[i >> k & 1 for k in range(8)]) for i in range(256)]
+    rows = [(*bits, sum(bits[:7]) % 2) for _, *bits in fields]
+    names = [f"b{k}" for k in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in [*names, "popularity"]))
+    grown = selection.tree_importance_top3(df, names, trees=3).collect()
+    cut = selection.tree_importance_top3(df, names, trees=3, depth=5).collect()
+    assert grown != cut
+    wide = selection.rfe_top3(df, names[:4], trees=3).collect()
+    assert wide == selection.rfe_top3(df, names[:4], trees=3, depth=classifiers.DEEPEST).collect()
+
+
 def test_vote_counts_discards(spark):
     rows = [("a", s, s < "C") for s in "ABCD"] + [("b", s, s < "B") for s in "ABCD"]
     cast = spark.createDataFrame(rows, "feature string, selector string, keep boolean")
