@@ -84,6 +84,11 @@ def feature_vote(spark, d):
     return selection.feature_vote(cast, discards_to_drop=2)
 
 
+def selector_vote(spark, d):
+    """The vote of the four selectors, of which two have no closed form and hence no SQL."""
+    return selection.feature_vote(predict.numeric_votes(prepared(spark, d)[0]))
+
+
 def assemble_features(spark, d):
     train, test, _ = prepared(spark, d)
     both = features.assemble_features(train.unionByName(test), MODEL_COLUMNS)
@@ -159,6 +164,7 @@ QUERIES = {
     "lasso_top3": lasso_top3,
     "rfe_top3": rfe_top3,
     "feature_vote": feature_vote,
+    "selector_vote": selector_vote,
     "assemble_features": assemble_features,
     "smote": smote,
     "model_lr": _scored(lambda train: classifiers.logistic(train.count())),

@@ -43,11 +43,10 @@ def prepare(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, li
     return *(features.clean_nulls(df, coded) for df in made), coded
 
 
-def select_features(train: DataFrame, coded: list[str], lasso_steps: int = 100) -> list[str]:
-    """Categorical columns chi-square keeps and numeric ones enough selectors keep."""
+def numeric_votes(train: DataFrame, lasso_steps: int = 100) -> DataFrame:
+    """(feature, selector, keep) of the numeric columns for the four selectors."""
     numeric = features.NUMERIC
-    categorical = [row["feature"] for row in selection.chi2_top10(train, coded).collect()]
-    cast = selection.votes(
+    return selection.votes(
         {
             "ANOVA": selection.anova_top3(train, numeric),
             "Trees": selection.tree_importance_top3(train, numeric),
@@ -57,7 +56,12 @@ def select_features(train: DataFrame, coded: list[str], lasso_steps: int = 100)
         numeric,
         train.sparkSession,
     )
-    kept = selection.feature_vote(cast).where("keep").collect()
+
+
+def select_features(train: DataFrame, coded: list[str], lasso_steps: int = 100) -> list[str]:
+    """Categorical columns chi-square keeps and numeric ones enough selectors keep."""
+    categorical = [row["feature"] for row in selection.chi2_top10(train, coded).collect()]
+    kept = selection.feature_vote(numeric_votes(train, lasso_steps)).where("keep").collect()
     return categorical + sorted(row["feature"] for row in kept)
 
 

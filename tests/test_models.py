@@ -83,6 +83,27 @@ def test_vote_counts_discards(spark):
     assert got == {"a": (2, True), "b": (3, False)}
 
 
+def test_vote_equals_sql_and_names_the_selectors(spark):
+    import duckdb
+
+    from ripplecast.catalogue import learning
+
+    rows = [(f, s, (i * 5 + k * 3) % 7 < 3) for i, f in enumerate("abcdefgh") for k, s in enumerate("ABCD")]
+    got = selection.feature_vote(spark.createDataFrame(rows, "feature string, selector string, keep boolean"))
+    listed = ", ".join(f"('{f}', '{s}', {k})" for f, s, k in rows)
+    want = duckdb.sql(f"""SELECT feature, count(*) FILTER (NOT keep), count(*) FILTER (NOT keep) < 3
+      FROM (VALUES {listed}) AS cast_(feature, selector, keep) GROUP BY feature""").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[2] for w in want}) == 2
+    assert "selector_vote" in learning.QUERIES
+    random = np.random.default_rng(1)
+    y = np.arange(60) % 2
+    rows = [(int(l), *map(float, random.normal(size=4) + l * np.array([3, 2, 1, 0]))) for l in y]
+    train = spark.createDataFrame(rows, "popularity int, " + ", ".join(f"{c} double" for c in features.NUMERIC))
+    votes = predict.numeric_votes(train, lasso_steps=3).collect()
+    assert {v["selector"] for v in votes} == {"ANOVA", "Trees", "Lasso Regression", "RFE"}
+    assert len(votes) == 16 and sum(v["keep"] for v in votes) == 12
+
+
 @pytest.mark.parametrize("leaf", [8, 10_000])
 def test_nearest_points_are_exact(spark, leaf):
     random = np.random.default_rng(9)
