@@ -1,7 +1,7 @@
 """Queries for feature building, selection, balancing and models.
 
-Model queries fit on all years but the last and score the last. Tree counts, depths and grids
-are small here so that a check takes seconds; the library's defaults are the full ones.
+Model queries fit on all years but the last and score the last, with the library's settings and on
+the columns that its selection keeps.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from ripplecast.session import cut_lineage, scratch_path
 
 LABEL = features.LABEL
 NUMERIC = features.NUMERIC
+# the columns of assemble_features, as its SQL lists them
 MODEL_COLUMNS = [*NUMERIC, "hashtags_True", "verified_True", "sentiment_Neutral",
                  "sentiment_Positive"]
-DEPTH, TREES, ROUNDS, BOOSTS, FOLDS = 5, 10, 5, 5, 3
 
 
 def kept_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -33,9 +33,15 @@ def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[st
     return predict.prepare(*features.split_by_last_year(stored))
 
 
+def selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train and test matrices of the kept columns, and these."""
+    train, test, coded = prepared(spark, d)
+    kept = predict.select_features(train, coded)
+    return *(features.assemble_features(df, kept).persist() for df in (train, test)), kept
+
+
 def matrices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    train, test, _ = prepared(spark, d)
-    return tuple(features.assemble_features(df, MODEL_COLUMNS).persist() for df in (train, test))
+    return selected(spark, d)[:2]
 
 
 def standardize(spark, d):
@@ -55,15 +61,15 @@ def anova_top3(spark, d):
 
 
 def tree_importance_top3(spark, d):
-    return selection.tree_importance_top3(prepared(spark, d)[0], NUMERIC, trees=TREES)
+    return selection.tree_importance_top3(prepared(spark, d)[0], NUMERIC)
 
 
 def lasso_top3(spark, d):
-    return selection.lasso_top3(prepared(spark, d)[0], NUMERIC, steps=4, folds=FOLDS)
+    return selection.lasso_top3(prepared(spark, d)[0], NUMERIC)
 
 
 def rfe_top3(spark, d):
-    return selection.rfe_top3(prepared(spark, d)[0], NUMERIC, trees=TREES)
+    return selection.rfe_top3(prepared(spark, d)[0], NUMERIC)
 
 
 def feature_vote(spark, d):
@@ -97,8 +103,9 @@ def assemble_features(spark, d):
 
 
 def smote(spark, d):
-    made = balance.smote(matrices(spark, d)[0])
-    values = [F.round(features.feature_value(i), 6).alias(c) for i, c in enumerate(MODEL_COLUMNS)]
+    train, _, kept = selected(spark, d)
+    made = balance.smote(train)
+    values = [F.round(features.feature_value(i), 6).alias(c) for i, c in enumerate(kept)]
     return made.select(LABEL, *values)
 
 
@@ -117,26 +124,24 @@ def kfold_assign(spark, d):
 
 
 def _folded(spark, d) -> DataFrame:
-    return evaluate.kfold_assign(matrices(spark, d)[0], ["tweet_id"], FOLDS)
+    return evaluate.kfold_assign(matrices(spark, d)[0], ["tweet_id"])
 
 
 def compare_models(spark, d):
     folded = _folded(spark, d)
-    models = classifiers.base_models(folded.count(), DEPTH, TREES, ROUNDS, BOOSTS)
+    models = classifiers.base_models(folded.count())
     return evaluate.comparison_summary(evaluate.compare_models(folded, models))
 
 
 def grid_search(spark, d):
-    grid = {"maxDepth": [DEPTH], "featureSubsetStrategy": ["2", "3"], "numTrees": [TREES]}
-    best = evaluate.grid_search(_folded(spark, d), grid, folds=FOLDS)
+    best = evaluate.grid_search(_folded(spark, d))
     rows = [(name, str(value)) for name, value in sorted(best.items())]
     return spark.createDataFrame(rows, "parameter string, value string")
 
 
 def train_evaluate(spark, d):
     train, test = matrices(spark, d)
-    model = classifiers.extra_trees(TREES, DEPTH, "3", 3, bootstrap=True)
-    scored, _ = evaluate.train_evaluate(model, train, test, scratch_path(spark, "model"))
+    scored, _ = evaluate.train_evaluate(evaluate.tuned_model(), train, test, scratch_path(spark, "model"))
     return evaluate.classification_report(scored)
 
 
@@ -151,7 +156,7 @@ def classification_report(spark, d):
 def batch_predict(spark, d):
     train, test = matrices(spark, d)
     path = scratch_path(spark, "model")
-    evaluate.train_evaluate(classifiers.forest(TREES, DEPTH), train, test, path)
+    evaluate.train_evaluate(classifiers.forest(), train, test, path)
     scored = evaluate.batch_predict(path, test)
     return scored.select("tweet_id", F.col("prediction").cast("int"))
 
@@ -169,12 +174,12 @@ QUERIES = {
     "smote": smote,
     "model_lr": _scored(lambda train: classifiers.logistic(train.count())),
     "model_lda": _scored(lambda train: classifiers.LinearDiscriminant()),
-    "model_cart": _scored(lambda train: classifiers.cart(DEPTH)),
+    "model_cart": _scored(lambda train: classifiers.cart()),
     "model_nb": _scored(lambda train: classifiers.gaussian_bayes()),
-    "model_adaboost": _scored(lambda train: classifiers.AdaBoost(ROUNDS)),
-    "model_gbm": _scored(lambda train: classifiers.boosted_trees(BOOSTS)),
-    "model_rf": _scored(lambda train: classifiers.forest(TREES, DEPTH)),
-    "model_extra_trees": _scored(lambda train: classifiers.extra_trees(TREES, DEPTH)),
+    "model_adaboost": _scored(lambda train: classifiers.AdaBoost()),
+    "model_gbm": _scored(lambda train: classifiers.boosted_trees()),
+    "model_rf": _scored(lambda train: classifiers.forest()),
+    "model_extra_trees": _scored(lambda train: classifiers.extra_trees()),
     "kfold_assign": kfold_assign,
     "compare_models": compare_models,
     "grid_search": grid_search,

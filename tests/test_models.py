@@ -225,3 +225,36 @@ def test_whole_prediction_run(spark, tmp_path, inside):
     )
     assert outcome.accuracy > 0.9 and "followers" in outcome.kept
     assert outcome.comparison.count() == 4 and outcome.report.count() == 5
+
+
+def test_registered_queries_use_library_settings_and_kept_columns(spark, monkeypatch):
+    from ripplecast.catalogue import learning
+
+    class Anything:
+        def __getattr__(self, name):
+            return lambda *args, **named: self
+
+    calls = {}
+
+    def recorded(name, found):
+        return lambda *args, **named: calls.update({name: (args, named)}) or found
+
+    df = spark.createDataFrame([(1, 1, 2.0, 3.0)], "tweet_id long, popularity int, a double, b double")
+    monkeypatch.setattr(learning, "prepared", lambda s, d: (df, df, ["a", "b"]))
+    monkeypatch.setattr(predict, "select_features", lambda train, coded: ["b"])
+    train, _ = learning.matrices(spark, "")
+    assert [r["features"].toArray().tolist() for r in train.collect()] == [[3.0]]
+    monkeypatch.setattr(learning, "matrices", lambda s, d: (Anything(), Anything()))
+    monkeypatch.setattr(learning, "_folded", lambda s, d: Anything())
+    makers = {"cart": "cart", "adaboost": "AdaBoost", "gbm": "boosted_trees", "rf": "forest", "extra_trees": "extra_trees"}
+    for query, name in makers.items():
+        monkeypatch.setattr(classifiers, name, recorded(name, Anything()))
+        learning.QUERIES[f"model_{query}"](spark, "")
+        assert calls[name] == ((), {}), name
+    for name in ("tree_importance_top3", "lasso_top3", "rfe_top3"):
+        monkeypatch.setattr(selection, name, recorded(name, None))
+        learning.QUERIES[name](spark, "")
+        assert calls[name][1] == {} and len(calls[name][0]) == 2, name
+    monkeypatch.setattr(evaluate, "grid_search", recorded("grid_search", {}))
+    learning.grid_search(spark, "")
+    assert calls["grid_search"][1] == {} and len(calls["grid_search"][0]) == 1
