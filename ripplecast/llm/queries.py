@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast.llm import bpe, embedding, exact_dedup, minhash, mixing, secret_scan, sharding, token_files
-from ripplecast.llm import toxicity, warc
+from ripplecast.llm import toxicity, vector_codes, warc
 from ripplecast.llm.common import table
 from ripplecast.session import scratch_path
 
@@ -73,6 +73,10 @@ def op10_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_trie_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     name: function
     for name, function in dict(globals()).items()
@@ -103,4 +107,51 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM f
 """
 
-ORACLE = {"op2_warc_archive": _WARC, "op6_digest_index": _EXACT}
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One table of assignments and one of codebooks a round; lists are taken apart into rows."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+a{turn} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(e, dist * {entries} + e) AS e, min(dist) AS dist FROM (
+    SELECT x.vec_id, x.p, b.e, CAST(sum((x.v - b.v) * (x.v - b.v)) AS BIGINT) AS dist
+    FROM x JOIN b{turn} b ON x.p = b.p AND x.k = b.k GROUP BY x.vec_id, x.p, b.e
+  ) GROUP BY vec_id, p)""")
+        if turn < rounds:
+            steps.append(f"""
+b{turn + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.k, COALESCE(m.v, b.v) AS v FROM b{turn} b LEFT JOIN (
+    SELECT p, e, k, (s - ((s % n) + n) % n) // n AS v FROM (
+      SELECT x.p, a.e, x.k, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS n
+      FROM x JOIN a{turn} a ON x.vec_id = a.vec_id AND x.p = a.p GROUP BY x.p, a.e, x.k)
+  ) m ON b.p = m.p AND b.e = m.e AND b.k = m.k)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS q, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), flat AS (
+  SELECT vec_id, w, unnest(range(0, len(q))) AS i, unnest(q) AS c FROM kept
+), x AS MATERIALIZED (
+  SELECT vec_id, i // w AS p, i % w AS k, CAST(floor(CAST(c AS DOUBLE) * 4096) AS BIGINT) AS v FROM flat
+), b0 AS MATERIALIZED (
+  SELECT x.p, s.e, x.k, x.v FROM x
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) s ON x.vec_id = s.vec_id
+  WHERE s.e < {entries}
+), {",".join(steps)},
+c AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code,
+    CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY kept.label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, k)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN kept USING (vec_id)
+"""
+
+
+ORACLE = {
+    "op2_warc_archive": _WARC,
+    "op6_digest_index": _EXACT,
+    "op11_trie_vector_codes": _vector_codes(),
+}
