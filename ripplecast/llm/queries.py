@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplecast.llm import bpe, embedding, exact_dedup, minhash, mixing, secret_scan, sharding, token_files
-from ripplecast.llm import toxicity, vector_codes, warc
+from ripplecast.llm import bpe, embedding, exact_dedup, licenses, minhash, mixing, phrases, secret_scan
+from ripplecast.llm import sharding, token_files, toxicity, vector_codes, warc
 from ripplecast.llm.common import table
 from ripplecast.session import scratch_path
 
@@ -77,6 +77,14 @@ def op11_trie_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_best_first_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     name: function
     for name, function in dict(globals()).items()
@@ -149,9 +157,56 @@ SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY kept.labe
 FROM c JOIN kept USING (vec_id)
 """
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT doc, lang, unnest(range(1, len(cut) + 1)) AS p, unnest(cut) AS piece FROM (
+    SELECT row_number() OVER () AS doc, COALESCE(lang, 'und') AS lang,
+      string_split_regex(translate(COALESCE(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS cut FROM documents)
+), worded AS (
+  SELECT doc, lang, p, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM (
+    SELECT doc, lang, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces)
+), grams AS (
+  SELECT lang, w AS w1, lead(w) OVER follow AS w2, lead(w, 2) OVER follow AS w3 FROM worded
+  WINDOW follow AS (PARTITION BY doc, p ORDER BY i)
+), named AS (
+  SELECT lang, 1 AS m, w1 AS phrase FROM grams
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM grams WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM grams WHERE w3 IS NOT NULL
+), f AS MATERIALIZED (
+  SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS a FROM named GROUP BY lang, m, phrase
+), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k,
+    array_to_string(string_split(c.phrase, ' ')[1 : k], ' ') AS head,
+    array_to_string(string_split(c.phrase, ' ')[k + 1 :], ' ') AS tail
+  FROM f c, (VALUES (1), (2)) cut(k) WHERE c.m > 1 AND k < c.m AND c.a >= 10
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head AND x.m = c.k
+    JOIN f y ON y.lang = c.lang AND y.phrase = c.tail AND y.m = c.m - c.k
+), best AS MATERIALIZED (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, a, array_to_string(string_split(phrase, ' ')[s : s + 1], ' ') AS part
+  FROM best, (VALUES (1), (2)) starts(s) WHERE m = 3
+), gone AS (
+  SELECT DISTINCT b.lang, b.phrase FROM best b
+  JOIN parts p ON b.lang = p.lang AND b.phrase = p.part WHERE b.m = 2 AND 100 * p.a >= 50 * b.a
+), ranked AS (
+  SELECT lang, phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best ANTI JOIN gone USING (lang, phrase)
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+  CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 ORACLE = {
     "op2_warc_archive": _WARC,
     "op6_digest_index": _EXACT,
+    "op12_best_first_phrases": _PHRASES,
     "op11_trie_vector_codes": _vector_codes(),
 }

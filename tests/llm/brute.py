@@ -136,3 +136,74 @@ def crc(data):
 
 def sha1_base32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """({id: (code, error)}, codebooks) for [(id, vector)] of one length."""
+    kept = sorted(
+        ((i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)),
+        key=lambda r: (r[0] is None, r[0] or 0, r[1]),
+    )
+    size = len(kept[0][1])
+    cuts = [p * size // parts for p in range(parts + 1)]
+    cut = lambda q, p: q[cuts[p] : cuts[p + 1]]
+    books = [[cut(q, p) for _, q in kept[:entries]] for p in range(parts)]
+
+    def pick(part, book):
+        far = [sum((a - b) ** 2 for a, b in zip(part, entry)) for entry in book]
+        return far.index(min(far)), min(far)
+
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            groups = defaultdict(list)
+            for _, q in kept:
+                groups[pick(cut(q, p), book)[0]].append(cut(q, p))
+            for e, own in groups.items():
+                book[e] = [sum(c) // len(own) for c in zip(*own)]
+    coded = []
+    for i, q in kept:
+        found = [pick(cut(q, p), book) for p, book in enumerate(books)]
+        coded.append((i, "".join(f"{e:02x}" for e, _ in found), sum(d for _, d in found)))
+    return coded, books
+
+
+def phrases(rows, least=10, limit=2000, drop_share=50):
+    """{(lang, rank): (phrase, a, l, r, n, score)} for [(text, lang)]."""
+    counts, total = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            found = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(found)
+            for size in (1, 2, 3):
+                counts[lang].update(tuple(found[i : i + size]) for i in range(len(found) - size + 1))
+    best = {}
+    for lang, f in counts.items():
+        known = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        gone = set()
+        for p, a in known.items():
+            if len(p) == 3:
+                gone |= {q for q in (p[:2], p[1:]) if q in known and 100 * a >= drop_share * known[q]}
+        ranked = []
+        for p, a in known.items():
+            if p not in gone:
+                score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                ranked.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(ranked)[:limit], 1):
+            best[lang, rank] = (p.decode(), -a, left, right, total[lang], -score)
+    return best
+
+
+LICENSES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def base_licenses(text):
+    """(words, [(place, label)]) of the phrases themselves."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    places = []
+    for phrase, label in LICENSES.items():
+        size = len(phrase.split())
+        places += [(i, label) for i in range(len(found)) if found[i : i + size] == phrase.split()]
+    return found, places
