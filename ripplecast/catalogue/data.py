@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast import adapters as ad
+from ripplecast import schemas
 from ripplecast.functions import numeric as nm
 from ripplecast.functions import text as tx
 from ripplecast.functions import timeparts as tp
 from ripplecast.functions import topics as tg
-from ripplecast.functions.sentiment import SENTIMENTS, sentiment_class, sentiment_score
+from ripplecast.functions.sentiment import SENTIMENTS, Rules, sentiment_class, sentiment_score, with_compound
 from ripplecast.models import features as ft
 from ripplecast.operators import cascades as cs
 from ripplecast.operators import filters as fl
@@ -23,9 +24,10 @@ from ripplecast.operators import stats as st
 from ripplecast.plans import process as pr
 from ripplecast.session import scratch_path
 from ripplecast.sources import api, csvfiles, tables
+from ripplecast.streaming import ingest
 
 PAGE = 100
-SAMPLE_CAP = 3
+SAMPLE_TOTAL = 600
 BOX_COLUMNS = ["like_count", "retweet_count", "followers", "following", "seniority"]
 
 
@@ -290,6 +292,47 @@ def sink_by_year(spark, d):
     )
 
 
+def encoded_years(spark, d):
+    """The encodings that the yearly tables of processed posts carry."""
+    posts, info = scratch_path(spark, "posts"), scratch_path(spark, "info")
+    pr.process_and_save(
+        ad.tw(spark, d), ad.us(spark, d), ad.rt(spark, d), ad.rtu(spark, d), ad.lexicon(spark),
+        posts, info,
+    )
+    held = tables.scan_table(spark, posts)
+    ones = {"positive": "sentiment_Positive", "monday": "day_of_week_Monday", "verified_one": "verified_True"}
+    return held.select(
+        "tweet_id", *[f"{column}_enc" for column in ft.LABELLED],
+        *[F.col(f"`{column}`").alias(name) for name, column in ones.items()],
+    )
+
+
+def unreadable_values(spark, d):
+    """Rows of a file of users whose follower count is no number in every seventh."""
+    path = scratch_path(spark, "users")
+    broken = F.when(F.col("user_id") % 7 == 0, F.lit("many")).otherwise(F.col("followers").cast("string"))
+    users = ad.us(spark, d).withColumns({"followers": broken, "created_at": stamp_text(F.col("created_at"))})
+    users.write.option("header", True).csv(path)
+    return csvfiles.unreadable(spark, path, schemas.USERS)
+
+
+def incremental_ingest(spark, d):
+    """Two drops of pages, the second ending between its two tables and being run again."""
+    drop, target, marks = (scratch_path(spark, name) for name in ("drop", "ingested", "marks"))
+    pages = tweet_pages(spark, d).withColumn("_half", F.xxhash64(F.col("data")[0]["id"]) % 2 == 0)
+    pages.where("_half").select("data", "includes").coalesce(1).write.mode("append").json(drop)
+    ingest.incremental_ingest(spark, drop, target, marks, 1)
+    pages.where("NOT _half").select("data", "includes").coalesce(1).write.mode("append").json(drop)
+    ingest.incremental_ingest(spark, drop, target, marks, 1)
+    stored_posts = spark.read.parquet(f"{target}/tweets").select(
+        F.lit("post").alias("kind"), F.col("tweet_id").alias("id"), F.col("retweet_count").alias("number")
+    )
+    stored_users = spark.read.parquet(f"{target}/users").select(
+        F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("followers").alias("number")
+    )
+    return stored_posts.unionByName(stored_users)
+
+
 def append_state(spark, d):
     path = scratch_path(spark, "state")
     posts = _years(ad.tw(spark, d)).select("year", "tweet_id", "retweet_count")
@@ -487,16 +530,17 @@ def keyword_profiles(spark, d):
     return tables.union_years(parts).withColumn("pct", F.round("pct", 6)).fillna(-1)
 
 
-def _cascade_parts(spark, d):
+def _cascade_parts(spark, d, ordered: bool):
     posts = pr.time_parts(pr.topic_columns(ad.tw(spark, d))).select(
         "tweet_id", "timestamp", "year", "topics_cleaned"
     )
-    return posts, cs.cascade_facts(ad.rti(spark, d), ad.RESHARE_ORDER)
+    info = ad.rti(spark, d)
+    return posts, cs.cascade_facts(info, ad.RESHARE_ORDER) if ordered else cs.cascade_sums(info)
 
 
-def _cascade(operator):
+def _cascade(operator, ordered: bool = True):
     def query(spark, d):
-        posts, facts = _cascade_parts(spark, d)
+        posts, facts = _cascade_parts(spark, d, ordered)
         return operator(posts, facts, ["year", "topics_cleaned"]).fillna("none")
 
     return query
@@ -515,11 +559,15 @@ def retweeter_characteristics(spark, d, above=0):
 
 def distinct_values(spark, d):
     posts = pr.time_parts(pr.topic_columns(ad.tw(spark, d)))
-    years = [str(y) for y in od.distinct_values(posts, "year")]
-    topics = od.distinct_values(posts, "topics_cleaned")
-    rows = [("year", i, v) for i, v in enumerate(years)]
-    rows += [("topic", i, v) for i, v in enumerate(topics)]
-    return spark.createDataFrame(rows, "kind string, place int, value string")
+    rows = None
+    for kind, column in (("year", "year"), ("topic", "topics_cleaned")):
+        place = {"place": F.lit(1).cast("long")}
+        values = od.running_sums(od.distinct_values(posts, column), [column], place).select(
+            F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"),
+            F.col(column).cast("string").alias("value"),
+        )
+        rows = values if rows is None else rows.unionByName(values)
+    return rows
 
 
 def boxplot_stats(spark, d):
@@ -531,6 +579,12 @@ def boxplot_stats(spark, d):
     return both.withColumns({name: F.round(name, 6) for name in numbers})
 
 
+def boxplot_by_topic(spark, d):
+    found = st.boxplot_stats(ad.proc(spark, d), BOX_COLUMNS, by=["topics_cleaned"])
+    numbers = [name for name in found.columns if name not in ("variable", "topics_cleaned")]
+    return found.withColumns({name: F.round(name, 6) for name in numbers})
+
+
 def corr_pearson(spark, d):
     return st.corr_pearson(ad.tw(spark, d), "retweet_count", "like_count").select(
         F.round("pearson", 9).alias("pearson")
@@ -579,10 +633,25 @@ def share_of_total(spark, d):
     return pf.share_of_total(cells).withColumn("pct", F.round("pct", 6))
 
 
-def stratified_sample(spark, d):
+def _sampled(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Events and a plan that begins some days before them and ends after them."""
     events = ad.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    picked = sp.stratified_sample(events, SAMPLE_CAP, "ts", "event_id")
-    return picked.select("event_id", F.col("date").cast("string").alias("date"), "hour")
+    day = F.to_date("ts")
+    first, last = events.agg(F.date_sub(F.min(day), 4), F.date_add(F.max(day), 3)).first()
+    return events, sp.sampling_plan(spark, str(first), str(last), SAMPLE_TOTAL)
+
+
+def stratified_sample(spark, d):
+    events, plan = _sampled(spark, d)
+    picked = sp.stratified_sample(events, plan, "ts", "event_id")
+    return picked.select("event_id", F.col("date").cast("string").alias("date"), "hour", "cap")
+
+
+def sampling_plan(spark, d):
+    """What every window of the plan finds and takes."""
+    events, plan = _sampled(spark, d)
+    found = sp.plan_yield(events, plan, "ts", "event_id")
+    return found.withColumn("date", F.col("date").cast("string"))
 
 
 def sort_by_time(spark, d):
@@ -686,6 +755,20 @@ def sentiment_score_query(spark, d):
     )
 
 
+# Words of the given texts in the parts that the rules give to words.
+RULED_WORDS = [("the", 0.25), ("and", -0.5), ("to", 1.5), ("of", -1.25), ("la", 0.75), ("le", -0.5), ("de", 0.375),
+               ("great", 3.1), ("good", 1.9), ("est", 0.5)]
+RULES = Rules(
+    negators=("for", "not", "et"), boosters={"in": 0.293, "is": -0.293, "que": 0.293}, contrasts=("that", "un")
+)
+
+
+def sentiment_rules(spark, d):
+    """All rules at work over every given text."""
+    scored = with_compound(_texts(spark, d), dict(RULED_WORDS), rules=RULES)
+    return scored.select("kind", "id", "part", F.round("compound", 9).alias("compound"))
+
+
 def _texts(spark, d) -> DataFrame:
     """Every text the driver ships, beside the posts' own."""
     documents = ad.table(spark, d, "documents").select(
@@ -813,6 +896,9 @@ QUERIES = {
     "sink_nested": sink_nested,
     "sink_follows": sink_follows,
     "sink_by_year": sink_by_year,
+    "encoded_years": encoded_years,
+    "unreadable_values": unreadable_values,
+    "incremental_ingest": incremental_ingest,
     "append_state": append_state,
     "extract_tweet": extract_tweet,
     "extract_user": extract_user,
@@ -852,8 +938,8 @@ QUERIES = {
     "popular_share": popular_share,
     "keyword_year_counts": keyword_year_counts,
     "keyword_profiles": keyword_profiles,
-    "cascade_avg_followers": _cascade(cs.cascade_avg_followers),
-    "cascade_avg_age": _cascade(cs.cascade_avg_age),
+    "cascade_avg_followers": _cascade(cs.cascade_avg_followers, ordered=False),
+    "cascade_avg_age": _cascade(cs.cascade_avg_age, ordered=False),
     "cascade_timing": _cascade(cs.cascade_timing),
     "cascade_follower_halves": _cascade(cs.cascade_follower_halves),
     "dedup_keep_first": dedup_keep_first,
@@ -861,6 +947,7 @@ QUERIES = {
     "popular_retweeter_characteristics": lambda spark, d: retweeter_characteristics(spark, d, 10),
     "distinct_values": distinct_values,
     "boxplot_stats": boxplot_stats,
+    "boxplot_by_topic": boxplot_by_topic,
     "corr_pearson": corr_pearson,
     "corr_spearman": corr_spearman,
     "corr_kendall": corr_kendall,
@@ -869,6 +956,7 @@ QUERIES = {
     "share_of_total": share_of_total,
     "first_touch_half": first_touch_half,
     "stratified_sample": stratified_sample,
+    "sampling_plan": sampling_plan,
     "sort_by_time": sort_by_time,
     "category_order": category_order,
     "top_k_features": top_k_features,
@@ -884,6 +972,7 @@ QUERIES = {
     "topic_defaults": topic_defaults,
     "sentiment_class": sentiment_class_query,
     "sentiment_score": sentiment_score_query,
+    "sentiment_rules": sentiment_rules,
     "has_hashtag": has_hashtag,
     "popularity": popularity,
     "popularity_rt_quote": popularity_rt_quote,

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast import adapters as ad
-from ripplecast.models import balance, classifiers, evaluate, features, selection
+from ripplecast.models import balance, classifiers, evaluate, features, selection, stages
 from ripplecast.operators import filters as fl
+from ripplecast.operators import stats
 from ripplecast.operators.ordering import top_k
 from ripplecast.plans import predict
-from ripplecast.session import cut_lineage, scratch_path
+from ripplecast.session import cut_lineage, scratch_path, stored
 
 LABEL = features.LABEL
 NUMERIC = features.NUMERIC
@@ -27,17 +28,29 @@ def kept_rows(spark: SparkSession, d: str) -> DataFrame:
     return predict.model_rows(fl.outlier_filter(ad.proc(spark, d)))
 
 
+#: What the models are prepared from; texts and counts they do not use stay behind.
+_NEEDED = ["tweet_id", "year", "topics_ids", "retweet_count", *NUMERIC, *features.ONE_HOT]
+
+
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Train and test rows from one stored copy, as between stages of a real run."""
-    stored = cut_lineage(kept_rows(spark, d))
-    return predict.prepare(*features.split_by_last_year(stored))
+    needed = list(dict.fromkeys(_NEEDED))
+    held = stored(kept_rows(spark, d).select(*needed), "kept")
+    return predict.prepare(*features.split_by_last_year(held))
+
+
+_selections: dict[tuple[str, str], tuple[DataFrame, DataFrame, list[str]]] = {}
 
 
 def selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Train and test matrices of the kept columns, and these."""
-    train, test, coded = prepared(spark, d)
-    kept = predict.select_features(train, coded)
-    return *(features.assemble_features(df, kept).persist() for df in (train, test)), kept
+    """Train and test matrices of the kept columns, and these; stored once for a session's tables."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _selections:
+        train, test, coded = prepared(spark, d)
+        kept = predict.select_features(train, coded)
+        tables = (stored(features.assemble_features(df, kept), "matrix") for df in (train, test))
+        _selections[at] = (*tables, kept)
+    return _selections[at]
 
 
 def matrices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -128,15 +141,16 @@ def _folded(spark, d) -> DataFrame:
 
 
 def compare_models(spark, d):
+    """Mean and deviation of every model's fold scores, and their box statistics."""
     folded = _folded(spark, d)
-    models = classifiers.base_models(folded.count())
-    return evaluate.comparison_summary(evaluate.compare_models(folded, models))
+    scores = evaluate.compare_models(folded, classifiers.base_models(folded.count()))
+    boxes = stats.boxplot_stats(scores, ["score"], by=["model"]).drop("variable")
+    return evaluate.comparison_summary(scores).join(boxes, "model")
 
 
 def grid_search(spark, d):
-    best = evaluate.grid_search(_folded(spark, d))
-    rows = [(name, str(value)) for name, value in sorted(best.items())]
-    return spark.createDataFrame(rows, "parameter string, value string")
+    """The score of every combination of the grid."""
+    return evaluate.grid_scores(_folded(spark, d))
 
 
 def train_evaluate(spark, d):
@@ -153,12 +167,40 @@ def classification_report(spark, d):
     return report.withColumns({m: F.round(m, 9) for m in ("precision", "recall", "f1")})
 
 
+def _saved(spark, d, models: dict) -> tuple[dict[str, str], DataFrame]:
+    """Where each model was saved with its preparation, and the posts of the last year."""
+    posts = cut_lineage(fl.outlier_filter(ad.proc(spark, d)))
+    train, test = features.split_by_last_year(posts)
+    fitted = predict.fit_preparation(train)
+    rows, scored, coded = predict.prepare(train, test, fitted)
+    rows = rows.persist()
+    kept = predict.select_features(rows, coded)
+    matrices = [cut_lineage(features.assemble_features(df, kept)) for df in (rows, scored)]
+    rows.unpersist()
+    paths, before = {}, stages.preparation(*fitted, kept)
+    for name, model in models.items():
+        paths[name] = scratch_path(spark, "model")
+        evaluate.train_evaluate(model, *matrices, paths[name], before=before)
+    return paths, test
+
+
+def save_model(spark, d):
+    """Predictions for posts of the closed-form, the boosted and the usual model, each saved and loaded."""
+    models = {"LDA": classifiers.LinearDiscriminant(), "AB": classifiers.AdaBoost(), "ET": evaluate.tuned_model()}
+    paths, posts = _saved(spark, d, models)
+    made = None
+    for name, path in paths.items():
+        scored = evaluate.batch_predict(path, posts).select(
+            "tweet_id", F.lit(name).alias("model"), F.col("prediction").cast("int")
+        )
+        made = scored if made is None else made.unionByName(scored)
+    return made
+
+
 def batch_predict(spark, d):
-    train, test = matrices(spark, d)
-    path = scratch_path(spark, "model")
-    evaluate.train_evaluate(classifiers.forest(), train, test, path)
-    scored = evaluate.batch_predict(path, test)
-    return scored.select("tweet_id", F.col("prediction").cast("int"))
+    """Posts of the last year, scored by a model of the years before that was saved with its preparation."""
+    paths, posts = _saved(spark, d, {"RFC": classifiers.forest()})
+    return evaluate.batch_predict(paths["RFC"], posts).select("tweet_id", F.col("prediction").cast("int"))
 
 
 QUERIES = {
@@ -185,5 +227,6 @@ QUERIES = {
     "grid_search": grid_search,
     "train_evaluate": train_evaluate,
     "classification_report": classification_report,
+    "save_model": save_model,
     "batch_predict": batch_predict,
 }

@@ -3,10 +3,34 @@
 from __future__ import annotations
 
 from ripplecast.adapters import LEXICON, SOURCES, TEXTS, TOPIC_NAMES
-from ripplecast.functions.sentiment import NEGATORS, SENTIMENTS
-from ripplecast.functions.text import COVID_KEYWORDS
-from ripplecast.functions.timeparts import DAY_PHASES, MONTHS, WEEK_DAYS
-from ripplecast.functions.topics import TOPICS
+
+# Fixed values, written out here so that the SQL does not follow the library's own lists.
+NEGATORS = ["not", "never", "no"]
+SENTIMENTS = ["Negative", "Neutral", "Positive"]
+MONTHS = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September",
+    "October", "November", "December",
+]
+WEEK_DAYS = [
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+]
+DAY_PHASES = [
+    "Morning", "Afternoon", "Dusk", "Night", "Middle of the night",
+]
+TOPICS = [
+    "Brand", "Holiday", "Person", "Interest and Hobbies", "Sport", "TV and Movies", "Other",
+    "Video Game", "Entities", "Political", "Music", "Book", "News",
+]
+COVID_KEYWORDS = [
+    "Coronavirus", "Corona", "CDC", "Ncov", "Wuhan", "Outbreak", "China", "Koronavirus",
+    "Wuhancoronavirus", "Wuhanlockdown", "N95", "Kungflu", "Epidemic", "Sinophobia", "Covid-19",
+    "Corona virus", "Covid19", "Sars-cov-2", "COVID–19", "COVD", "Pandemic", "Coronapocalypse",
+    "CancelEverything", "Coronials", "SocialDistancing", "Panic buying", "DuringMy14DayQuarantine",
+    "Panic shopping", "InMyQuarantineSurvivalKit", "chinese virus", "stayhomechallenge",
+    "DontBeASpreader", "lockdown", "shelteringinplace", "staysafestayhome", "trumppandemic",
+    "flatten the curve", "GetMePPE", "covidiot", "epitwitter", "Pandemie", "PneumoniaWuhan",
+    "CoronaVirusInfo", "V2019N", "CDCemergency", "CDCgov", "WHO", "HHSGov", "NIAIDNews",
+]
 
 
 def quoted(value) -> str:
@@ -279,6 +303,66 @@ def boxes() -> str:
     return f"SELECT variable, {rounded} FROM ({' UNION ALL '.join(parts)})"
 
 
+def boxes_by_topic() -> str:
+    columns = ["like_count", "retweet_count", "followers", "following", "seniority"]
+    long = " UNION ALL ".join(
+        f"SELECT topics_cleaned, '{c}' AS variable, CAST({c} AS DOUBLE) AS v FROM proc" for c in columns
+    )
+    return f""", long AS ({long}), box AS (
+      SELECT topics_cleaned AS t, variable AS name, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2,
+        quantile_cont(v, 0.75) AS q3 FROM long GROUP BY t, name)
+    SELECT topics_cleaned, variable, round(min(v), 6) AS min,
+      round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(q1), 6) AS q1,
+      round(max(q2), 6) AS median, round(max(q3), 6) AS q3,
+      round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high, round(max(v), 6) AS max
+    FROM long JOIN box ON variable = name AND topics_cleaned IS NOT DISTINCT FROM t
+    GROUP BY topics_cleaned, variable"""
+
+
+# At least 10 and at most 100 rows a request, five windows a day, 600 rows in all.
+_PLAN = """, span AS (
+  SELECT CAST(min(CAST(ts AS DATE)) - 4 AS DATE) AS a, CAST(max(CAST(ts AS DATE)) + 3 AS DATE) AS b FROM events),
+daily AS (SELECT 600.0 / (date_diff('day', a, b) + 1) AS s FROM span),
+quota AS (SELECT floor(least(greatest(s, 10), 100)) * ceil(s / 100) / 5.0 AS s FROM daily),
+caps AS (SELECT CAST(floor(least(greatest(s, 10), 100)) * ceil(s / 100) AS INTEGER) AS cap FROM quota)"""
+
+_RULED = f""", tokens AS (
+  SELECT kind, id, part, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM (
+    SELECT kind, id, part, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM texts)),
+bared AS (
+  SELECT *, CASE WHEN trim(w, {_PUNCTUATION}) = '' THEN w ELSE trim(w, {_PUNCTUATION}) END AS b FROM tokens),
+lowered AS (SELECT *, lower(b) AS l, upper(b) = b AND lower(b) <> b AS loud FROM bared),
+known(word, v) AS (VALUES ('the', 0.25), ('and', -0.5), ('to', 1.5), ('of', -1.25), ('la', 0.75), ('le', -0.5),
+  ('de', 0.375), ('great', 3.1), ('good', 1.9), ('est', 0.5)),
+boosts(word, s) AS (VALUES ('in', 0.293), ('is', -0.293), ('que', 0.293)),
+whole AS (
+  SELECT kind, id, part, bool_or(loud) AND NOT bool_and(loud) AS mixed,
+    min(i) FILTER (l IN ('that', 'un')) AS turn FROM lowered GROUP BY kind, id, part),
+described AS (
+  SELECT kind, id, part, i, turn, CAST(v AS DOUBLE) AS v, s, CASE WHEN mixed AND loud THEN 0.733 ELSE 0.0 END AS stress,
+    l IN ('for', 'not', 'et') OR suffix(l, 'n''t') AS denies
+  FROM lowered JOIN whole USING (kind, id, part) LEFT JOIN known ON l = known.word LEFT JOIN boosts ON l = boosts.word),
+boosted AS (
+  SELECT *, v + sign(v) * stress AS u,
+    CASE WHEN v IS NULL THEN coalesce(s + stress, 0.0) ELSE 0.0 END AS boost FROM described),
+placed AS (
+  SELECT *, lag(boost, 1, 0.0) OVER w + 0.95 * lag(boost, 2, 0.0) OVER w + 0.9 * lag(boost, 3, 0.0) OVER w AS boosts,
+    lag(denies, 1, false) OVER w OR lag(denies, 2, false) OVER w OR lag(denies, 3, false) OVER w AS denied
+  FROM boosted WINDOW w AS (PARTITION BY kind, id, part ORDER BY i)),
+summed AS (
+  SELECT kind, id, part, sum((u + sign(u) * boosts) * CASE WHEN denied THEN -0.74 ELSE 1.0 END
+    * CASE WHEN turn IS NULL THEN 1.0 WHEN i < turn THEN 0.5 WHEN i > turn THEN 1.5 ELSE 0.0 END) AS s
+  FROM placed GROUP BY kind, id, part),
+marked AS (
+  SELECT kind, id, part, coalesce(s, 0.0) AS s,
+    least(len(text) - len(replace(text, '!', '')), 4) * 0.292 + CASE
+      WHEN len(text) - len(replace(text, '?', '')) > 3 THEN 0.96
+      WHEN len(text) - len(replace(text, '?', '')) > 1 THEN (len(text) - len(replace(text, '?', ''))) * 0.18
+      ELSE 0.0 END AS e
+  FROM texts LEFT JOIN summed USING (kind, id, part)),
+total AS (SELECT *, coalesce(s + CASE WHEN abs(s) < 1e-9 THEN 0 ELSE sign(s) END * e, 0.0) AS t FROM marked)
+SELECT kind, id, part, round(t / sqrt(t * t + 15.0), 9) AS compound FROM total"""
+
 _SPEARMAN = """SELECT round(corr(rx, ry), 9) AS spearman FROM (
   SELECT rank() OVER (ORDER BY retweet_count) + (count(*) OVER (PARTITION BY retweet_count) - 1) / 2.0
       AS rx,
@@ -322,11 +406,11 @@ def rank_of(column: str) -> str:
 _LABELLED = ["day_phase", "day_of_week", "month", "year", "sentiment", "verified", "hashtags"]
 
 
-def labels() -> str:
+def labels(rows: str = "proc", more: str = "") -> str:
     ranks = ", ".join(
         f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_enc" for c in _LABELLED
     )
-    return f"SELECT tweet_id, {ranks} FROM proc"
+    return f"SELECT tweet_id, {ranks}{more} FROM {rows}"
 
 
 _TRIALS = [
@@ -391,6 +475,14 @@ _BODY = {
       sum(seniority) AS seniority FROM kept GROUP BY year
       UNION ALL SELECT 'info', CAST(year(timestamp) AS INTEGER) AS y, count(*), sum(followers),
       sum(seniority) FROM rti GROUP BY y""",
+    "encoded_years": labels("kept", """, CAST(sentiment = 'Positive' AS INTEGER) AS positive,
+      CAST(day_of_week = 'Monday' AS INTEGER) AS monday, CAST(verified AS INTEGER) AS verified_one"""),
+    "unreadable_values": """SELECT c AS "column", count(*) AS rows,
+      CAST(CASE WHEN c = 'followers' THEN sum(CAST(user_id % 7 = 0 AS INTEGER)) ELSE 0 END AS BIGINT) AS unreadable
+      FROM us, (VALUES ('user_id'), ('name'), ('username'), ('followers'), ('following'), ('tweet_count'),
+        ('verified'), ('created_at')) columns_(c) GROUP BY c""",
+    "incremental_ingest": """SELECT 'post' AS kind, tweet_id AS id, retweet_count AS number FROM tw
+      UNION ALL SELECT DISTINCT 'user', us.user_id, us.followers FROM us JOIN tw ON us.user_id = tw.user_id""",
     "append_state": """SELECT year, tweet_id, retweet_count FROM twt
       UNION ALL SELECT year, tweet_id, retweet_count + 1 FROM twt""",
     "extract_tweet": _TWEET,
@@ -497,6 +589,7 @@ _BODY = {
         topics_cleaned
       FROM (SELECT DISTINCT topics_cleaned FROM twt WHERE topics_cleaned IS NOT NULL)""",
     "boxplot_stats": boxes(),
+    "boxplot_by_topic": boxes_by_topic(),
     "corr_pearson": "SELECT round(corr(retweet_count, like_count), 9) AS pearson FROM tw",
     "corr_spearman": _SPEARMAN,
     "corr_kendall": _KENDALL,
@@ -508,9 +601,15 @@ _BODY = {
     "share_of_total": """SELECT year, device, count(*) AS count,
       round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY year), 6) AS pct
       FROM twt GROUP BY year, device""",
-    "stratified_sample": """SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date,
-      CAST(hour(ts) AS INTEGER) AS hour FROM events WHERE hour(ts) IN (0, 7, 13, 18, 21)
-      QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), hour(ts) ORDER BY ts, event_id) <= 3""",
+    "stratified_sample": f"""{_PLAN} SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date,
+      CAST(hour(ts) AS INTEGER) AS hour, cap FROM events, caps WHERE hour(ts) IN (0, 7, 13, 18, 21)
+      QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), hour(ts) ORDER BY ts, event_id) <= cap""",
+    "sampling_plan": f"""{_PLAN}, windows AS (
+      SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, cap FROM span, caps)
+      SELECT CAST(day AS VARCHAR) AS date, h AS hour, cap, count(event_id) AS found,
+        CAST(least(count(event_id), cap) AS BIGINT) AS taken
+      FROM windows CROSS JOIN (VALUES (0), (7), (13), (18), (21)) hours(h)
+      LEFT JOIN events ON CAST(ts AS DATE) = day AND hour(ts) = h GROUP BY day, h, cap""",
     "sort_by_time": f"""SELECT tweet_id, {stamp("timestamp")} AS timestamp FROM tw
       ORDER BY tw.timestamp, tweet_id""",
     "category_order": f"""SELECT y.year, c.ord, c.month,
@@ -542,6 +641,7 @@ _BODY = {
       coalesce(topic, '') AS topics FROM tw""",
     "sentiment_class": """SELECT event_id, CASE WHEN value / 50 - 1 >= 0.05 THEN 'Positive'
       WHEN value / 50 - 1 <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM events""",
+    "sentiment_rules": _RULED,
     "sentiment_score": "SELECT tweet_id, round(compound, 9) AS compound FROM scores",
     "has_hashtag": f"SELECT kind, id, part, {_HASHTAG} AS hashtags FROM texts",
     "popularity": """SELECT tweet_id, CASE WHEN retweet_count = 0 THEN 0 ELSE 1 END AS popularity

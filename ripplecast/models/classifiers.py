@@ -1,4 +1,4 @@
-"""The models compared: Spark ML estimators and two written over DataFrames.
+"""The models compared: Spark ML estimators and three written over DataFrames.
 
 A fitted model is anything with ``transform`` that adds ``prediction`` to rows with ``features``.
 """
@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -22,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.models.features import LABEL
-from ripplecast.session import cut_lineage
+from ripplecast.models.stages import JsonModel
+from ripplecast.models.trees import ExtraTrees, Settings
+from ripplecast.operators.ordering import bucket_of
 
 SEED = 7
-DEEPEST = 30  # Spark ML's limit; the depths of 80 and more asked for elsewhere mean "no limit"
-CHECKPOINT_ROUNDS = 10
+DEEPEST = 30  # Spark ML's limit
 
 
 def _dot(values: Column, weights: Sequence[float]) -> Column:
@@ -36,25 +36,16 @@ def _dot(values: Column, weights: Sequence[float]) -> Column:
     return total
 
 
-@dataclass
-class Discriminant:
+class Discriminant(JsonModel):
     """Linear scores per class; the largest wins, the lower class on ties."""
 
-    classes: list[float]
-    weights: np.ndarray
-    offsets: np.ndarray
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        values = df.withColumn("_x", vector_to_array("features"))
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        x, state = vector_to_array("features"), self.state
         scores = [
-            F.struct(
-                (_dot(F.col("_x"), row) + F.lit(float(offset))).alias("score"),
-                F.lit(-label).alias("low"),
-            )
-            for label, row, offset in zip(self.classes, self.weights, self.offsets)
+            F.struct((_dot(x, row) + F.lit(offset)).alias("score"), F.lit(-label).alias("low"))
+            for label, row, offset in zip(state["classes"], state["weights"], state["offsets"])
         ]
-        best = F.array_max(F.array(*scores))
-        return values.withColumn("prediction", -best["low"]).drop("_x")
+        return dataset.withColumn("prediction", -F.array_max(F.array(*scores))["low"])
 
 
 class LinearDiscriminant:
@@ -83,62 +74,91 @@ class LinearDiscriminant:
         pooled = (np.triu(pooled) + np.triu(pooled, 1).T) / counts.sum()
         weights = means @ np.linalg.pinv(pooled)
         offsets = np.log(counts / counts.sum()) - 0.5 * np.sum(weights * means, axis=1)
-        return Discriminant([float(row[self.label]) for row in rows], weights, offsets)
+        classes = [float(row[self.label]) for row in rows]
+        return Discriminant(classes=classes, weights=weights.tolist(), offsets=offsets.tolist())
 
 
-@dataclass
-class BoostedStumps:
-    stumps: list
-    weights: list[float]
+class BoostedStumps(JsonModel):
+    """Weighted votes of ``stumps``: (feature, cut, vote up to the cut, vote above it, weight)."""
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        votes = df.withColumn("_vote", F.lit(0.0))
-        for stump, weight in zip(self.stumps, self.weights):
-            side = F.when(F.col("prediction") == 1, F.lit(weight)).otherwise(F.lit(-weight))
-            votes = stump.transform(votes).withColumn("_vote", F.col("_vote") + side).select(
-                *df.columns, "_vote"
-            )
-        return votes.withColumn(
-            "prediction", F.when(F.col("_vote") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        ).drop("_vote")
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        x, votes = vector_to_array("features"), F.lit(0.0)
+        for feature, cut, below, above, weight in self.state["stumps"]:
+            side = F.when(x[feature] <= cut, F.lit(below)).otherwise(F.lit(above))
+            votes = votes + F.lit(weight) * side
+        return dataset.withColumn("prediction", (votes > 0).cast("double"))
 
 
 class AdaBoost:
-    """Reweighted stumps for 0/1 labels; rows missed by a stump weigh more for the next."""
+    """Reweighted stumps for 0/1 labels; rows missed by a stump weigh more for the next.
+
+    Values are coded by their place among at most ``cuts`` quantiles of their feature, once. The
+    weight of a row follows from the stumps so far, so every round is one grouped sum over the
+    codes, whose few rows give the best stump (Gini) and its error.
+    """
 
-    def __init__(self, rounds: int = 50, label: str = LABEL):
-        self.rounds, self.label = rounds, label
+    def __init__(self, rounds: int = 50, label: str = LABEL, cuts: int = 32):
+        self.rounds, self.label, self.cuts = rounds, label, cuts
 
     def fit(self, df: DataFrame) -> BoostedStumps:
-        stump = DecisionTreeClassifier(
-            labelCol=self.label, maxDepth=1, weightCol="_w", seed=SEED
-        )
-        rows = df.select(self.label, "features").withColumn("_w", F.lit(1.0)).persist()
-        first = rows
-        stumps, weights = [], []
-        for done in range(1, self.rounds + 1):
-            model = stump.fit(rows)
-            missed = (F.col("prediction") != F.col(self.label)).cast("double")
-            scored = model.transform(rows).select(self.label, "features", "_w", missed.alias("_e"))
-            total = scored.agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_e")).alias("e"))
-            mass, error = total.first()
-            share = error / mass
-            if share >= 0.5 and stumps:
-                break
-            weight = math.log((1 - share) / max(share, 1e-10)) if share < 1 else 0.0
-            stumps.append(model)
-            weights.append(weight)
-            if share <= 0 or share >= 0.5:
-                break
-            rows = scored.select(
-                self.label,
-                "features",
-                (F.col("_w") / F.lit(mass) * F.exp(F.lit(weight) * F.col("_e"))).alias("_w"),
-            )
-            if done % CHECKPOINT_ROUNDS == 0:
-                rows = cut_lineage(rows)
-        first.unpersist()
-        return BoostedStumps(stumps, weights)
+        values = df.select(F.col(self.label).cast("int").alias("y"), vector_to_array("features").alias("x"))
+        width = values.agg(F.max(F.size("x"))).first()[0] or 0
+        flat = values.select(*[F.col("x")[i].alias(f"x{i}") for i in range(width)])
+        shares = [i / self.cuts for i in range(self.cuts + 1)]
+        names = [f"x{i}" for i in range(width)]
+        found = flat.approxQuantile(names, shares, 0.1 / self.cuts) if width else []
+        edges = [sorted(set(one))[:-1] for one in found]  # nothing lies above the greatest value
+        codes = F.array(*[bucket_of(F.col("x")[i], one) for i, one in enumerate(edges)])
+        rows = values.select("y", codes.alias("codes")).persist()
+        stumps, penalty, scale = [], F.lit(0.0), 0.0
+        try:
+            for _ in range(self.rounds):
+                weight = F.exp(penalty - F.lit(scale))
+                sums = (
+                    rows.select("y", weight.alias("w"), F.posexplode("codes").alias("feature", "code"))
+                    .groupBy("feature", "code", "y")
+                    .agg(F.sum("w").alias("w"))
+                    .collect()  # features x (cuts + 1) x 2 rows
+                )
+                stump = _best_stump(sums, edges)
+                if stump is None:
+                    break
+                feature, place, below, above, error, mass = stump
+                if error >= 0.5 and stumps:
+                    break
+                vote = math.log((1 - error) / max(error, 1e-10)) if error < 1 else 0.0
+                stumps.append([feature, edges[feature][place], below, above, vote])
+                if error <= 0 or error >= 0.5:
+                    break
+                guess = F.when(F.col("codes")[feature] <= place, F.lit(below)).otherwise(F.lit(above))
+                missed = (guess > 0) != (F.col("y") == 1)
+                penalty = penalty + F.when(missed, F.lit(vote)).otherwise(F.lit(0.0))
+                scale += math.log(mass)
+        finally:
+            rows.unpersist()
+        if not stumps:  # no feature varies: the commoner class
+            ones = values.agg(F.avg("y")).first()[0] or 0.0
+            vote = 1.0 if ones > 0.5 else -1.0
+            stumps = [[0, 0.0, vote, vote, 1.0]] if width else []
+        return BoostedStumps(stumps=stumps)
+
+
+def _best_stump(sums: list, edges: list[list[float]]) -> tuple | None:
+    """(feature, place of the cut, vote below, vote above, error share, weight sum) of the purest sides."""
+    best = None
+    for feature, cuts in enumerate(edges):
+        weight = np.zeros((len(cuts) + 1, 2))
+        for row in sums:
+            if row["feature"] == feature:
+                weight[row["code"], int(row["y"] == 1)] += row["w"]
+        total, left = weight.sum(axis=0), np.cumsum(weight, axis=0)[:-1]
+        right = total - left
+        for place, sides in enumerate(zip(left, right)):
+            impurity = sum(2 * s[0] * s[1] / s.sum() for s in sides if s.sum() > 0)
+            if best is None or impurity < best[0] - 1e-12 * total.sum():
+                votes = [1.0 if s[1] > s[0] else -1.0 for s in sides]
+                best = (impurity, feature, place, *votes, sum(min(s) for s in sides) / total.sum(), total.sum())
+    return best and best[1:]
 
 
 def logistic(rows: int, label: str = LABEL) -> LogisticRegression:
@@ -166,22 +186,16 @@ def forest(trees: int = 100, depth: int = DEEPEST, label: str = LABEL) -> Random
 
 def extra_trees(
     trees: int = 100,
-    depth: int = DEEPEST,
-    per_split: str = "sqrt",
+    depth: int | None = None,
+    per_split: int | str = "sqrt",
     per_leaf: int = 1,
+    per_node: int = 2,
     bootstrap: bool = False,
     label: str = LABEL,
-) -> RandomForestClassifier:
-    """Forest on the whole sample. Split points are searched: Spark has no random ones."""
-    return RandomForestClassifier(
-        labelCol=label,
-        numTrees=trees,
-        maxDepth=depth,
-        featureSubsetStrategy=per_split,
-        minInstancesPerNode=per_leaf,
-        bootstrap=bootstrap,
-        seed=SEED,
-    )
+) -> ExtraTrees:
+    """Trees with drawn split points, on the whole sample unless told otherwise."""
+    settings = Settings(trees, depth, per_split, per_leaf, per_node, bootstrap, SEED)
+    return ExtraTrees(settings, label)
 
 
 def base_models(
@@ -196,5 +210,5 @@ def base_models(
         "AB": lambda: AdaBoost(rounds),
         "GBM": lambda: boosted_trees(boosts),
         "RFC": lambda: forest(trees, depth),
-        "ET": lambda: extra_trees(trees, depth),
+        "ET": lambda: extra_trees(trees, None if depth >= DEEPEST else depth),
     }

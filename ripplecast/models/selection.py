@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.models.classifiers import DEEPEST
 from ripplecast.models.features import LABEL
+from ripplecast.models.trees import ExtraTrees, Settings
 from ripplecast.operators.ordering import top_k
 
 SEED = 7
@@ -111,41 +111,113 @@ def _importances(matrix: DataFrame, trees: int, depth: int) -> list[float]:
 
 
 def tree_importance_top3(
-    df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 50, depth: int = DEEPEST
+    df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 50, depth: int | None = None
 ) -> DataFrame:
-    scores = _importances(_matrix(df, columns, label), trees, depth)
-    return top_k(_score_table(df, dict(zip(columns, scores))), KEEP_NUMERIC)
+    """The features that remove most impurity in a forest of drawn splits."""
+    model = ExtraTrees(Settings(trees=trees, depth=depth, seed=SEED), "label").fit(_matrix(df, columns, label))
+    return top_k(_score_table(df, dict(zip(columns, model.importances(len(columns))))), KEEP_NUMERIC)
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Row count, means, and centred cross products of the columns and the target (the last one)."""
+
+    n: int
+    mean: np.ndarray
+    cross: np.ndarray
+
+    def without(self, other: Moments) -> Moments:
+        """The moments of the rows that are not in the other ones, which are part of these."""
+        n = self.n - other.n
+        mean = (self.n * self.mean - other.n * other.mean) / max(n, 1)
+        a, b = self.mean - mean, other.mean - mean
+        cross = self.cross + self.n * np.outer(a, a) - other.cross - other.n * np.outer(b, b)
+        return Moments(n, mean, cross)
+
+    def error(self, weights: np.ndarray, other: Moments) -> float:
+        """Mean squared error on these rows of weights fitted, with an intercept, to the others."""
+        signed = np.append(-weights, 1.0)
+        shift = signed @ (self.mean - other.mean)
+        return float(signed @ self.cross @ signed / max(self.n, 1) + shift * shift)
+
+
+def moments_by_fold(df: DataFrame, columns: Sequence[str], label: str, fold: Column, folds: int) -> list[Moments]:
+    """One grouped aggregate: (width + 1) squared numbers for every fold."""
+    names = [*columns, label]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    value = [F.col(c).cast("double") for c in names]
+    rows = df.groupBy(fold.alias("_fold")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.array(*[F.avg(v) for v in value]).alias("_mean"),
+        F.array(*[F.covar_pop(value[i], value[j]) for i, j in pairs]).alias("_cross"),
+    ).collect()  # one row per fold
+    found = []
+    for row in rows:
+        cross = np.zeros((len(names), len(names)))
+        for (i, j), shared in zip(pairs, row["_cross"]):
+            cross[i, j] = cross[j, i] = shared * row["_n"]
+        found.append(Moments(row["_n"], np.array(row["_mean"]), cross))
+    return found
+
+
+def whole(parts: Sequence[Moments]) -> Moments:
+    n = sum(p.n for p in parts)
+    mean = sum(p.n * p.mean for p in parts) / n
+    cross = sum(p.cross + p.n * np.outer(p.mean - mean, p.mean - mean) for p in parts)
+    return Moments(n, mean, cross)
+
+
+def lasso_path(
+    moments: Moments, penalties: Sequence[float], tolerance: float = 1e-12, most: int = 10_000
+) -> list[np.ndarray]:
+    """Weights that minimise half the mean squared error plus penalty times absolute weights.
+
+    Coordinate descent on the cross products, each penalty from the last one's weights.
+    """
+    gram, target = moments.cross[:-1, :-1] / moments.n, moments.cross[:-1, -1] / moments.n
+    weights, found = np.zeros(len(target)), []
+    for penalty in penalties:
+        for _ in range(most):
+            before = weights.copy()
+            for j in np.flatnonzero(np.diag(gram) > 0):
+                rest = target[j] - gram[j] @ weights + gram[j, j] * weights[j]
+                weights[j] = np.sign(rest) * max(abs(rest) - penalty, 0.0) / gram[j, j]
+            if np.abs(weights - before).max(initial=0) <= tolerance * max(1.0, np.abs(weights).max(initial=0)):
+                break
+        found.append(weights.copy())
+    return found
+
+
+def lasso_weights(
+    df: DataFrame, columns: Sequence[str], label: str = LABEL, steps: int = 100, folds: int = 5, key: str = "tweet_id"
+) -> dict[str, float]:
+    """Lasso weights under the penalty with the least error over the folds, from one scan.
+
+    The penalties fall geometrically from the smallest one that leaves no weight to a thousandth
+    of it. A row's fold is a hash of its key, or of its values where the table has no key.
+    """
+    fold = F.pmod(F.xxhash64(F.col(key)) if key in df.columns else F.xxhash64(*columns, label), F.lit(folds))
+    parts = moments_by_fold(df, columns, label, fold, folds)
+    if not parts:
+        return dict.fromkeys(columns, 0.0)
+    every = whole(parts)
+    top = float(np.abs(every.cross[:-1, -1]).max() / every.n) or 1.0
+    penalties = [top * 1e-3 ** (i / max(steps - 1, 1)) for i in range(steps)]
+    errors = np.zeros(steps)
+    for part in parts:
+        rest = every.without(part)
+        if rest.n:
+            errors += [part.error(w, rest) for w in lasso_path(rest, penalties)]
+    weights = lasso_path(every, penalties[: int(errors.argmin()) + 1])[-1]
+    return dict(zip(columns, weights.tolist()))
 
 
 def lasso_top3(
     df: DataFrame, columns: Sequence[str], label: str = LABEL, steps: int = 100, folds: int = 5
 ) -> DataFrame:
-    """Largest absolute coefficients of a lasso whose penalty is picked by cross-validation.
-
-    The penalties fall geometrically from the smallest one that leaves no coefficient to a
-    thousandth of it.
-    """
-    matrix = _matrix(df, columns, label).persist()
-    row = df.agg(
-        *[F.abs(F.covar_pop(F.col(c).cast("double"), F.col(label).cast("double"))).alias(c)
-          for c in columns]
-    ).first()
-    top = max(value or 0.0 for value in row) or 1.0
-    lasso = LinearRegression(elasticNetParam=1.0, standardization=False)
-    grid = ParamGridBuilder().addGrid(
-        lasso.regParam, [top * 1e-3 ** (i / max(steps - 1, 1)) for i in range(steps)]
-    )
-    search = CrossValidator(
-        estimator=lasso,
-        estimatorParamMaps=grid.build(),
-        evaluator=RegressionEvaluator(metricName="mse"),
-        numFolds=folds,
-        seed=SEED,
-        parallelism=4,
-    )
-    weights = search.fit(matrix).bestModel.coefficients.toArray()
-    matrix.unpersist()
-    return top_k(_score_table(df, {c: abs(w) for c, w in zip(columns, weights)}), KEEP_NUMERIC)
+    """The features with the largest absolute weights of a lasso with a cross-validated penalty."""
+    found = lasso_weights(df, columns, label, steps, folds)
+    return top_k(_score_table(df, {c: abs(w) for c, w in found.items()}), KEEP_NUMERIC)
 
 
 def rfe_top3(

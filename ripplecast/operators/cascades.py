@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ripplecast.functions.numeric import round_half_even
 from ripplecast.functions.timeparts import MICROS_PER_DAY, micros_between
 from ripplecast.functions.topics import TOPICS
-from ripplecast.operators.joins import HOT_ROWS
 from ripplecast.operators.ordering import positions
 
 ORDER = ["timestamp", "tweet_id"]
@@ -29,35 +28,40 @@ def in_second_half() -> Column:
     return F.col("pos") >= _middle()
 
 
-def cascade_position(
-    info: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    return positions(info, "ref_tweet_id", order, hot_rows=hot_rows)
+def cascade_position(info: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    return positions(info, "ref_tweet_id", order)
 
 
-def first_touch_half(
-    info: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def first_touch_half(info: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Add the half or halves each re-share belongs to."""
-    return cascade_position(info, order, hot_rows).select(
+    return cascade_position(info, order).select(
         "*", in_first_half().alias("in_first"), in_second_half().alias("in_second")
     )
 
 
-def cascade_facts(
-    info: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def _sums() -> list[Column]:
+    return [
+        F.sum("followers").alias("followers_sum"),
+        F.count("followers").alias("followers_n"),
+        F.sum("seniority").alias("seniority_sum"),
+        F.count("seniority").alias("seniority_n"),
+    ]
+
+
+def cascade_sums(info: DataFrame) -> DataFrame:
+    """One row per shared post with what plain means need, for which no order matters."""
+    return info.where(F.col("ref_tweet_id").isNotNull()).groupBy("ref_tweet_id").agg(*_sums())
+
+
+def cascade_facts(info: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """One row per shared post: size, sums, half means, middle and last time."""
     needed = list(dict.fromkeys(["ref_tweet_id", *order, "followers", "seniority"]))
     shares = info.where(F.col("ref_tweet_id").isNotNull()).select(*needed)
-    placed = cascade_position(shares, order, hot_rows)
+    placed = cascade_position(shares, order)
     followers, stamp = F.col("followers"), F.col("timestamp")
     return placed.groupBy("ref_tweet_id").agg(
         F.max("n").alias("n"),
-        F.sum("followers").alias("followers_sum"),
-        F.count("followers").alias("followers_n"),
-        F.sum("seniority").alias("seniority_sum"),
-        F.count("seniority").alias("seniority_n"),
+        *_sums(),
         F.avg(F.when(in_first_half(), followers)).alias("first_followers"),
         F.avg(F.when(in_second_half(), followers)).alias("second_followers"),
         F.max(F.when(F.col("pos") == _middle(), stamp)).alias("middle_at"),
@@ -150,7 +154,6 @@ def retweeter_characteristics(
     above: int = 0,
     order: Sequence[str] = ORDER,
     topics: Sequence[str] = TOPICS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Cascade measures per year and topic over posts re-shared more than ``above`` times.
 
@@ -165,7 +168,7 @@ def retweeter_characteristics(
     if above > 0:
         wanted = popular.select(F.col("tweet_id").alias("ref_tweet_id"))
         info = info.join(wanted, "ref_tweet_id", "left_semi")
-    facts = cascade_facts(info, order, hot_rows)
+    facts = cascade_facts(info, order)
     names = list(_measures())
     measured = _grouped(cascade_times(popular, facts), cells, names)
     ranks = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topics_cleaned")) - 1

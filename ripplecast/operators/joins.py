@@ -1,99 +1,32 @@
-"""Joins, safe when one key holds a large share of the rows."""
+"""Joins of facts to tables with one row per key.
+
+They are plain equi-joins at every size: the engine broadcasts a side it finds small enough and
+splits the partitions of a hot key at run time, which these joins allow, since the facts are the
+side that may repeat a key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
-SMALL_BYTES = 64 << 20  # below this a table is a handful of scan tasks and is not salted
-
-
-def _plan(df: DataFrame):
-    """Catalyst's optimized plan, None for a client without a JVM of its own."""
-    try:
-        return df._jdf.queryExecution().optimizedPlan()
-    except AttributeError:
-        return None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's estimate is within the session's own broadcast threshold."""
-    plan = _plan(df)
-    if plan is None:
-        return False
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return int(plan.stats().sizeInBytes()) <= conf.autoBroadcastJoinThreshold()
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether all tables read for a DataFrame come to no more than a few scan tasks."""
-    plan = _plan(df)
-    if plan is None:
-        return False
-    leaves = plan.collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return sum(sizes) <= SMALL_BYTES
 
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them, so broadcastable."""
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_hot_n"))
-    return sizes.where(F.col("_hot_n") > hot_rows)
-
-
-def lookup_join(
-    facts: DataFrame,
-    table: DataFrame,
-    key: str,
-    how: str = "inner",
-    keys: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``facts`` (any number of rows per key) to ``table`` (one row per key).
 
-    A table within the broadcast threshold needs no shuffle, and small facts no salt. Otherwise
-    the rows of hot keys are spread over ``salts`` partitions and the table's few matching rows
-    repeated that often. The salt is a hash of the row, so a re-run task sends each row where it
-    went before. Rows without a key, which match nothing, are spread too. Hot keys are counted in
-    ``keys``, by default in ``facts``; name an earlier table that holds the same keys where
-    ``facts`` is costly.
+    Facts without a key match nothing and, in a left join, stay.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join {how!r}")
-    keys = facts if keys is None else keys
-    if fits_broadcast(table) or is_small(keys):
-        return facts.join(table, key, how)
-    return _salted_join(facts, table, key, how, F.broadcast(hot_keys(keys, key, hot_rows)), salts)
-
-
-def _salted_join(
-    facts: DataFrame, table: DataFrame, key: str, how: str, hot: DataFrame, salts: int
-) -> DataFrame:
-    columns = facts.columns
-    spread = F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
-    salted = facts.join(hot, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot_n").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0)),
-    )
-    copies = F.when(
-        F.col("_hot_n").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    repeated = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot_n")
-    joined = salted.drop("_hot_n").join(repeated, [key, "_salt"], how).drop("_salt")
-    return joined.select(*columns, *[name for name in table.columns if name != key])
+    return facts.join(table, key, how).select(*facts.columns, *[c for c in table.columns if c != key])
 
 
-def author_join(
-    tweets: DataFrame, users: DataFrame, keys: DataFrame | None = None
-) -> DataFrame:
+def author_join(tweets: DataFrame, users: DataFrame) -> DataFrame:
     """Posts with their author's profile; posts of unknown authors drop out."""
     profile = users.select(
         "user_id", "followers", "following", "tweet_count", "verified", "created_at"
     )
-    return lookup_join(tweets, profile, "user_id", keys=keys).withColumn(
+    return lookup_join(tweets, profile, "user_id").withColumn(
         "timestamp", F.col("timestamp").cast("timestamp")
     )
 
@@ -104,7 +37,7 @@ def retweet_info(retweets: DataFrame, retweeters: DataFrame, ref: Column) -> Dat
         "user_id", "followers", "following", "tweet_count", "verified", "created_at"
     )
     kept = retweets.where(F.col("referenced_tweets").isNotNull()).withColumn("ref_tweet_id", ref)
-    return lookup_join(kept, profile, "user_id", keys=retweets)
+    return lookup_join(kept, profile, "user_id")
 
 
 def cascade_join(tweets: DataFrame, info: DataFrame) -> DataFrame:

@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplecast.operators.joins import HOT_ROWS, hot_keys, is_small
 from ripplecast.session import cut_lineage
 
-RANGES = 64
 _ROWS_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -28,51 +26,59 @@ def keep_first(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     )
 
 
-def positions(
+def running_sums(
     df: DataFrame,
-    key: str,
     order: Sequence[str],
-    slice_unit: str = "minute",
-    hot_rows: int = HOT_ROWS,
+    sums: dict[str, Column],
+    by: Sequence[str] = (),
+    whole: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``pos``, the 0-based place of a row within its key, and ``n``, the key's row count.
+    """Add, for every (name, weight), the sum of the weight over the earlier rows of the group.
 
-    ``order`` starts with a timestamp. In a table that is not small, a key with more than
-    ``hot_rows`` rows is cut into time slices that are numbered apart; the rows before a slice
-    come from the slice counts.
+    The rows are range-sorted by ``by`` and ``order``, so a large group lies in several ranges.
+    Each range adds up its own rows and then the totals of the ranges before it; neither a group
+    nor the table meets in one task. Rows that agree in all of ``order`` are put in some order.
+    ``whole`` names columns for the total of a sum over the whole group. The sorted rows are
+    checkpointed, because their partition numbers are used twice.
     """
-    if is_small(df) and hot_rows >= HOT_ROWS:
-        return _numbered(df, [key], order).withColumnsRenamed({"_local": "pos", "_size": "n"})
-    hot = F.broadcast(hot_keys(df, key, hot_rows))
-    unit = F.date_trunc(slice_unit, F.col(order[0]))
-    marked = df.join(hot, key, "left").withColumn(
-        "_slice", F.when(F.col("_hot_n").isNotNull(), unit)
+    by, order, whole = list(by), [*order, "_tie"], whole or {}
+    ranged = cut_lineage(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .withColumns({f"_w_{name}": weight for name, weight in sums.items()})
+        .repartitionByRange(*by, *order)
+        .withColumn("_range", F.spark_partition_id())
     )
-    upto = Window.partitionBy(key).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    cell, zero = ["_range", *by], F.lit(0)
+    group = Window.partitionBy(*by)  # one row per range that a group reaches into
+    ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy(*cell)
+        .agg(*[F.sum(f"_w_{name}").alias(f"_s_{name}") for name in sums])
+        .select(
+            *[F.col(name).alias(f"_of_{name}") for name in cell],
+            *[F.coalesce(F.sum(f"_s_{name}").over(ahead), zero).alias(f"_b_{name}") for name in sums],
+            *[F.sum(f"_s_{of}").over(group).alias(name) for name, of in whole.items()],
+        )
     )
-    slices = (
-        marked.where(F.col("_hot_n").isNotNull())
-        .groupBy(key, "_slice")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select(key, "_slice", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"))
+    earlier = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumns(
+        {f"_i_{name}": F.coalesce(F.sum(f"_w_{name}").over(earlier), zero) for name in sums}
     )
-    numbered = _numbered(marked, [key, "_slice"], order)
-    return numbered.join(slices, [key, "_slice"], "left").select(
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in cell]
+    return inside.join(starts, same).select(
         *df.columns,
-        (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")).alias("pos"),
-        F.coalesce(F.col("_hot_n"), F.col("_size")).alias("n"),
+        *[(F.col(f"_i_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums],
+        *whole,
     )
 
 
-def _numbered(df: DataFrame, cell: Sequence[str], order: Sequence[str]) -> DataFrame:
-    window = Window.partitionBy(*cell)
-    return df.withColumns(
-        {
-            "_local": (F.row_number().over(window.orderBy(*order)) - 1).cast("long"),
-            "_size": F.count(F.lit(1)).over(window),
-        }
-    )
+def positions(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Add ``pos``, the 0-based place of a row within its key, and ``n``, the key's row count.
+
+    Rows without a key are a group too.
+    """
+    one = F.lit(1).cast("long")
+    return running_sums(df, order, {"pos": one}, by=[key], whole={"n": "pos"})
 
 
 def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
@@ -96,22 +102,6 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -
     )
 
 
-def range_count(df: DataFrame) -> int:
-    """Ranges an ordered pass over ``df`` is split into."""
-    return 1 if is_small(df) else RANGES
-
-
-def value_buckets(df: DataFrame, value: str, parts: int) -> list[float]:
-    """Ascending cut points that split the rows of ``df`` about evenly by value."""
-    probabilities = [i / parts for i in range(1, parts)]
-    if not probabilities:
-        return []
-    cuts = df.select(F.col(value).cast("double").alias("v")).approxQuantile(
-        "v", probabilities, 0.25 / parts
-    )
-    return sorted(set(cuts))
-
-
 def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     """Number of cut points below the value."""
     if not cuts:
@@ -120,25 +110,10 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     return F.size(F.filter(points, lambda cut: cut < value.cast("double")))
 
 
-def running_total(
-    df: DataFrame, value: str, weight: str, name: str = "upto", parts: int | None = None
-) -> DataFrame:
-    """Add the inclusive running sum of ``weight`` in ascending order of distinct ``value``.
-
-    The values are totalled in ranges, and the range totals added up; a small table is one range.
-    """
-    cuts = value_buckets(df, value, range_count(df) if parts is None else parts)
-    placed = df.withColumn("_bucket", bucket_of(F.col(value), cuts))
-    sums = placed.groupBy("_bucket").agg(F.sum(weight).alias("_w"))  # at most ``parts`` rows
-    before = sums.select(
-        "_bucket", (F.sum("_w").over(Window.orderBy("_bucket")) - F.col("_w")).alias("_before")
-    )
-    inside = F.sum(weight).over(Window.partitionBy("_bucket").orderBy(value))
-    return (
-        placed.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_bucket")
-        .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
-    )
+def running_total(df: DataFrame, value: str, weight: str, name: str = "upto") -> DataFrame:
+    """Add the inclusive running sum of ``weight`` in ascending order of distinct ``value``."""
+    summed = running_sums(df, [value], {name: F.col(weight)})
+    return summed.withColumn(name, F.col(name) + F.col(weight))
 
 
 def sort_by_time(df: DataFrame, stamp: str = "timestamp", key: str = "tweet_id") -> DataFrame:
@@ -149,10 +124,6 @@ def top_k(scores: DataFrame, k: int, score: str = "score", name: str = "feature"
     return scores.orderBy(F.desc_nulls_last(score), F.asc(name)).limit(k)
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Sorted non-null values of a column that is a vocabulary, not a measure."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1)
-    values = sorted(row[0] for row in found.collect())
-    if len(values) > limit:
-        raise ValueError(f"{column} has more than {limit} values")
-    return values
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The non-null values of a column, each once, in order."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

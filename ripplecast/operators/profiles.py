@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplecast.functions.numeric import engagement_rate, percent, round_half_even
 from ripplecast.functions.text import COVID_KEYWORDS, keyword_match
+from ripplecast.session import cut_lineage
 
 
 def on_spine(
@@ -20,17 +21,23 @@ def on_spine(
     map holds at most one entry per listed category. ``total`` is the year's row count over the
     listed categories; a category absent from a year has null measures.
     """
-    listed = [F.lit(category) for category in categories]
     place = F.when(F.col(key).isin(list(categories)), F.col(key))
-    cells = df.groupBy("year", place.alias("_cat")).agg(
+    cells = df.groupBy("year", place.alias(key)).agg(
         F.count(F.lit(1)).alias("_n"), *[m.alias(name) for name, m in measures.items()]
     )
-    entry = F.when(
-        F.col("_cat").isNotNull(), F.struct("_cat", F.struct(*measures).alias("_cell"))
-    )
+    return cells_on_spine(cells, key, categories, list(measures), "_n")
+
+
+def cells_on_spine(
+    cells: DataFrame, key: str, categories: Sequence, measures: Sequence[str], rows: str
+) -> DataFrame:
+    """The same from (year, key, measures) cells, of which ``rows`` holds the row counts."""
+    listed = [F.lit(category) for category in categories]
+    known = F.col(key).isin(list(categories))
+    entry = F.when(known, F.struct(F.col(key).alias("_cat"), F.struct(*measures).alias("_cell")))
     years = cells.groupBy("year").agg(
         F.map_from_entries(F.collect_list(entry)).alias("_cells"),
-        F.sum(F.when(F.col("_cat").isNotNull(), F.col("_n"))).alias("total"),
+        F.sum(F.when(known, F.col(rows))).alias("total"),
     )
     return years.select(
         "year", "total", "_cells", F.posexplode(F.array(*listed)).alias("ord", key)
@@ -43,7 +50,30 @@ def on_spine(
     )
 
 
-def _engagement() -> dict[str, Column]:
+def grouped_cells(
+    df: DataFrame, sets: Sequence[Sequence[str]], measures: dict[str, Column]
+) -> dict[tuple[str, ...], DataFrame]:
+    """The measures of several groupings by year and keys, from one pass over the rows.
+
+    The cells of all sets are one checkpointed table, which is as small as the reports.
+    """
+    keys = list(dict.fromkeys(key for one in sets for key in one))
+    columns = ["year", *keys]
+    cells = cut_lineage(
+        df.groupingSets([["year", *one] for one in sets], *columns).agg(
+            F.grouping_id(*columns).alias("_set"), *[m.alias(name) for name, m in measures.items()]
+        )
+    )
+
+    def number(one: Sequence[str]) -> int:
+        return sum((key not in one) << place for place, key in enumerate(reversed(keys)))
+
+    return {
+        tuple(one): cells.where(F.col("_set") == number(one)).select("year", *one, *measures) for one in sets
+    }
+
+
+def engagement() -> dict[str, Column]:
     return {
         "count": F.count(F.lit(1)),
         "retweets_mean": round_half_even(F.avg("retweet_count")),
@@ -55,11 +85,11 @@ def _engagement() -> dict[str, Column]:
 
 def profile_by_key(df: DataFrame, key: str, categories: Sequence) -> DataFrame:
     """Counts, means and engagement shares per year and category, in category order."""
-    return (
-        on_spine(df, key, categories, _engagement())
-        .withColumn("pct", percent(F.col("count"), F.col("total")))
-        .drop("total")
-    )
+    return with_share(on_spine(df, key, categories, engagement()))
+
+
+def with_share(spread: DataFrame) -> DataFrame:
+    return spread.withColumn("pct", percent(F.col("count"), F.col("total"))).drop("total")
 
 
 def profile_by_two_keys(df: DataFrame, key: str, other: str) -> DataFrame:
@@ -67,7 +97,7 @@ def profile_by_two_keys(df: DataFrame, key: str, other: str) -> DataFrame:
     cells = (
         df.where(F.col(key).isNotNull() & F.col(other).isNotNull())
         .groupBy("year", key, other)
-        .agg(*[measure.alias(name) for name, measure in _engagement().items()])
+        .agg(*[measure.alias(name) for name, measure in engagement().items()])
     )
     return share_of_total(cells)
 
@@ -80,11 +110,7 @@ def share_of_total(cells: DataFrame, count: str = "count", name: str = "pct") ->
 
 def reach_by_topic(df: DataFrame, categories: Sequence, key: str = "topics_cleaned") -> DataFrame:
     measures = {"count": F.count(F.lit(1)), "reach_mean": round_half_even(F.avg("reach"))}
-    return (
-        on_spine(df, key, categories, measures)
-        .withColumn("pct", percent(F.col("count"), F.col("total")))
-        .drop("total")
-    )
+    return with_share(on_spine(df, key, categories, measures))
 
 
 def shared_vs_not(df: DataFrame, categories: Sequence, key: str = "topics_cleaned") -> DataFrame:

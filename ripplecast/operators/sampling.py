@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplecast.operators.ordering import running_sums
+
 # First hour of each one-hour window, rows per request at least and at most.
 WINDOW_HOURS = [0, 7, 13, 18, 21]
 REQUEST_MIN = 10
 REQUEST_MAX = 100
 
-_ONE_STEP_CAP = 1000  # Spark prunes row_number() <= k before its shuffle up to this k
-
-
 def daily_limit(parts: int, total: float) -> tuple[int, int]:
     """Rows per request and number of requests when ``total`` rows are split over ``parts``."""
     share = total / parts
@@ -29,27 +29,37 @@ def window_cap(days: int, total: float) -> int:
     return per_window * window_requests
 
 
-def stratified_sample(
-    posts: DataFrame,
-    cap: int,
-    stamp: str = "timestamp",
-    key: str = "tweet_id",
-    hours: Sequence[int] = WINDOW_HOURS,
-) -> DataFrame:
-    """The first ``cap`` posts of every sampled hour; adds ``date`` and ``hour``.
+def sampling_plan(spark: SparkSession, start: str, end: str, total: float, hours: Sequence[int] = WINDOW_HOURS) -> DataFrame:
+    """(date, hour, cap): every sampled window of the days from ``start`` to ``end``, both included.
 
-    A cap beyond what Spark prunes before the shuffle is first applied per minute, which splits
-    a busy hour and cannot drop a row that belongs to the hour's first ``cap``.
+    The days share the total; a day's share is split over its windows, and a window is capped at
+    what its requests may yield, so the cap follows from the number of days alone.
     """
-    picked = posts.select(
-        "*", F.to_date(stamp).alias("date"), F.hour(stamp).alias("hour")
-    ).where(F.col("hour").isin(list(hours)))
-    if cap > _ONE_STEP_CAP:
-        minutes = Window.partitionBy("date", "hour", F.minute(stamp)).orderBy(stamp, key)
-        picked = picked.withColumn("_m", F.row_number().over(minutes)).where(
-            F.col("_m") <= cap
-        ).drop("_m")
-    window = Window.partitionBy("date", "hour").orderBy(stamp, key)
-    return picked.withColumn("_k", F.row_number().over(window)).where(F.col("_k") <= cap).drop(
-        "_k"
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
+    cap = window_cap((date.fromisoformat(end) - date.fromisoformat(start)).days + 1, total)
+    windows = F.explode(F.array(*[F.lit(hour) for hour in hours])).alias("hour")
+    return days.select("date", windows).withColumn("cap", F.lit(cap))
+
+
+def stratified_sample(posts: DataFrame, plan: DataFrame, stamp: str = "timestamp", key: str = "tweet_id") -> DataFrame:
+    """The first posts of every window of the plan, up to its cap; adds ``date``, ``hour``, ``cap``.
+
+    A busy window is numbered in ranges, so it never meets in one task, whatever the cap.
+    """
+    timed = posts.withColumns({"date": F.to_date(stamp), "hour": F.hour(stamp)})
+    picked = timed.join(plan, ["date", "hour"])
+    numbered = running_sums(picked, [stamp, key], {"_k": F.lit(1).cast("long")}, by=["date", "hour"])
+    return numbered.where(F.col("_k") < F.col("cap")).drop("_k")
+
+
+def plan_yield(posts: DataFrame, plan: DataFrame, stamp: str = "timestamp", key: str = "tweet_id") -> DataFrame:
+    """(date, hour, cap, found, taken) of every window of the plan, empty ones too."""
+    found = (
+        posts.groupBy(F.to_date(stamp).alias("date"), F.hour(stamp).alias("hour"))
+        .agg(F.count(key).alias("found"))
     )
+    return plan.join(found, ["date", "hour"], "left").select(
+        "date", "hour", "cap", F.coalesce("found", F.lit(0)).alias("found"),
+        F.least(F.coalesce("found", F.lit(0)), F.col("cap")).alias("taken"),
+    )

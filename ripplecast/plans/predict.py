@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.functions.text import popularity
-from ripplecast.models import evaluate, features, selection
+from ripplecast.models import evaluate, features, selection, stages
 from ripplecast.models.balance import smote
 from ripplecast.models.classifiers import base_models
 from ripplecast.operators.filters import known_topic
@@ -30,14 +30,21 @@ def model_rows(df: DataFrame) -> DataFrame:
     return known_topic(df).withColumn(features.LABEL, popularity(F.col("retweet_count")))
 
 
-def prepare(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def fit_preparation(train: DataFrame) -> tuple[dict[str, list], dict[str, tuple[float, float]]]:
+    """Vocabulary and scaling of the training rows."""
+    rows = model_rows(train)
+    return features.vocabularies(rows, features.ONE_HOT), features.scaling(rows)
+
+
+def prepare(
+    train: DataFrame, test: DataFrame, fitted: tuple[dict, dict] | None = None
+) -> tuple[DataFrame, DataFrame, list[str]]:
     """Encoded and scaled train and test rows, and the names of the 0/1 columns.
 
     Vocabulary and scaling are fitted on the training rows and used for both.
     """
+    found, scale = fitted or fit_preparation(train)
     train, test = model_rows(train), model_rows(test)
-    found = features.vocabularies(train, features.ONE_HOT)
-    scale = features.scaling(train)
     made = [features.standardize(features.one_hot(df, found), scale) for df in (train, test)]
     coded = features.encoded_columns(made[0])
     return *(features.clean_nulls(df, coded) for df in made), coded
@@ -83,24 +90,27 @@ def train_test_model(
     synthetic rows out of the rows a model is scored on.
     """
     label = features.LABEL
-    train, test, coded = prepare(train, test)
+    fitted = fit_preparation(train)
+    train, test, coded = prepare(train, test, fitted)
     train = train.persist()
     kept = select_features(train, coded, lasso_steps)
     matrix = features.assemble_features(train, kept).persist()
     folded = evaluate.kfold_assign(matrix, ["tweet_id"], folds)
-    balanced = smote(matrix).persist()
+    balanced = smote(matrix, key="tweet_id").persist()
     if not balance_inside_fold:
         # real rows first, synthetic ones in the last folds, as when rows are appended
-        marked = balanced.withColumn("_at", F.monotonically_increasing_id())
-        folded = evaluate.kfold_assign(marked, ["_at"], folds).drop("_at")
+        folded = evaluate.kfold_assign(balanced, ["synthetic", "tweet_id"], folds)
     models = models or base_models(matrix.count())
     rebalance = smote if balance_inside_fold else None
     comparison = evaluate.compare_models(folded, models, rebalance=rebalance)
-    best = evaluate.grid_search(folded, grid, folds=folds) if search else None
+    best = evaluate.grid_search(folded, grid) if search else None
     model = final or evaluate.tuned_model(best)
     scored, accuracy = evaluate.train_evaluate(
-        model, balanced, features.assemble_features(test, kept), model_path
-    )
+        model, balanced, features.assemble_features(test, kept), model_path,
+        before=stages.preparation(*fitted, kept),
+    )
+    for held in (train, matrix, balanced):
+        held.unpersist()
     return Outcome(
         kept, comparison, evaluate.best_model(comparison), accuracy,
         evaluate.classification_report(scored), scored,

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ripplecast.functions import text as tx
 from ripplecast.functions import timeparts as tp
 from ripplecast.functions import topics as tg
-from ripplecast.functions.sentiment import sentiment_class, text_scores
+from ripplecast.functions.sentiment import sentiment_class, valences, with_compound
+from ripplecast.models import features
 from ripplecast.operators.filters import OUTLIER_BOUNDS, outlier_filter
 from ripplecast.operators.joins import author_join, retweet_info
 from ripplecast.operators.ordering import keep_first
 from ripplecast.operators.reach import reshare_reach, total_reach
-from ripplecast.sources.tables import sink_by_year
+from ripplecast.session import stored
+from ripplecast.sources.tables import scan_table, sink_by_year
 
 PROCESSED_COLUMNS = [
     "tweet_id", "text", "timestamp", "user_id", "like_count", "retweet_count", "quote_count",
@@ -56,17 +58,9 @@ def topic_columns(posts: DataFrame) -> DataFrame:
     )
 
 
-def sentiment_column(posts: DataFrame, texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``texts`` holds the posts' ids and texts; the raw table is the cheapest to read again."""
-    scores = text_scores(texts.select("tweet_id", "text"), lexicon)
-    one = F.struct("text_hash", "compound")
-    scores = scores.groupBy("tweet_id").agg(F.collect_list(one).alias("_scores"))
-    own = F.filter("_scores", lambda s: s["text_hash"] == F.xxhash64("text"))
-    return (
-        posts.join(scores, "tweet_id")
-        .withColumn("sentiment", sentiment_class(F.try_element_at(own, F.lit(1))["compound"]))
-        .drop("_scores")
-    )
+def sentiment_column(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    scored = with_compound(posts, valences(lexicon), "_compound")
+    return scored.withColumn("sentiment", sentiment_class(F.col("_compound"))).drop("_compound")
 
 
 def one_profile(users: DataFrame) -> DataFrame:
@@ -91,14 +85,14 @@ def enrich(
 ) -> DataFrame:
     """One wide row per post with a known author; one lazy plan.
 
-    Posts meet their re-share totals and sentiment scores on ``tweet_id``, so they are shuffled
-    once for both, and their authors by broadcast while the user table is small.
+    Posts meet their re-share totals on ``tweet_id`` and their authors on ``user_id``; all other
+    columns come from the post itself.
     """
     first_ref = F.try_element_at("referenced_tweets", F.lit(1))["id"]
     has_topics = F.size("topics") > 0
     posts = tweets.withColumn("own_ref", F.coalesce(first_ref, F.lit(0)))
     posts = posts.join(reshare_reach(posts, info, has_topics), "tweet_id", "left")
-    posts = author_join(sentiment_column(posts, tweets, lexicon), users, keys=tweets)
+    posts = author_join(sentiment_column(posts, lexicon), users)
     posts = posts.withColumns(
         {
             "reach": total_reach("followers", has_topics),
@@ -131,6 +125,14 @@ def process_and_save(
     tweets_path: str,
     info_path: str,
 ) -> None:
-    posts, info = process(tweets, users, retweets, retweeters, lexicon)
-    sink_by_year(posts, tweets_path)
-    sink_by_year(info.withColumn("year", F.year("timestamp")), info_path)
+    """Write both tables by year; posts carry both encodings of their categories.
+
+    Re-share info is stored first and read for the posts' reach. Posts are stored once before they
+    are encoded, so that the categories' values come from the few columns that hold them.
+    """
+    spark = tweets.sparkSession
+    info = reshare_info(retweets, one_profile(retweeters)).withColumn("year", F.year("timestamp"))
+    sink_by_year(info, info_path)
+    known = scan_table(spark, info_path).select("ref_tweet_id", "followers")
+    posts = stored(outlier_filter(enrich(tweets, one_profile(users), known, lexicon)), "posts")
+    sink_by_year(features.encode(posts), tweets_path)

@@ -40,6 +40,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read back, so that columns can be pruned."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
     context = df.sparkSession.sparkContext

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def extract_tweet(posts: DataFrame, post: str = "tweet") -> DataFrame:
     )
 
 
-def extract_user(users: DataFrame, user: str = "user") -> DataFrame:
-    """Flat user columns from the struct column ``user``."""
+def extract_user(users: DataFrame, user: str = "user", keep: Sequence[str] = ()) -> DataFrame:
+    """Flat user columns from the struct column ``user``, and the columns of ``keep``."""
     field = F.col(user)
     metrics = field["public_metrics"]
     return users.select(
@@ -51,25 +53,33 @@ def extract_user(users: DataFrame, user: str = "user") -> DataFrame:
         metrics["tweet_count"].alias("tweet_count"),
         field["verified"].alias("verified"),
         to_utc(field["created_at"]).alias("created_at"),
+        *keep,
     )
 
 
-def include_user_match(pages: DataFrame) -> DataFrame:
+def include_user_match(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(tweet, user) per post: the page's last included user with the author's id, or null.
 
-    Author and post share a page, so the match needs no shuffle.
+    Author and post share a page, so the match needs no shuffle, and posts are matched before the
+    page is taken apart: a post takes its author along and not the page's list of users.
     """
-    posts = pages.select(
-        F.explode("data").alias("tweet"), F.col("includes")["users"].alias("_users")
+    last_first = F.reverse(F.col("includes")["users"])
+    place = lambda post: F.array_position("_ids", post["author_id"])
+    matched = F.transform(
+        "data", lambda post: F.struct(post.alias("tweet"), F.get("_users", (place(post) - 1).cast("int")).alias("user"))
+    )
+    return (
+        pages.withColumn("_users", last_first)
+        .withColumn("_ids", F.transform("_users", lambda user: user["id"]))
+        .select(F.explode(matched).alias("_match"), *keep)
+        .select("_match.tweet", "_match.user", *keep)
     )
-    author = F.filter("_users", lambda user: user["id"] == F.col("tweet")["author_id"])
-    return posts.select("tweet", F.try_element_at(author, F.lit(-1)).alias("user"))
 
 
-def normalize_api(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Post rows and, one per post with a known author, user rows."""
-    matched = include_user_match(pages)
-    return extract_tweet(matched), extract_user(matched.where(F.col("user").isNotNull()))
+def normalize_api(pages: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Post rows and, one per post with a known author, user rows with the columns of ``keep``."""
+    matched = include_user_match(pages, keep)
+    return extract_tweet(matched), extract_user(matched.where(F.col("user").isNotNull()), keep=keep)
 
 
 def normalize_users(pages: DataFrame) -> DataFrame:

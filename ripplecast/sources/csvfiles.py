@@ -17,13 +17,16 @@ from ripplecast.operators.ordering import keep_first
 
 ORDINAL = "ordinal"
 _STAMP = "yyyy-MM-dd HH:mm:ss"
+_FILE, _START = "_file", "_start"
 _NEVER_NULL = ("device", "tweet_type")  # CSV cannot tell an unknown class, '', from null
 
 
 def _raw(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
+    """All columns as text, each row with its file and where its split begins."""
     reader = spark.read.option("header", True).option("escape", '"')
     try:
-        return reader.option("multiLine", multi_line).csv(path)
+        rows = reader.option("multiLine", multi_line).csv(path)
+        return rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_START))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -54,6 +57,22 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool
     return raw.select(*columns)
 
 
+def unreadable(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """(column, rows, unreadable): per column, the rows with a value and those whose value became null."""
+    raw = _raw(spark, path, multi_line)
+    counts = "column string, rows long, unreadable long"
+    if raw is None:
+        return spark.createDataFrame([(f.name, 0, 0) for f in schema], counts)
+    cells = []
+    for f in schema:
+        held = F.col(f.name).isNotNull()
+        lost = held & _typed(f.name, f.dataType).isNull()
+        cells.append(
+            F.struct(F.lit(f.name).alias("column"), F.count_if(held).alias("rows"), F.count_if(lost).alias("unreadable"))
+        )
+    return raw.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+
+
 def scan_tweets(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return _scan(spark, path, schemas.TWEETS, multi_line)
 
@@ -76,13 +95,20 @@ def load_datasets(
 ) -> tuple[DataFrame, DataFrame]:
     """Posts, and users with the first record of each by row number.
 
-    A file that does not number its rows is numbered as Spark reads it. Posts are not sorted
-    here: whatever needs their order sorts by ``timestamp`` itself.
+    Records of files that do not number their rows are ordered by file name, then by where they
+    stand in the file. Posts are not sorted here: whatever needs their order sorts by
+    ``timestamp`` itself.
     """
-    users = scan_users(spark, users_path)
-    if ORDINAL not in users.columns:
-        users = users.withColumn(ORDINAL, F.monotonically_increasing_id())
-    return scan_tweets(spark, tweets_path), keep_first(users, "user_id", ORDINAL)
+    raw, tweets = _raw(spark, users_path, False), scan_tweets(spark, tweets_path)
+    if raw is None:
+        return tweets, scan_users(spark, users_path)
+    if ORDINAL in raw.columns or "_c0" in raw.columns:
+        return tweets, keep_first(scan_users(spark, users_path), "user_id", ORDINAL)
+    # a task reads a split from its begin to its end, so its row numbers rise within the split
+    place = F.struct(_FILE, _START, F.monotonically_increasing_id().alias("row"))
+    users = raw.select(*[_typed(f.name, f.dataType).alias(f.name) for f in schemas.USERS], place.alias(ORDINAL))
+    first = keep_first(users, "user_id", ORDINAL)
+    return tweets, first.drop(ORDINAL)
 
 
 def _stored(name: str, kind: T.DataType) -> Column:

@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from ripplecast.operators import cascades, reach
@@ -21,11 +20,10 @@ def info(spark, sizes):
     return spark.createDataFrame(rows, INFO)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**6])
-def test_sizes_zero_to_four(spark, hot_rows):
+def test_sizes_zero_to_four(spark):
     sizes = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
     posts = spark.createDataFrame([(i, START) for i in sizes], "tweet_id long, timestamp timestamp")
-    facts = cascades.cascade_facts(info(spark, sizes), hot_rows=hot_rows)
+    facts = cascades.cascade_facts(info(spark, sizes))
     day = 86_400_000_000
     rows = {
         r["tweet_id"]: (r["to_half"] / day, r["from_half"] / day, r["to_last"] / day)

@@ -7,7 +7,7 @@ from ripplecast.functions import numeric as nm
 from ripplecast.functions import text as tx
 from ripplecast.functions import timeparts as tp
 from ripplecast.functions import topics as tg
-from ripplecast.functions.sentiment import sentiment_class, sentiment_score
+from ripplecast.functions.sentiment import sentiment_class, sentiment_score, valences
 
 
 def apply(spark, values, kind, expression):
@@ -116,33 +116,72 @@ def test_sentiment_bounds_are_inclusive(spark):
     assert apply(spark, scores, "double", sentiment_class) == expected
 
 
+def normal(total):
+    return pytest.approx(total / (total**2 + 15) ** 0.5)
+
+
 def test_sentiment_negation_reaches_three_tokens(spark):
     posts = spark.createDataFrame(
-        [(1, "not at all good"), (2, "not one two three good"), (3, "good"), (4, "plain"), (5, None)],
+        [(1, "not at all good"), (2, "not one two three good"), (3, "good"), (4, "plain"), (5, None), (6, "isn't good")],
         "tweet_id long, text string",
     )
     lexicon = spark.createDataFrame([("good", 1.9)], "word string, valence double")
     got = dict(map(tuple, sentiment_score(posts, lexicon).collect()))
-    negated = -0.74 * 1.9
-    assert got[1] == pytest.approx(negated / (negated**2 + 15) ** 0.5)
-    assert got[2] == got[3] == pytest.approx(1.9 / (1.9**2 + 15) ** 0.5)
+    assert got[1] == got[6] == normal(-0.74 * 1.9)
+    assert got[2] == got[3] == normal(1.9)
     assert got[4] == got[5] == 0.0
 
 
 def test_sentiment_of_punctuation_and_repeated_ids(spark):
     posts = spark.createDataFrame(
-        [(1, "so great!"), (2, "\"great\","), (3, "great"), (3, "great"), (4, ":) !!"), (5, "")],
+        [(1, "oh great,"), (2, "\"great\","), (3, "great"), (3, "great"), (4, ":) ."), (5, "")],
         "tweet_id long, text string",
     )
     words = [("great", 3.1), (":)", 2.0)]
     lexicon = spark.createDataFrame(words, "word string, valence double")
     rows = sentiment_score(posts, lexicon).collect()
-    assert len(rows) == 5
-    got, one = dict(map(tuple, rows)), 3.1 / (3.1**2 + 15) ** 0.5
-    assert got[1] == got[2] == pytest.approx(one)
-    assert got[3] == pytest.approx(one)
-    assert got[4] == pytest.approx(2 / 19**0.5)
-    assert got[5] == 0.0
+    assert len(rows) == 6
+    got = dict(map(tuple, rows))
+    assert got[1] == got[2] == got[3] == normal(3.1)
+    assert got[4] == normal(2) and got[5] == 0.0
+
+
+def test_sentiment_rules(spark):
+    cases = {
+        "so good": 1.9 + 0.293,
+        "so very good": 1.9 + 0.293 + 0.293 * 0.95,
+        "really a b good": 1.9 + 0.293 * 0.9,
+        "barely good": 1.9 - 0.293,
+        "so bad": -2.5 - 0.293,
+        "not so good": -0.74 * (1.9 + 0.293),
+        "a GOOD day": 1.9 + 0.733,
+        "GOOD": 1.9,  # all in capitals: no stress
+        "SO good": 1.9 + 0.293 + 0.733,
+        "good but bad": 1.9 * 0.5 - 2.5 * 1.5,
+        "good but bad but bad": 1.9 * 0.5 - 2.5 * 3,
+        "good!!!!!!": 1.9 + 4 * 0.292,
+        "bad!": -2.5 - 0.292,
+        "good?": 1.9,
+        "good???": 1.9 + 3 * 0.18,
+        "good?????": 1.9 + 0.96,
+        "plain!": 0.0,
+        "good bad good bad good": 3 * 1.9 - 2 * 2.5,
+    }
+    posts = spark.createDataFrame(list(enumerate(cases)), "tweet_id long, text string")
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5), ("bad", -2.5)], "word string, valence double")
+    got = dict(map(tuple, sentiment_score(posts, lexicon).collect()))
+    for i, (text, total) in enumerate(cases.items()):
+        assert got[i] == normal(total), text
+
+
+def test_sentiment_of_a_large_lexicon(spark):
+    words = [(f"w{i}", (i % 17 - 8) / 2) for i in range(3000)]
+    posts = spark.createDataFrame([(i, f"x w{i}") for i in range(0, 3000, 37)], "tweet_id long, text string")
+    lexicon = spark.createDataFrame(words, "word string, valence double")
+    got = dict(map(tuple, sentiment_score(posts, lexicon).collect()))
+    assert all(got[i] == normal((i % 17 - 8) / 2) for i in got)
+    with pytest.raises(ValueError, match="more than 100 words"):
+        valences(lexicon, 100)
 
 
 def test_half_even_rounding(spark):

@@ -1,11 +1,13 @@
 """Encodings, selection, oversampling, models and evaluation."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from ripplecast.models import balance, classifiers, evaluate, features, selection
+from ripplecast.models import balance, classifiers, evaluate, features, selection, stages
 from ripplecast.plans import predict
 
 
@@ -121,6 +123,30 @@ def test_nearest_points_are_exact(spark, leaf):
     assert len(got) == len(points)
 
 
+def test_points_of_mixed_columns_visit_few_cells(spark):
+    """Four measured columns and ten 0/1 ones: no cell is over-full and no point wanders."""
+    random = np.random.default_rng(12)
+    points = np.c_[random.normal(size=(4000, 4)), random.random((4000, 10)) < random.random(10)]
+    points = np.unique(np.round(points, 4), axis=0)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "pid long, x array<double>")
+    placed, nodes = balance.cells(df, 14, 128)
+    sizes = {r["node"]: r["count"] for r in placed.groupBy("node").count().collect()}
+    assert max(sizes.values()) <= 128 and sum(sizes.values()) == len(points)
+    assert {r["node"]: r["n"] for r in nodes.where("leaf").collect()} == sizes
+    home = balance._at_home(placed, nodes, 5)
+    assert home.where("reach = double('infinity')").count() == 0
+    seen = balance.visits(home, nodes).count()
+    assert seen < 0.75 * len(points) * len(sizes)
+
+
+def test_few_points_and_none(spark):
+    df = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [5.0])], "pid long, x array<double>")
+    got = {r["pid"]: r["neighbours"] for r in balance.nearest_points(df, 5, 2).collect()}
+    assert got == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
+    assert balance.nearest_points(df.limit(0), 5).count() == 0
+
+
 def test_smote_balances_between_minority_rows(spark):
     random = np.random.default_rng(2)
     few = random.normal(size=(12, 2))
@@ -154,10 +180,10 @@ def test_discriminant_is_the_closed_form(spark, separable):
     rows = separable.orderBy("tweet_id").collect()
     x = np.array([r["features"].toArray() for r in rows])
     y = np.array([r["popularity"] for r in rows])
-    fitted = classifiers.LinearDiscriminant().fit(separable)
+    fitted = np.array(classifiers.LinearDiscriminant().fit(separable).state["weights"])
     within = sum((x[y == k] - x[y == k].mean(0)).T @ (x[y == k] - x[y == k].mean(0)) for k in (0, 1))
     weights = np.linalg.solve(within / len(x), (x[y == 1].mean(0) - x[y == 0].mean(0)))
-    assert fitted.weights[1] - fitted.weights[0] == pytest.approx(weights)
+    assert fitted[1] - fitted[0] == pytest.approx(weights)
 
 
 def test_comparison_and_saved_model(spark, separable, tmp_path):
@@ -168,12 +194,6 @@ def test_comparison_and_saved_model(spark, separable, tmp_path):
     }
     scores = evaluate.compare_models(folded, models)
     assert scores.count() == 6 and evaluate.best_model(scores) in models
-    grid = {"maxDepth": [2, 80], "numTrees": [3], "min_samples_split": [8]}
-    best = evaluate.grid_search(folded, grid, folds=3)
-    assert best["numTrees"] == 3 and best["maxDepth"] in (2, 30)
-    assert best["not_searched"] == ["min_samples_split"]
-    with pytest.raises(ValueError, match="numTres"):
-        evaluate.grid_search(folded, {"numTres": [3]}, folds=3)
     path = str(tmp_path / "model")
     scored, accuracy = evaluate.train_evaluate(classifiers.forest(3, 3), separable, separable, path)
     again = evaluate.batch_predict(path, separable)
@@ -181,6 +201,99 @@ def test_comparison_and_saved_model(spark, separable, tmp_path):
     assert accuracy > 0.95
 
 
+def test_grid_scores_equal_forests_grown_for_each_combination(spark):
+    random = np.random.default_rng(6)
+    points = random.normal(size=(150, 4))
+    folded = evaluate.kfold_assign(matrix(spark, points, points[:, 0] + random.normal(size=150) > 0), ["tweet_id"], 3)
+    grid = {"bootstrap": [True], "depth": [None, 40, 3], "per_split": [2], "per_leaf": [2], "per_node": [4, 9], "trees": [2, 5]}
+    rows = evaluate.grid_scores(folded, grid).collect()
+    assert len(rows) == 12
+    for row in rows:
+        how = {name: row[name] for name in grid}
+        model = evaluate.ExtraTrees(evaluate.Settings(**how))
+        want = [
+            evaluate.accuracy(model.fit(folded.where(f"fold <> {k}")).transform(folded.where(f"fold = {k}")))
+            for k in range(3)
+        ]
+        assert row["score"] == pytest.approx(sum(want) / 3), how
+    best = evaluate.grid_search(folded, grid)
+    assert best["accuracy"] == max(r["score"] for r in rows)
+    assert evaluate.tuned_model(best).settings.per_node == best["per_node"]
+    with pytest.raises(ValueError, match="numTres"):
+        evaluate.grid_search(folded, {"numTres": [3]})
+    sizes = [len(v) for v in evaluate.GRID.values()]
+    assert np.prod(sizes) == 216
+
+
+def test_boosting_is_the_plain_algorithm(spark):
+    """Stumps at the values themselves: with few distinct values the quantiles are all of them."""
+    random = np.random.default_rng(8)
+    x = random.integers(0, 6, (200, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3) | (random.random(200) < 0.1)).astype(int)
+    got = classifiers.AdaBoost(12).fit(matrix(spark, x, y)).state["stumps"]
+    weight = np.ones(200)
+    for feature, cut, below, above, vote in got:
+        best = None
+        for f in range(3):
+            for c in sorted(set(x[:, f]))[:-1]:
+                sides = [(weight * (y == k))[s].sum() for s in (x[:, f] <= c, x[:, f] > c) for k in (0, 1)]
+                impurity = sum(2 * a * b / (a + b) for a, b in (sides[:2], sides[2:]))
+                if best is None or impurity < best[0] - 1e-9 * weight.sum():
+                    best = (impurity, f, c, *(1.0 if b > a else -1.0 for a, b in (sides[:2], sides[2:])))
+        assert (feature, cut, below, above) == best[1:]
+        missed = (np.where(x[:, feature] <= cut, below, above) > 0) != (y == 1)
+        error = weight[missed].sum() / weight.sum()
+        assert vote == pytest.approx(np.log((1 - error) / error))
+        weight = weight * np.exp(vote * missed)
+    assert len(got) == 12
+    alike = matrix(spark, np.ones((9, 2)), [0] * 3 + [1] * 6)
+    assert evaluate.accuracy(classifiers.AdaBoost(3).fit(alike).transform(alike)) == pytest.approx(6 / 9)
+
+
+#: Loads a model in a session of its own and scores the posts.
+_ELSEWHERE = """
+import sys
+from pyspark.sql import SparkSession
+from ripplecast.models import evaluate
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+posts = spark.read.parquet(sys.argv[1])
+for name in sys.argv[3:]:
+    evaluate.batch_predict(f"{sys.argv[2]}/{name}", posts).write.parquet(f"{sys.argv[2]}/{name}-scored")
+"""
+
+
+def test_saved_models_score_posts_in_another_session(spark, tmp_path):
+    import subprocess
+    import sys
+
+    posts = [(i, i % 7 - 1, ["a", "b", None][i // 3 % 3], i % 4, float(i * 37 % 101), float(i % 5), i % 2) for i in range(90)]
+    df = spark.createDataFrame(posts, "tweet_id long, kind int, tone string, month int, followers double, seniority double, popularity int")
+    df.where("tweet_id % 3 > 0").write.parquet(str(tmp_path / "posts"))
+    train = df.where("tweet_id % 3 = 0")
+    vocabulary = features.vocabularies(train, ["kind", "tone", "month"])
+    scale = features.scaling(train, ["followers", "seniority"])
+    made = features.standardize(features.one_hot(train, vocabulary), scale)
+    kept = ["kind_3", "tone_None", "month_2", "followers"]
+    rows = features.assemble_features(features.clean_nulls(made, kept), kept)
+    before = stages.preparation(vocabulary, scale, kept)
+    models = {"LDA": classifiers.LinearDiscriminant(), "AB": classifiers.AdaBoost(5), "ET": classifiers.extra_trees(7),
+              "NB": classifiers.gaussian_bayes()}
+    fresh = spark.read.parquet(str(tmp_path / "posts"))
+    want = {}
+    for name, model in models.items():
+        evaluate.train_evaluate(model, rows, rows, str(tmp_path / name), before=before)
+        vectors = features.assemble_features(features.standardize(features.one_hot(fresh, vocabulary), scale).fillna(0, kept), kept)
+        scored = evaluate.load_model(str(tmp_path / name)).stages[-1].transform(vectors)
+        want[name] = sorted((r["tweet_id"], r["prediction"]) for r in scored.collect())
+    command = [sys.executable, "-c", _ELSEWHERE, str(tmp_path / "posts"), str(tmp_path), *models]
+    subprocess.run(command, check=True, timeout=240, capture_output=True, cwd=Path(__file__).parent.parent)
+    for name in models:
+        scored = spark.read.parquet(str(tmp_path / f"{name}-scored"))
+        assert scored.columns == [*df.columns, "prediction"]
+        assert sorted((r["tweet_id"], r["prediction"]) for r in scored.collect()) == want[name], name
+        assert len({p for _, p in want[name]}) == 2
+
+
 def test_report(spark):
     rows = [(1, 1.0)] * 6 + [(1, 0.0)] * 2 + [(0, 0.0)] * 1 + [(0, 1.0)] * 1
     df = spark.createDataFrame(rows, "popularity int, prediction double")
@@ -255,6 +368,6 @@ def test_registered_queries_use_library_settings_and_kept_columns(spark, monkeyp
         monkeypatch.setattr(selection, name, recorded(name, None))
         learning.QUERIES[name](spark, "")
         assert calls[name][1] == {} and len(calls[name][0]) == 2, name
-    monkeypatch.setattr(evaluate, "grid_search", recorded("grid_search", {}))
+    monkeypatch.setattr(evaluate, "grid_scores", recorded("grid_scores", None))
     learning.grid_search(spark, "")
-    assert calls["grid_search"][1] == {} and len(calls["grid_search"][0]) == 1
+    assert calls["grid_scores"][1] == {} and len(calls["grid_scores"][0]) == 1

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ripplecast import adapters
 from ripplecast.catalogue import data
-from ripplecast.operators import cascades, filters, profiles
+from ripplecast.functions import sentiment
+from ripplecast.operators import filters, ordering, profiles, stats
 from ripplecast.plans import analyse, process
 
 
@@ -16,7 +17,8 @@ def plan_of(df):
 @pytest.mark.parametrize(
     "name",
     ["retweeter_characteristics", "tweet_reach", "profile_by_key", "profile_by_two_keys",
-     "cascade_position", "analysis_projection", "keyword_match", "sentiment_score"],
+     "cascade_position", "analysis_projection", "keyword_match", "sentiment_score", "sentiment_rules",
+     "corr_kendall", "boxplot_by_topic", "stratified_sample"],
 )
 def test_no_python_and_no_products(spark, folder, name):
     plan = plan_of(data.QUERIES[name](spark, folder))
@@ -52,8 +54,40 @@ def test_profiles_aggregate_before_the_shuffle(spark, folder):
     assert "partial_count" in plan
 
 
-def test_sampling_prunes_before_the_shuffle(spark, folder):
-    assert plan_of(data.QUERIES["stratified_sample"](spark, folder)).count("WindowGroupLimit") == 2
+def test_sentiment_needs_no_shuffle(spark, folder):
+    plan = plan_of(sentiment.sentiment_score(adapters.tw(spark, folder).select("tweet_id", "text"), adapters.lexicon(spark)))
+    assert "Generate" not in plan
+    texts = spark.createDataFrame([(1, "so good")], "tweet_id long, text string")
+    plan = plan_of(sentiment.sentiment_score(texts, adapters.lexicon(spark)))
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_joins_have_one_plan(spark, folder):
+    """The operators leave the choice of the join to the engine: no hints, salts or size questions."""
+    for name in ("tweets_join_users", "retweets_join_retweeters", "reach_author", "tweet_reach", "cascade_join"):
+        df = data.QUERIES[name](spark, folder)
+        logical = df._jdf.queryExecution().analyzed().toString()
+        assert "ResolvedHint" not in logical and "salt" not in logical
+
+
+def test_reports_scan_the_posts_few_times(spark, folder, tmp_path, monkeypatch):
+    adapters.proc(spark, folder).write.parquet(str(tmp_path / "posts"))
+    posts, scans = spark.read.parquet(str(tmp_path / "posts")), []
+
+    def spied(module):
+        cut = module.cut_lineage
+
+        def spy(df):
+            scans.append(plan_of(df).count("FileScan parquet"))
+            return cut(df)
+
+        monkeypatch.setattr(module, "cut_lineage", spy)
+
+    for module in (analyse, profiles, stats, ordering):
+        spied(module)
+    reports = analyse.tweet_reports(posts)
+    scans += [plan_of(report).count("FileScan parquet") for report in reports.values()]
+    assert sum(scans) <= 8
 
 
 def test_reports_run(spark, folder):
@@ -68,16 +102,6 @@ def test_reports_run(spark, folder):
     posts.unpersist()
 
 
-def test_hot_cascades_give_the_same_flagship(spark, folder):
-    posts = data.pr.time_parts(data.pr.topic_columns(adapters.tw(spark, folder)))
-    info = adapters.rti(spark, folder)
-    runs = [
-        cascades.retweeter_characteristics(posts, info, 0, adapters.RESHARE_ORDER, hot_rows=hot)
-        for hot in (2, 10**6)
-    ]
-    assert sorted(map(tuple, runs[0].collect())) == sorted(map(tuple, runs[1].collect()))
-
-
 def test_reach_is_at_least_the_authors_followers(spark, folder):
     rows = adapters.proc(spark, folder)
     assert rows.where("reach < followers").count() == 0

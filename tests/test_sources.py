@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from ripplecast import schemas
 from ripplecast.sources import api, csvfiles, tables
-from ripplecast.streaming.ingest import incremental_ingest, ingest_tables
+from ripplecast.streaming import ingest
+from ripplecast.streaming.ingest import incremental_ingest, ingest_tables, ingested
 
 FOREIGN = ''',tweet_id,text,user_id,timestamp,tweet_type,like_count,reply_count,retweet_count,quote_count,device,lang,topics_ids,topics,referenced_tweets
 0,1,"one, ""two""",10,2020-05-01 10:00:00,Quote Tweet,1,2,3,4,,en,"['45', '46']","['News', 'Book']","[ReferencedTweet(id: 123, type: quoted 
@@ -77,19 +80,73 @@ def test_page_without_data_has_no_rows(spark, tmp_path):
     assert tweets.count() == 0 and users.count() == 0
 
 
+def test_users_of_files_without_row_numbers_follow_file_names(spark, tmp_path):
+    folder = tmp_path / "users"
+    folder.mkdir()
+    head = "user_id,name,username,followers,following,tweet_count,verified,created_at\n"
+    filler = "".join(f"{i},n,n,0,1,1,True,2010-01-01 00:00:00\n" for i in range(100, 400))
+    (folder / "b.csv").write_text(head + "1,z,z,9,1,1,True,2010-01-01 00:00:00\n")
+    (folder / "a.csv").write_text(head + filler + "".join(f"1,a,a,{k},1,1,True,2010-01-01 00:00:00\n" for k in (5, 6)))
+    found = []
+    for size in ("128MB", "600"):  # in one task, and in many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        _, first = csvfiles.load_datasets(spark, str(tmp_path / "none"), str(folder))
+        found.append(sorted(map(tuple, first.where("user_id = 1").select("followers", "name").collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == [[(5, "a")], [(5, "a")]]
+
+
+def test_unreadable_values_are_counted(spark, tmp_path):
+    users = tmp_path / "users.csv"
+    users.write_text(
+        "user_id,name,username,followers,following,tweet_count,verified,created_at\n"
+        "1,a,a,5,x,1,True,2010-01-01 00:00:00\n2,b,b,many,,1,maybe,some day\n"
+    )
+    rows = csvfiles.unreadable(spark, str(users), schemas.USERS).collect()
+    got = {r["column"]: (r["rows"], r["unreadable"]) for r in rows}
+    assert got["followers"] == (2, 1) and got["following"] == (1, 1) and got["user_id"] == (2, 0)
+    assert got["verified"] == (2, 1) and got["created_at"] == (2, 1)
+
+
 def test_two_drops_of_pages_equal_one_batch(spark, tmp_path):
     drop, target, marks = (tmp_path / name for name in ("in", "out", "marks"))
     drop.mkdir()
     (drop / "a.json").write_text(page(range(5), [(1, "a")]))
     incremental_ingest(spark, str(drop), str(target), str(marks))
-    (drop / "b.json").write_text(page(range(5, 9), [(6, "b")]))
+    (drop / "b.json").write_text(page(range(5, 19), [(1, "late"), (6, "b")]))
     incremental_ingest(spark, str(drop), str(target), str(marks))
     incremental_ingest(spark, str(drop), str(target), str(marks))
     batch = ingest_tables(api.read_tweet_pages(spark, str(drop)))
-    for name, expected in batch.items():
-        got = spark.read.parquet(str(target / name)).select(expected.columns)
-        assert sorted(got.collect(), key=str) == sorted(expected.collect(), key=str)
-    assert (target / "tweets" / "year=2021").exists()
+    expected = batch["tweets"]
+    got = ingested(spark, str(target), "tweets", expected.schema).select(expected.columns)
+    assert sorted(got.collect(), key=str) == sorted(expected.collect(), key=str)
+    users = ingested(spark, str(target), "users", batch["users"].schema).collect()
+    assert sorted((r["user_id"], r["name"]) for r in users) == [(1, "a"), (6, "b")]
+
+
+def test_a_run_that_ends_between_the_tables_is_repaired(spark, tmp_path, monkeypatch):
+    drop, target, marks = (tmp_path / name for name in ("in", "out", "marks"))
+    drop.mkdir()
+    (drop / "a.json").write_text(page(range(5), [(1, "a")]))
+    incremental_ingest(spark, str(drop), str(target), str(marks))
+    (drop / "b.json").write_text(page(range(5, 9), [(6, "b"), (7, "c")]))
+    whole, calls = ingest._replace, []
+
+    def dies(*args):
+        calls.append(args[1])
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        whole(*args)
+
+    monkeypatch.setattr(ingest, "_replace", dies)
+    with pytest.raises(Exception, match="killed"):
+        incremental_ingest(spark, str(drop), str(target), str(marks))
+    assert spark.read.parquet(str(target / "tweets")).count() == 9  # the posts are there, the users are not
+    assert spark.read.parquet(str(target / "users")).count() == 1
+    monkeypatch.setattr(ingest, "_replace", whole)
+    incremental_ingest(spark, str(drop), str(target), str(marks))
+    assert spark.read.parquet(str(target / "tweets")).count() == 9
+    assert sorted(r["user_id"] for r in spark.read.parquet(str(target / "users")).collect()) == [1, 6, 7]
 
 
 def test_only_present_years_are_replaced(spark, tmp_path):
