@@ -171,12 +171,9 @@ def _saved(spark, d, models: dict) -> tuple[dict[str, str], DataFrame]:
     """Where each model was saved with its preparation, and the posts of the last year."""
     posts = cut_lineage(fl.outlier_filter(ad.proc(spark, d)))
     train, test = features.split_by_last_year(posts)
-    fitted = predict.fit_preparation(train)
-    rows, scored, coded = predict.prepare(train, test, fitted)
-    rows = rows.persist()
-    kept = predict.select_features(rows, coded)
+    fitted, kept = predict.fit_preparation(train), selected(spark, d)[2]
+    rows, scored, _ = predict.prepare(train, test, fitted)
     matrices = [cut_lineage(features.assemble_features(df, kept)) for df in (rows, scored)]
-    rows.unpersist()
     paths, before = {}, stages.preparation(*fitted, kept)
     for name, model in models.items():
         paths[name] = scratch_path(spark, "model")

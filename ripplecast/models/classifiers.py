@@ -181,7 +181,9 @@ def boosted_trees(rounds: int = 100, label: str = LABEL) -> GBTClassifier:
 
 
 def forest(trees: int = 100, depth: int = DEEPEST, label: str = LABEL) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
+    return RandomForestClassifier(
+        labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, cacheNodeIds=True
+    )  # deep trees are not sent to the tasks at every level
 
 
 def extra_trees(

@@ -106,7 +106,7 @@ def _matrix(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 
 def _importances(matrix: DataFrame, trees: int, depth: int) -> list[float]:
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, cacheNodeIds=True)
     return forest.fit(matrix).featureImportances.toArray().tolist()
 
 
