@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,10 +140,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def encode(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): ids in little-endian bytes of the codec's width.
+_Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _prepared(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> tuple[DataFrame, _Step]:
+    """Documents beside the ids of their shared chunks, and the step that makes their ids.
 
     The texts are shuffled once, by a hash of their row; chunk digests take 16 bytes a chunk, and
     the ids of a shared chunk are carried to each document that holds it.
@@ -226,12 +227,20 @@ def encode(
                 ["doc_id", "n_tokens", "ids"],
             )
 
-    whole = texts.join(brought, "key", "left").select("doc_id", "text", "given")
+    return texts.join(brought, "key", "left").select("doc_id", "text", "given"), finish
+
+
+def encode(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids in little-endian bytes of the codec's width."""
+    whole, finish = _prepared(docs, vocabulary, id_col, text_col)
+    kind = dict(whole.dtypes)["doc_id"]
     return whole.mapInArrow(finish, f"doc_id {kind}, n_tokens long, ids binary")
 
 
-def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
-    """Add ``text``, what the ids stand for."""
+def _decoding(vocabulary: str) -> _Step:
+    names = ["doc_id", "n_tokens", "ids", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
@@ -239,14 +248,21 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [coder.decode(coder.ids(x)).decode() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    names = ["doc_id", "n_tokens", "ids", "text"]
+    return run
+
+
+def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
+    """Add ``text``, what the ids stand for."""
     kind = dict(coded.dtypes)["doc_id"]
-    return coded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")
+    return coded.mapInArrow(
+        _decoding(vocabulary), f"doc_id {kind}, n_tokens long, ids binary, text string"
+    )
 
 
-def digests(decoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded rows."""
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
 
+def _digesting(vocabulary: str) -> _Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
         for batch in slices(batches, "ids", 2 << 20):
@@ -258,7 +274,26 @@ def digests(decoded: DataFrame, vocabulary: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    return run
+
+
+def digests(decoded: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded rows."""
     kind = dict(decoded.dtypes)["doc_id"]
-    return decoded.mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return decoded.mapInArrow(_digesting(vocabulary), f"doc_id {kind}, {_DIGESTS}")
+
+
+def round_trip(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The digests of encoded and decoded documents.
+
+    A Python worker takes each batch through all three steps, so neither ids nor decoded texts
+    travel between steps, and a task needs one worker.
+    """
+    whole, finish = _prepared(docs, vocabulary, id_col, text_col)
+    decoding, digesting = _decoding(vocabulary), _digesting(vocabulary)
+    kind = dict(whole.dtypes)["doc_id"]
+    return whole.mapInArrow(
+        lambda batches: digesting(decoding(finish(batches))), f"doc_id {kind}, {_DIGESTS}"
     )

@@ -27,9 +27,7 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path(VOCABULARY)
-    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return bpe.digests(bpe.decode(coded, vocabulary), vocabulary)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

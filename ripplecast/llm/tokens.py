@@ -1,8 +1,9 @@
-"""Byte-level BPE with the tokenizers library, word by word with a bounded cache.
+"""Byte-level BPE of whole texts, with the ids of the tokenizers library.
 
-A blank that follows a non-blank always starts a new piece of the pre-tokenizer's split, whatever
-stands around it. So a text falls into units at those places, the ids of a text are the ids of its
-units in order, and frequent units need to be encoded only once.
+A vocabulary whose merges stand in the order of their ids gives the same ids by rank: the pair
+with the lowest id merges first. Such texts go through a rank encoder built from the vocabulary
+file itself, which is several times as fast; texts that hold an added token, and vocabularies of
+another build, go through the library. Tests hold one against the other.
 """
 
 from __future__ import annotations
@@ -13,37 +14,10 @@ import os
 import re
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import tiktoken
 
-CACHED_UNITS = 250_000  # units kept by one Python worker, about 50 MB
-_LONGEST_CACHED = 48  # characters
-
-_ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_UNIT = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_LISTS = pa.list_(pa.string())
-_ALONE = "\0"  # mark of a unit that is encoded by itself
-
-
-def _is_prose(text: str) -> bool:
-    """Whether all blanks are single spaces and line ends."""
-    return _ODD.search(text) is None and not any(run in text for run in ("  ", " \n", "\n\n", "\n "))
-
-
-def unit_keys(text: str) -> list[str]:
-    """The text, cut before ASCII blanks that follow a non-blank character, as keys of units.
-
-    A key is the unit without its leading space, or the unit if it starts with a line end, or the
-    mark and the unit. Ordinary prose is cut by two string operations.
-    """
-    if _is_prose(text):
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = _ALONE + keys[0]
-        return keys
-    if _WIDE.search(text) is not None:  # other blanks join ASCII ones to a run
-        return [_ALONE + text]
-    return [_ALONE + unit for unit in _UNIT.findall(text)]
+# Fixed value: how byte-level vocabularies of this kind split a text before merging.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_of() -> dict[str, int]:
@@ -53,6 +27,27 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _is_ranked(spec: dict) -> bool:
+    """Whether merging by lowest id is what the file asks for."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        spec.get("normalizer") is None
+        and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(name) for name in ("dropout", "byte_fallback", "ignore_merges"))
+        and not any(model.get(name) for name in ("continuing_subword_prefix", "end_of_word_suffix"))
+    )
+    if not plain:
+        return False
+    pairs = (pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"])
+    made = [model["vocab"].get("".join(pair), -1) for pair in pairs]
+    singles = [i for token, i in model["vocab"].items() if len(token) == 1]
+    in_order = all(a < b for a, b in zip([max(singles), *made], made))
+    return in_order and len(singles) == 256 and len(singles) + len(made) == len(model["vocab"])
+
+
 class Codec:
     """Encodes whole texts to little-endian ids and decodes ids to bytes."""
 
@@ -61,28 +56,20 @@ class Codec:
         self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        before = spec.get("pre_tokenizer") or {}
-        self.by_unit = (
-            spec.get("normalizer") is None
-            and before.get("type") == "ByteLevel"
-            and before.get("use_regex", True)
-            and not before.get("add_prefix_space", True)
-            and not any(
-                re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
-                for t in spec["added_tokens"]
-            )
-        )
-        vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocabulary = spec["model"]["vocab"] | added
         self.size = 1 + max(vocabulary.values())
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        added, byte_of = {t["content"] for t in spec["added_tokens"]}, _byte_of()
+        byte_of = _byte_of()
         self.bytes_of: list[bytes] = [b""] * self.size
         for token, i in vocabulary.items():
             plain = token in added or any(c not in byte_of for c in token)
             self.bytes_of[i] = token.encode() if plain else bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.cache: dict[str, bytes] = {}
-        self.again: set[str] = set()  # units of the cache that came again since it was last thinned
+        # added tokens may take blanks around them along, so any text that holds one is left to the library
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        ranked = [i for token, i in spec["model"]["vocab"].items() if token not in added]
+        self.ranks = {self.bytes_of[i]: i for i in ranked} if _is_ranked(spec) else None
 
     @functools.cached_property
     def decimals(self) -> list[bytes]:
@@ -90,7 +77,7 @@ class Codec:
 
     @functools.cached_property
     def tokenizer(self):
-        """The library's tokenizer; workers that only decode never load it."""
+        """The library's tokenizer; workers that do not need it never load it."""
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(self.path)
@@ -98,70 +85,25 @@ class Codec:
         made.no_padding()
         return made
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
+    @functools.cached_property
+    def by_rank(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding(self.path, pat_str=_SPLIT, mergeable_ranks=self.ranks, special_tokens={})
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        """Ids from the library, whatever the texts hold."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def _encode_units(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of units. Those that may follow one another go through the library as long texts."""
-        made: dict[str, bytes] = {}
-        alone = [key for key in keys if key[:1] == _ALONE or key in ("", "\n")]
-        texts = [key[1:] if key[:1] == _ALONE else key or " " for key in alone]
-        made.update(zip(alone, self._library(texts)))
-        lines = [key for key in keys if key[:1] == "\n" and key != "\n"]
-        spaced = list(set(keys).difference(alone, lines))
-        for start, some in (("\n", lines), (" ", spaced)):
-            groups = [some[at : at + 4096] for at in range(0, len(some), 4096)]
-            joined = ["".join(g) if start == "\n" else " " + " ".join(g) for g in groups]
-            for group, text, coded in zip(groups, joined, self._library(joined)):
-                raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                ends = np.append(np.flatnonzero(raw == ord(start))[1:], len(raw))
-                stops = np.searchsorted(np.cumsum(self.lengths[self.ids(coded)]), ends) + 1
-                stops = (stops * self.dtype.itemsize).tolist()
-                made.update(zip(group, map(coded.__getitem__, map(slice, [0, *stops[:-1]], stops))))
-        return made
-
-    def _thin(self) -> None:
-        """Keep the units that came again, unless these are too many themselves."""
-        kept = self.again if 2 * len(self.again) < CACHED_UNITS else ()
-        self.cache, self.again = {key: self.cache[key] for key in kept}, set()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as bytes of ``dtype``."""
-        if not self.by_unit:
-            return self._library(texts)
-        out: list[bytes] = [b""] * len(texts)
-        plain = [at for at, text in enumerate(texts) if _is_prose(text)]
-        if plain:
-            marked = pa.array([_ALONE + texts[at].replace("\n", " \n") for at in plain])
-            self._fill(out, plain, pc.split_pattern(marked, " "))
-        other = sorted(set(range(len(texts))).difference(plain))
-        if other:
-            self._fill(out, other, pa.array([unit_keys(texts[at]) for at in other], _LISTS))
-        return out
-
-    def _fill(self, out: list[bytes], places: list[int], keys: pa.ListArray) -> None:
-        """Set the ids of the texts at ``places``; a row of ``keys`` holds the units of each."""
-        if len(self.cache) > CACHED_UNITS:
-            self._thin()
-        cache, coded = self.cache, keys.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [key for key in distinct if key not in cache]
-        if len(new) < len(distinct):
-            self.again.update(set(distinct).difference(new))
-        cache.update(self._encode_units(new))
-        units = pa.array(map(cache.__getitem__, distinct), pa.binary(), size=len(distinct))
-        joined = units.take(coded.indices)
-        unit_ends = np.frombuffer(joined.buffers()[1], dtype=np.int32)
-        ends = unit_ends[keys.offsets.to_numpy() - keys.offsets[0].as_py()].tolist()
-        data = memoryview(joined.buffers()[2] or b"")
-        for place, start, end in zip(places, ends, ends[1:]):
-            out[place] = bytes(data[start:end])
-        for key in new:
-            if len(key) > _LONGEST_CACHED:
-                del cache[key]
+        if self.ranks is None:
+            return self.library(texts)
+        return [
+            self.library([text])[0]
+            if self.added is not None and self.added.search(text)
+            else np.array(self.by_rank.encode_ordinary(text), dtype=self.dtype).tobytes()
+            for text in texts
+        ]
 
     def ids(self, coded: bytes) -> np.ndarray:
         return np.frombuffer(coded, dtype=self.dtype)

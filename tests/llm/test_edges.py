@@ -74,6 +74,16 @@ def test_bpe(docs, none, odd):
     assert bpe.encode(none, VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_codec_gives_the_librarys_ids(name, odd):
+    coder = codec(public_tokenizers.path(name))
+    assert (coder.ranks is not None) == (name == "byte_bpe_50k.json")
+    draw = np.random.default_rng(4)
+    marks = list("ab'sZé日ñ  \n\t.,!?0٣\xa0\x1c\u2028") + ["'ll", " <|endoftext|> ", "  \n ", "😀", "e\u0301"]
+    texts = [t or "" for _, t, _ in odd] + ["".join(draw.choice(marks, 60)) for _ in range(400)]
+    assert coder.encode(texts) == coder.library(texts)
+
+
 def test_shared_chunks_agree(rows_of):
     random = np.random.default_rng(3)
     passage = " ".join("".join(random.choice(list("abcdeé"), 5)) for _ in range(3000))
