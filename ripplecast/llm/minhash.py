@@ -10,11 +10,13 @@ probability of 1 - (1 - 0.8**4)**32 = 1 - 5e-8.
 Documents of equal shingle sets are one class and only classes are compared. Inside a bucket, the
 class with the smallest number is compared with all others. Confirmed pairs merge to components.
 Where a bucket still holds several, a few rounds compare other members of its largest component
-with all classes outside it, each round with another member; then every class still outside is
-compared with all classes of other components, in the first bucket that the two share. So no
-candidate pair of different components is left out, and a large group of near copies is confirmed
-by stars and not by all its pairs. Candidate pairs must pass
-the size ratio that the threshold implies, and are confirmed on the full sets of both texts.
+with all classes outside it, each round with another member. Classes that are still outside are
+then held against the whole of that component, and against the other classes outside, on full
+sets and in blocks of at most about ``BLOCK`` classes a side: a task looks up the shingles of one
+block in the other and returns one link for a class, never pairs. So no candidate pair of different
+components is left out, and a large group of near copies costs rows in proportion to its classes.
+Candidate pairs of the stars must pass the size ratio that the threshold implies, and are
+confirmed on the full sets of both texts.
 
 Edge cases: a null or blank text has the empty set and links with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat an id are separate rows; a null id takes part, and
@@ -35,6 +37,7 @@ from ripplecast.llm.common import components, free_name, slices, stored
 from ripplecast.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 32, 4
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # classes and shingles of one side of a comparison
 _SHIFT = 0x61C88647  # places by which the second permutation turns from one coordinate to the next
 
 
@@ -152,9 +155,9 @@ def link(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, kept), one row per document.
+    """(doc_id, key, n_shingles, component_id, group, kept), one row per document.
 
-    ``key`` is a hash of id and text. The texts are read twice, once for the sketches and once for
+    ``key`` is a hash of id and text, ``group`` a number of the component, null without words. The texts are read twice, once for the sketches and once for
     the texts of classes that share a bucket with another one.
     """
     made = stored(sketches(docs, width, bands, rows, id_col, text_col), "sketches")
@@ -187,24 +190,183 @@ def link(
         .dropDuplicates(["class"]),
         "texts",
     )
-    edges, tested = stored(confirmed(star, texts, width, per_cent), "edges"), star
-    named = _named(entries, edges)
+    links, tested = _merged(stored(confirmed(star, texts, width, per_cent), "edges")), star
+    named = _named(entries, links)
     for turn in range(rounds):
         pairs = stored(_star_pairs(named, turn, ratio).join(tested, ["a", "b"], "left_anti"), "star")
         more = stored(confirmed(pairs, texts, width, per_cent), "edges")
         if more.isEmpty():
             break
-        edges, tested = edges.unionByName(more), tested.unionByName(pairs)
-        named = _named(entries, edges)
-    lists = classes.select("class", "buckets")
-    rest = stored(_all_pairs(named, lists, ratio).join(tested, ["a", "b"], "left_anti"), "rest")
-    more = stored(confirmed(rest, texts, width, per_cent), "edges")
-    return _labelled(made, components(edges.unionByName(more)))
+        links, tested = _merged(links.unionByName(more)), tested.unionByName(pairs)
+        named = _named(entries, links)
+    sets = stored(_sets(texts.join(_sought(named, links), "class"), width), "sets")
+    more = stored(_with_component(named, links, sets, per_cent), "edges")
+    links = _merged(links.unionByName(more))
+    more = stored(_among_outside(named, links, sets, per_cent), "edges")
+    return _labelled(made, components(links.unionByName(more)))
 
 
-def _named(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def _merged(edges: DataFrame) -> DataFrame:
+    """(a, b): every linked class and its component; what these links say in the shortest form."""
+    return stored(components(edges).toDF("a", "b"), "components")
+
+
+def _sought(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(class): classes of mixed buckets, and all of the components that are their largest."""
+    tops = named.select(F.col("top").alias("b")).distinct()
+    held = links.join(tops, "b", "left_semi").select(F.col("a").alias("class"))
+    return named.select("class").unionByName(held).distinct()
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(class, n, members): the sorted shingle hashes of every class, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], width)
+            sizes = pa.array([len(one) for one in sets], pa.int64())
+            coded = pa.array([one.tobytes() for one in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, coded], ["class", "n", "members"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, n long, members binary")
+
+
+class _Index:
+    """The sets of a block by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(one) for one in sets], dtype=np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.values = flat[order]
+        self.holder = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def near(self, one: np.ndarray, per_cent: int) -> np.ndarray:
+        """Places of the sets with the similarity."""
+        low, high = (np.searchsorted(self.values, one, side) for side in ("left", "right"))
+        count = high - low
+        begins = np.cumsum(count) - count
+        found = np.arange(count.sum()) + np.repeat(low - begins, count)
+        both = np.bincount(self.holder[found], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= per_cent * (len(one) + self.sizes - both))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of equal keys; they arrive sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        columns = [table.column(name).to_numpy() for name in keys]
+        fresh = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        cuts = [0, *fresh.tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1]).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _members(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(one, dtype=np.uint64) for one in table.column("members").to_pylist()]
+
+
+def _blocks() -> Column:
+    """How many blocks a side needs, from the rows' ``n``."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _blocked(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+    """Add block numbers for both sides of a comparison: a row has one of ``own`` and all of ``other``."""
+    mine = F.pmod(F.xxhash64("class", by), F.col(own)).cast("int")
+    return rows.withColumn("mine", mine).withColumn(
+        "theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    )
+
+
+def _with_component(named: DataFrame, links: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): a link from a class outside a bucket's largest component to one of its classes, if there is one."""
+    size = sets.select("class", "n")
+    seekers = named.where("component <> top").select("class", "top").distinct().join(size, "class")
+    asked = seekers.groupBy("top").agg(_blocks().alias("q"))
+    held = links.select(F.col("a").alias("class"), F.col("b").alias("top"))
+    alone = named.where("class = top").select("class", "top")  # a component of one has no links
+    held = held.unionByName(alone).distinct().join(asked.select("top"), "top", "left_semi").join(size, "class")
+    sizes = asked.join(held.groupBy("top").agg(_blocks().alias("h")), "top")
+    sides = []
+    for side, (rows, own, other) in enumerate(((seekers, "q", "h"), (held, "h", "q"))):
+        spread = _blocked(rows.join(sizes, "top"), "top", own, other)
+        pair = ("mine", "theirs") if side == 0 else ("theirs", "mine")
+        sides.append(spread.select("class", "top", *[F.col(c).alias(n) for c, n in zip(pair, "ij")], F.lit(side).alias("side")))
+    both = sides[0].unionByName(sides[1]).join(sets.select("class", "members"), "class")
+    keys = ["top", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, keys):
+            side, classes = table.column("side").to_numpy(), table.column("class").to_numpy()
+            one = _members(table)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            found = []
+            if len(left) and len(right):
+                index = _Index([one[at] for at in right])
+                for at in left:
+                    near = index.near(one[at], per_cent)
+                    if len(near):
+                        found.append((classes[at], classes[right[near[0]]]))
+            yield _edges(found)
+
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "side", "class", "members").mapInArrow(run, "a long, b long")
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _among_outside(named: DataFrame, links: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): links between classes outside the largest component of a bucket that are not joined yet."""
+    joined = links.select(F.col("a").alias("class"), F.col("b").alias("_c"))
+    outside = named.where("component <> top").select("bucket", "class").join(joined, "class", "left")
+    outside = outside.select("bucket", "class", F.coalesce("_c", "class").alias("component"))
+    outside = outside.join(sets.select("class", "n"), "class")
+    sizes = outside.groupBy("bucket").agg(
+        _blocks().alias("blocks"),
+        F.min("component").alias("_low"), F.max("component").alias("_high"),
+    ).where("_low < _high").select("bucket", "blocks")
+    spread = _blocked(outside.join(sizes, "bucket"), "bucket", "blocks", "blocks")
+    ordered = [F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j")]
+    keys = ["bucket", "i", "j"]
+    dealt = spread.select("bucket", *ordered, "mine", "class", "component")
+    dealt = dealt.join(sets.select("class", "members"), "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, keys):
+            parts, mine = table.column("component").to_numpy(), table.column("mine").to_numpy()
+            found: list[tuple[int, int]] = []
+            if len(np.unique(parts)) > 1:
+                classes, one = table.column("class").to_numpy(), _members(table)
+                i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+                right = np.flatnonzero(mine == j)
+                index = _Index([one[at] for at in right]) if len(right) else None
+                root = parts.copy()
+                for at in np.flatnonzero(mine == i) if index else ():
+                    near = right[index.near(one[at], per_cent)]
+                    for other in near[root[near] != root[at]]:
+                        if root[other] != root[at]:  # one link for two components
+                            found.append((classes[at], classes[other]))
+                            root[root == root[other]] = root[at]
+            yield _edges(found)
+
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "mine", "component", "class", "members").mapInArrow(run, "a long, b long")
+
+
+def _named(entries: DataFrame, links: DataFrame) -> DataFrame:
     """Entries of buckets that hold several components, with theirs and ``top``, the largest."""
-    merged = components(edges).withColumnRenamed("node", "class")
+    merged = links.select(F.col("a").alias("class"), F.col("b").alias("component"))
     named = entries.join(merged, "class", "left").select(
         "bucket", "band", "class", "n_shingles", F.coalesce("component", "class").alias("component")
     )
@@ -230,24 +392,6 @@ def _star_pairs(named: DataFrame, turn: int, ratio) -> DataFrame:
     return pairs.select(*_ordered("c1", "class")).distinct()
 
 
-def _all_pairs(named: DataFrame, lists: DataFrame, ratio) -> DataFrame:
-    """Pairs of different components, one of them not the bucket's largest, from their first bucket."""
-    listed = stored(named.join(lists, "class"), "listed")
-    few = listed.where("component <> top").select(
-        "bucket",
-        F.col("class").alias("c1"),
-        F.col("n_shingles").alias("n1"),
-        F.col("component").alias("p1"),
-        F.col("buckets").alias("b1"),
-    )
-    earlier = F.arrays_overlap(F.slice("b1", F.lit(1), F.col("band")), F.slice("buckets", F.lit(1), F.col("band")))
-    once = (F.col("component") == F.col("top")) | (F.col("c1") < F.col("class"))
-    pairs = few.join(listed, "bucket").where(
-        (F.col("p1") != F.col("component")) & once & ratio(F.col("n1"), F.col("n_shingles")) & ~earlier
-    )
-    return pairs.select(*_ordered("c1", "class")).distinct()
-
-
 def _labelled(made: DataFrame, found: DataFrame) -> DataFrame:
     """Documents with the smallest id of their component."""
     least = made.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
@@ -255,22 +399,27 @@ def _labelled(made: DataFrame, found: DataFrame) -> DataFrame:
         "class", "first", F.coalesce("component", "class").alias("component")
     )
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(first, "component").select("class", "component_id")
+    ids = named.join(first, "component").select("class", "component_id", F.col("component").alias("group"))
     rows = made.select("doc_id", "key", "n_shingles", "class")
     alone = F.col("n_shingles") == 0
     with_id = rows.where(~alone).join(ids, "class").drop("class")
-    without = rows.where(alone).drop("class").withColumn("component_id", F.col("doc_id"))
-    both = with_id.select("doc_id", "key", "n_shingles", "component_id").unionByName(without)
+    without = rows.where(alone).select(
+        "doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group")
+    )
+    both = with_id.select("doc_id", "key", "n_shingles", "component_id", "group").unionByName(without)
     return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, one of each group, all columns as they were.
 
-    Rows that repeat the kept id with a text of the same group all stay.
+    That is a row with the component's id; of several such rows with different texts, the one with
+    the smallest key. Where all ids of a group are null, the smallest key stays too. Documents
+    without words and rows that repeat a kept row's id and text stay.
     """
-    gone = link(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select("key").distinct()
-    key = free_name(docs, "_key")
-    gone = gone.withColumnRenamed("key", key)
+    found = link(docs, id_col=id_col, text_col=text_col, **how).where("n_shingles > 0")
+    row, key = found.select("key", "group", "kept").distinct(), free_name(docs, "_key")
+    first = row.where("kept").groupBy("group").agg(F.min("key").alias("stays"))
+    gone = row.join(first, "group").where("key <> stays").select(F.col("key").alias(key)).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumn(key, F.xxhash64(id_col, text)).join(gone, key, "left_anti").select(*docs.columns)
