@@ -1,22 +1,24 @@
 """Secrets in texts, also in nested encodings: a worklist of decoded layers until nothing is new.
 
 The text itself is the first layer. A layer is scanned, then each decoder (URL escapes, Unicode
-escapes, base64, and base64 of gzip, zlib or zstandard data) replaces all it can read in the layer
-and so makes another one. Layers seen before, by digest, are not taken up again, so cycles end and
-the worklist runs to its fixpoint. Every character of a layer knows its span in the text: exact
-for escapes and base64, the whole run for compressed data. Base64 lines that follow each other are
-read twice, as one wrapped run and each by itself, since a list of codes looks like a wrapped one;
-so a secret across a wrap may also be listed as far as its first line goes. A run that does not
-decode is read from after a ``/``, ``-`` or ``_``. A finding of a later layer counts if it
-touches a decoded character, and is reported at its span in the text.
+escapes, base64, and base64 of gzip, zlib or zstandard data) replaces all it can read in the layer.
+What it changed, with as much around it as a match or a run can span, makes further layers, so work
+is in proportion to what was decoded and not to the text. Layers seen before, by digest, are not
+taken up again, so cycles end and the worklist runs to its fixpoint. Every character of a layer
+knows its span in the text: exact for escapes and base64, the whole run for compressed data. Base64
+lines that follow each other are read twice, as one wrapped run and each by itself, since a list of
+codes looks like a wrapped one; so a secret across a wrap may also be listed as far as its first
+line goes. A run that does not decode is read from after a ``/``, ``-`` or ``_``. Bytes that are no
+UTF-8 are read as U+FFFD: in escapes and compressed data always, in base64 where a stretch of
+``_STRETCH`` readable characters stands beside them, which chance does not make. All members of
+compressed data are read; data beyond ``most`` bytes are scanned in overlapping windows. A finding
+of a later layer counts if it touches a decoded character, and is reported at its span in the text.
 
 Findings of the first layer are always reported as they are. The patterns are fixed values.
 
-Edge cases: a null text is the empty text, without findings; base64 runs that do not decode to UTF-8
-stay as they are; what compressed data hold is read with U+FFFD for bytes that are not UTF-8;
-compressed data that would grow beyond ``most`` bytes are counted in
-``refused`` and not opened; rows that repeat an id are scanned each; an empty table gives an empty
-result. Extra columns are ignored.
+Edge cases: a null text is the empty text, without findings; compressed data of one text that would
+grow beyond ``MOST_UNPACKED`` bytes in all are read up to there and counted in ``refused``; rows
+that repeat an id are scanned each; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from ripplecast.llm.common import slices
 
 KINDS = ("assign", "access", "hex")
 MOST_BYTES = 16 << 20
+#: Bytes that all compressed data of a text may grow to, and that windows of large data share.
+MOST_UNPACKED, _OVERLAP = 1 << 30, 1 << 12
 
 # What counts as a secret.
 _ASSIGN = re.compile(
@@ -86,15 +90,25 @@ class Layer:
 Read = tuple[str, np.ndarray, np.ndarray]
 
 
-def _utf8(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Read | None:
-    """Bytes as text; ``starts`` and ``ends`` are the bytes' spans."""
+_STRAY = re.compile("[\udc80-\udcff]")
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
+
+
+def _utf8(raw: bytes, starts: np.ndarray, ends: np.ndarray, strict: bool = False) -> Read | None:
+    """Bytes as text; ``starts`` and ``ends`` are the bytes' spans. Bytes that are no UTF-8 become U+FFFD."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-    last = np.cumsum(sizes)
-    return text, starts[last - sizes], ends[last - 1]
+        if strict:
+            return None
+        text = raw.decode(errors="surrogateescape")
+    coded = np.frombuffer(raw, dtype=np.uint8)
+    first = np.flatnonzero((coded & 0xC0) != 0x80)
+    if len(first) != len(text):  # stray bytes are characters of their own
+        sizes = np.array([1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+    last = np.append(first[1:], len(raw)) - 1
+    return _STRAY.sub("\ufffd", text), starts[first], ends[last]
 
 
 def _read_url(run: str, most: int) -> Read | None:
@@ -113,32 +127,63 @@ def _read_escapes(run: str, most: int) -> Read | None:
         else:
             codes.append(code)
             spans.append(m.span())
-    if any(c > 0x10FFFF or 0xD800 <= c < 0xE000 for c in codes):
-        return None
+    codes = [0xFFFD if c > 0x10FFFF or 0xD800 <= c < 0xE000 else c for c in codes]
     return "".join(map(chr, codes)), *(np.array(side, dtype=np.int64) for side in zip(*spans))
 
 
-class _TooLarge(Exception):
-    pass
+@dataclass
+class _Large:
+    """Compressed data that grow beyond a layer's size."""
+
+    raw: bytes
+
+
+def _chunks(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What all gzip or zlib members or zstandard frames hold, and whether all were read to their end."""
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as reader:
+            while piece := reader.read(1 << 20):
+                yield piece, True
+        return
+    while _packed(raw):
+        reader, rest = zlib.decompressobj(47), raw
+        while not reader.eof:
+            piece = reader.decompress(rest, 1 << 20)
+            yield piece, reader.eof
+            rest = reader.unconsumed_tail
+            if not rest and not piece:
+                return
+        raw = reader.unused_data
+
+
+def _unpacked(raw: bytes, most: int) -> tuple[bytes, bool] | _Large | None:
+    """What compressed data hold, as far as they can be read, and whether that is to their end."""
+    if not _packed(raw):
+        return None
+    out, ended = [], False
+    try:
+        for piece, ended in _chunks(raw):
+            out.append(piece)
+            most -= len(piece)
+            if most < 0:
+                return _Large(raw)
+    except (zlib.error, zstandard.ZstdError):
+        ended = False
+    return b"".join(out), ended
 
 
-def _unpacked(raw: bytes, most: int) -> tuple[bytes, bool] | None:
-    """What gzip, zlib or zstandard data hold, and whether they were read to their end."""
+def _windows(raw: bytes, most: int) -> Iterator[bytes]:
+    """The unpacked data in windows that overlap, so that no match falls between two."""
+    held = b""
     try:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out, ended = reader.read(most + 1), True
-        elif raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            reader = zlib.decompressobj(47)
-            out = reader.decompress(raw, most + 1)
-            ended = reader.eof
-        else:
-            return None
+        for piece, _ in _chunks(raw):
+            held += piece
+            if len(held) >= most:
+                yield held
+                held = held[-_OVERLAP:]
     except (zlib.error, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise _TooLarge
-    return out, ended
+        pass
+    yield held
 
 
 def _bytes(body: str) -> bytes:
@@ -149,10 +194,10 @@ def _bytes(body: str) -> bytes:
 
 
 def _packed(raw: bytes) -> bool:
-    """Whether bytes begin as gzip, zlib or zstandard data do."""
-    if raw[:1] == b"\x78":
-        return int.from_bytes(raw[:2]) % 31 == 0
-    return raw[:2] == b"\x1f\x8b" or raw[:4] == b"\x28\xb5\x2f\xfd"
+    """Whether bytes begin as gzip, zlib or zstandard data do; zlib's window may have any size."""
+    if raw[:2] == b"\x1f\x8b" or raw[:4] == b"\x28\xb5\x2f\xfd":
+        return True
+    return len(raw) > 1 and raw[0] & 0x8F == 0x08 and int.from_bytes(raw[:2]) % 31 == 0
 
 
 def _first_bad(raw: bytes) -> int | None:
@@ -164,20 +209,27 @@ def _first_bad(raw: bytes) -> int | None:
     return None
 
 
-def _read_base64(run: str, most: int) -> Read | None:
+def _read_base64(run: str, most: int, strict: bool = True) -> Read | _Large | None:
     """A run, which may hold line ends."""
     text = run.rstrip("=")
     pos = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) > 32)
     body = "".join(text.split())
     if len(body) % 4 == 1:
-        return None
+        if strict:
+            return None
+        body, pos = body[:-1], pos[:-1]
     raw = _bytes(body)
     place = np.arange(len(raw))
     ends = pos[-(-(place + 1) * 4 // 3) - 1] + 1
     ends[-1] = len(run)
-    plain = _utf8(raw, pos[place * 4 // 3], ends)
+    plain = _utf8(raw, pos[place * 4 // 3], ends, strict)
+    if not strict:
+        return plain
     # a checksum tells packed data from text that only begins like it
-    out, ended = _unpacked(raw, most) or (b"", False)
+    opened = _unpacked(raw, most)
+    if isinstance(opened, _Large):
+        return opened
+    out, ended = opened or (b"", False)
     if not out or (plain and not ended):
         return plain
     text = out.decode(errors="replace")
@@ -185,7 +237,22 @@ def _read_base64(run: str, most: int) -> Read | None:
     return text, whole, whole + len(run)
 
 
-def _read_from(run: str, first: int, most: int) -> tuple[int, Read] | None:
+def _read_stretch(run: str, first: int, most: int) -> tuple[int, Read] | None:
+    """What a run holds beside bytes that are no text, for the first start that shows a readable stretch."""
+    tried = set()
+    for at in (0, *[m.end() for m in _JOINT.finditer(run, 0, first)]):
+        start = len(run) - len(run[at:].lstrip())
+        body = "".join(run[start:].split()).rstrip("=")
+        if len(body) < 16:
+            break
+        if len(body) % 4 not in tried:  # starts of one remainder read the same bytes
+            tried.add(len(body) % 4)
+            if _STRETCH.search(_bytes(body)):
+                return start, _read_base64(run[start:], most, strict=False)
+    return None
+
+
+def _read_from(run: str, first: int, most: int) -> tuple[int, Read | _Large] | None:
     """What a run holds, from its start or else from after a joint among its ``first`` characters.
 
     Two starts at the same place in a group of four read the same bytes, so a start is passed over
@@ -222,8 +289,8 @@ def _lines_of(text: str, m: re.Match) -> list[int]:
     return ends
 
 
-#: Runs of a text that a decoder reads: start, end, and what is read; None if it is too large.
-Runs = Iterator[tuple[int, int, Read | None]]
+#: Runs of a text that a decoder reads: start, end, and what is read.
+Runs = Iterator[tuple[int, int, Read | _Large]]
 
 
 def _runs(text: str, pattern: re.Pattern, read, most: int) -> Runs:
@@ -255,14 +322,9 @@ def _base64_runs(text: str, most: int, wrapped: bool = False) -> Runs:
             if len(ends) > 1:
                 misses.append(ends[-1])
         # the last line may be a word that follows
-        for end in sorted({ends[-1], ends[-2:][0], ends[0]}, reverse=True):
-            try:
-                found = _read_from(text[m.start() : end], ends[0] - m.start(), most)
-            except _TooLarge:
-                if not wrapped or end > ends[0]:  # others are counted one by one
-                    yield m.start(), end, None
-                at = end
-                break
+        tries = sorted({ends[-1], ends[-2:][0], ends[0]}, reverse=True)
+        for read, end in [(_read_from, end) for end in tries] + [(_read_stretch, end) for end in tries]:
+            found = read(text[m.start() : end], ends[0] - m.start(), most)
             if found:
                 yield m.start() + found[0], end, found[1]
                 at = end
@@ -277,53 +339,111 @@ def _wrapped_runs(text: str, most: int) -> Runs:
 _DECODERS = (("url", _url_runs), ("unicode", _escape_runs), ("base64", _wrapped_runs), ("base64", _base64_runs))
 
 
-def _decode(layer: Layer, name: str, runs, most: int) -> tuple[Layer | None, int]:
-    """The layer with every readable run replaced, None without any; and how many were too large."""
-    texts, arrays, at, refused = [], [], 0, 0
+_TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_CODE_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+
+
+def _cut(layer: Layer, fresh: np.ndarray) -> Iterator[Layer]:
+    """The parts of a layer around its fresh characters: whole words, two more on both sides, and
+    the lines of a wrapped run that go on from there. No match and no run spans more."""
+    marks = np.flatnonzero(np.diff(np.concatenate([[0], fresh.view(np.int8), [0]])))
+    spans = np.array([m.span() for m in _TOKEN.finditer(layer.text)], dtype=np.int64).reshape(-1, 2)
+    done = 0
+    for a, b in marks.reshape(-1, 2).tolist():
+        if b <= done:
+            continue
+        low = max(0, int(np.searchsorted(spans[:, 1], a)) - 2)
+        high = min(len(spans), int(np.searchsorted(spans[:, 0], b)) + 2)
+        while low > 0 and _CODE_LINE.fullmatch(layer.text, *spans[low - 1].tolist()):
+            low -= 1
+        while high < len(spans) and _CODE_LINE.fullmatch(layer.text, *spans[high].tolist()):
+            high += 1
+        start = min(a, int(spans[low, 0])) if low < len(spans) else a
+        stop = max(b, int(spans[high - 1, 1])) if high else b
+        start, done = min(start, a), stop
+        sides = (side[start:stop] for side in (layer.start, layer.end, layer.decoded))
+        yield Layer(layer.text[start:stop], *sides, layer.path)
+
+
+def _decode(layer: Layer, name: str, runs, most: int) -> tuple[list[Layer], list[tuple[int, int, _Large]]]:
+    """The parts of the layer that change when every readable run is replaced, and runs of large data."""
+    texts, arrays, at, large = [], [], 0, []
     for a, b, got in runs(layer.text, most):
-        if got is None:
-            refused += 1
+        if isinstance(got, _Large):
+            large.append((int(layer.start[a]), int(layer.end[b - 1]), got))
             continue
         text, starts, ends = got
         texts += [layer.text[at:a], text]
-        arrays.append((layer.start[at:a], layer.end[at:a], layer.decoded[at:a]))
-        arrays.append((layer.start[a + starts], layer.end[a + ends - 1], np.ones(len(text), dtype=bool)))
+        size, new = a - at, len(text)
+        arrays.append((layer.start[at:a], layer.end[at:a], layer.decoded[at:a], np.zeros(size, dtype=bool)))
+        arrays.append((layer.start[a + starts], layer.end[a + ends - 1], np.ones(new, dtype=bool), np.ones(new, dtype=bool)))
         at = b
     if not texts:
-        return None, refused
+        return [], large
     texts.append(layer.text[at:])
-    arrays.append((layer.start[at:], layer.end[at:], layer.decoded[at:]))
-    start, end, decoded = (np.concatenate(side) for side in zip(*arrays))
-    return Layer("".join(texts), start, end, decoded, (*layer.path, name)), refused
-
-
-def scan_text(text: str, most: int = MOST_BYTES) -> tuple[list[tuple], int, int]:
+    rest = np.zeros(len(layer.text) - at, dtype=bool)
+    arrays.append((layer.start[at:], layer.end[at:], layer.decoded[at:], rest))
+    start, end, decoded, fresh = (np.concatenate(side) for side in zip(*arrays))
+    return list(_cut(Layer("".join(texts), start, end, decoded, (*layer.path, name)), fresh)), large
+
+
+class _Scan:
+    """The worklist of one text."""
+
+    def __init__(self, text: str, most: int, unpacked: int):
+        self.most, self.left = most, unpacked
+        self.found = {(*span, "") for span in matches(text)}
+        self.spans, self.refused = {span[:3] for span in self.found}, 0
+        self.seen = {hashlib.sha256(text.encode()).digest()}
+        if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text):
+            place = np.arange(len(text))
+            self.follow(Layer(text, place, place + 1, np.zeros(len(text), dtype=bool)))
+
+    def follow(self, layer: Layer) -> None:
+        """All layers that come from one."""
+        work = [layer]
+        while work:
+            layer = work.pop()
+            for decoder in _DECODERS:
+                made, large = _decode(layer, *decoder, self.most)
+                work += [one for one in made if self.is_new(one)]
+                for start, end, data in large:
+                    self.open(start, end, data, (*layer.path, decoder[0]))
+
+    def is_new(self, layer: Layer) -> bool:
+        """Whether the layer is seen for the first time; if so, list what it holds."""
+        digest = hashlib.sha256(layer.text.encode(errors="replace") + layer.start[:1].tobytes()).digest()
+        if digest in self.seen:
+            return False
+        self.seen.add(digest)
+        for start, kind, end in matches(layer.text):
+            if layer.decoded[start:end].any():
+                span = (int(layer.start[start:end].min()), kind, int(layer.end[start:end].max()))
+                if span not in self.spans:
+                    self.spans.add(span)
+                    self.found.add((*span, ">".join(layer.path)))
+        return True
+
+    def open(self, start: int, end: int, data: _Large, path: tuple[str, ...]) -> None:
+        """Large data, one window after another; each is a layer whose span is the whole run."""
+        for raw in _windows(data.raw, self.most):
+            if self.left <= 0:
+                self.refused += 1
+                return
+            self.left -= len(raw)
+            text = raw.decode(errors="replace")
+            whole = np.zeros(len(text), dtype=np.int64)
+            layer = Layer(text, whole + start, whole + end, np.ones(len(text), dtype=bool), path)
+            if self.is_new(layer):
+                self.follow(layer)
+
+
+def scan_text(
+    text: str, most: int = MOST_BYTES, unpacked: int = MOST_UNPACKED
+) -> tuple[list[tuple], int, int]:
     """Findings (start, place of the kind, end, path; path empty in the text itself), layers, refused."""
-    found = {(*span, "") for span in matches(text)}
-    if "%" not in text and "\\" not in text and "&#" not in text and not _BASE64.search(text):
-        return sorted(found), 1, 0
-    place = np.arange(len(text))
-    work = [Layer(text, place, place + 1, np.zeros(len(text), dtype=bool))]
-    seen, spans, refused = {hashlib.sha256(text.encode()).digest()}, {span[:3] for span in found}, 0
-    while work:
-        layer = work.pop(0)
-        for decoder in _DECODERS:
-            made, large = _decode(layer, *decoder, most)
-            refused += large
-            if made is None:
-                continue
-            digest = hashlib.sha256(made.text.encode()).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            work.append(made)
-            for start, kind, end in matches(made.text):
-                if made.decoded[start:end].any():
-                    span = (int(made.start[start:end].min()), kind, int(made.end[start:end].max()))
-                    if span not in spans:
-                        spans.add(span)
-                        found.add((*span, ">".join(made.path)))
-    return sorted(found), len(seen), refused
+    scan = _Scan(text, most, unpacked)
+    return sorted(scan.found), len(scan.seen), scan.refused
 
 
 _FINDINGS = "array<struct<kind:string,start:long,end:long,layer:string>>"

@@ -2,11 +2,14 @@
 
 import base64
 import gzip
+import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -134,7 +137,7 @@ def test_secret_layers():
         assert any(a == start and start < b <= start + len(code) for a, _, b, path in found if path), name
     assert secret_scan.scan_text("") == ([], 1, 0)
     bomb = base64.b64encode(gzip.compress(b"a" * 10_000)).decode()
-    assert secret_scan.scan_text(bomb, most=1000)[2] >= 1
+    assert secret_scan.scan_text(bomb, most=1000, unpacked=2000)[2] >= 1
 
 
 @pytest.mark.parametrize("odd", ["\xa0", "\u3000", "\u200d", "\ufeff", "\f", "\u2028", "\x00"])
@@ -151,7 +154,88 @@ def test_secret_layers_of_any_text(odd):
 def test_secret_layers_of_packed_bytes():
     code = base64.b64encode(gzip.compress(b"\xff\x00 password: hunter2hunter2 \xe9")).decode()
     assert secret_scan.scan_text(f"a {code} z")[0] == [(2, 0, 2 + len(code), "base64")]
-    assert secret_scan.scan_text(base64.b64encode(b"\xff\xfe password: hunter2hunter2").decode())[:2] == ([], 1)
+    code = base64.b64encode(b"\xff\xfe password: hunter2hunter2 \xff").decode()
+    assert [x[:2] for x in secret_scan.scan_text(code)[0]] == [(4, 0)]
+    noise = base64.b64encode(np.random.default_rng(1).bytes(30_000)).decode()
+    assert secret_scan.scan_text(noise)[0] == []
+
+
+def test_secret_layers_around_bad_bytes():
+    """One byte that is no UTF-8 hides nothing of its run."""
+    secret = "token=abcdefgh12345678"
+    url = "%E9" + "".join(f"%{b:02x}" for b in secret.encode())
+    escapes = "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in secret)
+    code = base64.b64encode(b"\xff\xc3 " + secret.encode() + b" \x80").decode()
+    for text, width in ((url, 3), (escapes, 6)):
+        assert (width, 0, width * (1 + len(secret))) in {x[:3] for x in secret_scan.scan_text(text)[0]}
+    for before in ("", "key_", "a/"):
+        assert any(x[1] == 0 for x in secret_scan.scan_text(f"a {before}{code} z")[0]), before
+
+
+def test_secret_layers_of_all_members():
+    secret = b"password: hunter2hunter2"
+    small = zlib.compressobj(9, zlib.DEFLATED, 9)
+    raws = {
+        "gzip": gzip.compress(b"first ") + gzip.compress(secret),
+        "zlib": zlib.compress(b"first ") + zlib.compress(secret),
+        "zstandard": zstandard.compress(b"first ") + zstandard.compress(secret),
+        "small window": small.compress(b"first " + secret) + small.flush(),
+        "cut": gzip.compress(b"first " + secret + b" " + bytes(range(256)) * 8)[:-6],
+    }
+    for name, raw in raws.items():
+        code = base64.b64encode(raw).decode()
+        assert secret_scan.scan_text(f"a {code} z")[0] == [(2, 0, 2 + len(code), "base64")], name
+
+
+def test_secret_layers_of_large_data():
+    """Data beyond a layer's size are read in windows, also nested ones."""
+    secret = b" password: hunter2hunter2 "
+    for place in (0, 9_990, 49_000):
+        data = b"x" * place + secret + b"y" * (50_000 - place)
+        nested = base64.b64encode(gzip.compress(base64.b64encode(gzip.compress(data)))).decode()
+        for code in (base64.b64encode(gzip.compress(data)).decode(), nested):
+            found, _, refused = secret_scan.scan_text(f"a {code} z", most=10_000)
+            assert [x[:3] for x in found] == [(2, 0, 2 + len(code))] and not refused
+
+
+def test_secret_layers_cost_what_is_decoded():
+    secret = "password: hunter2hunter2"
+    url = lambda t: "".join(f"%{b:02X}" for b in t.encode())
+    escaped = lambda t: "".join(f"\\u{ord(c):04x}" for c in t)
+    code = lambda t: base64.b64encode(t.encode()).decode()
+    nested = " ".join(f(g(secret)) for f in (url, escaped, code) for g in (url, escaped, code))
+    text = "prose and more prose, " * 64_000 + nested
+    started = time.process_time()
+    found = secret_scan.scan_text(text)[0]
+    assert time.process_time() - started < 4
+    begins = [m.start() + 22 * 64_000 for m in re.finditer(r"\S+", nested)]
+    for a, b in zip(begins, [*begins[1:], len(text) + 1]):
+        assert any(a <= x[0] and x[2] < b and x[1] == 0 for x in found)
+
+
+def test_secret_layers_of_random_nestings():
+    """Secrets in random stacks of encodings among prose are found where the outermost run stands."""
+    draw = np.random.default_rng(9)
+    steps = [
+        lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    ]
+    for _ in range(60):
+        text, want = "", []
+        for _ in range(draw.integers(1, 4)):
+            inner = f"secret={''.join(draw.choice(list('abcdefgh'), 12))} ok"
+            for step in draw.choice(len(steps), draw.integers(1, 4)):
+                inner = steps[step](inner)
+            text += "some words, "
+            want.append((len(text), len(text) + len(inner)))
+            text += inner + " . "
+        found = [x for x in secret_scan.scan_text(text)[0] if x[3]]
+        for a, b in want:
+            assert any(a <= x[0] and x[2] <= b and x[1] == 0 for x in found), text
+        assert all(any(a <= x[0] and x[2] <= b for a, b in want) for x in found)
 
 
 @pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (64, "\n  ")])
@@ -228,6 +312,35 @@ def test_near(docs, none, odd):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_a_group_whose_copies_lie_about_the_threshold(rows_of, monkeypatch, block):
+    """No copy is the original: many pairs are links, many are not, some copies link with none."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    draw = np.random.default_rng(21)
+    original = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(140):
+        words = list(original)
+        for at in draw.choice(90, draw.integers(2, 14), replace=False):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words), "s"))
+    found = minhash.link(rows_of(rows), width=2, rounds=1).collect()
+    want = brute.near({i: t for i, t, _ in rows}, 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+    assert 1 < len({c for _, c in want.values()}) < 140
+
+
+def test_one_document_of_a_group_stays(rows_of):
+    """Also where ids are null or repeat with another text."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"{text} a{i}", "s") for i in range(3)] + [(5, f"{text.upper()} b c{i}", "s") for i in range(2)]
+    rows += [(9, "quite another text of its own", "s"), (None, "", "s"), (None, "", "s"), (9, "quite another text of its own", "s")]
+    kept = minhash.keep_one(rows_of(rows)).collect()
+    assert len(kept) == 1 + 4 and sum(r["doc_id"] == 9 for r in kept) == 2
+    far = [(None, f"{text} {i}", "s") for i in range(3)] + [(7, f"v{text} {i}".replace(" w", " v"), "s") for i in range(3)]
+    assert sorted(r["doc_id"] or 0 for r in minhash.keep_one(rows_of(far)).collect()) == [0, 7]
+
+
 def test_near_copies_in_chains(rows_of):
     """Groups in which most pairs, but not all, are similar enough; templates below the threshold."""
     random = np.random.default_rng(5)
