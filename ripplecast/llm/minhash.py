@@ -37,7 +37,7 @@ from ripplecast.llm.common import components, free_name, slices, stored
 from ripplecast.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 32, 4
-BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # classes and shingles of one side of a comparison
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19  # classes and shingles of one side of a comparison
 _SHIFT = 0x61C88647  # places by which the second permutation turns from one coordinate to the next
 
 
