@@ -56,6 +56,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors, in double precision, of a batch of lists of equal length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     vectors = flat.reshape(len(column), -1)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares neither over- nor underflow
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -194,8 +195,9 @@ def link(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector."""
     values = F.col("embedding")
-    square = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    finite = F.coalesce((square > 0) & (square < float("inf")) & ~F.isnan(square), F.lit(False))
+    size = lambda x: F.abs(x.cast("double"))
+    known = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (size(x) < float("inf")))
+    finite = F.coalesce(known & F.exists(values, lambda x: size(x) > 0), F.lit(False))
     named = vectors.select(
         F.col(id_col).alias("vec_id"),
         F.col(label_col).alias("label"),

@@ -343,8 +343,8 @@ _TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _CODE_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 
 
-def _cut(layer: Layer, fresh: np.ndarray) -> Iterator[Layer]:
-    """The parts of a layer around its fresh characters: whole words, two more on both sides, and
+def _cut(layer: Layer, fresh: np.ndarray) -> Iterator[tuple[int, int, Layer]]:
+    """The parts of a layer around its fresh characters and where they lie: whole words, two more on both sides, and
     the lines of a wrapped run that go on from there. No match and no run spans more."""
     marks = np.flatnonzero(np.diff(np.concatenate([[0], fresh.view(np.int8), [0]])))
     spans = np.array([m.span() for m in _TOKEN.finditer(layer.text)], dtype=np.int64).reshape(-1, 2)
@@ -362,29 +362,55 @@ def _cut(layer: Layer, fresh: np.ndarray) -> Iterator[Layer]:
         stop = max(b, int(spans[high - 1, 1])) if high else b
         start, done = min(start, a), stop
         sides = (side[start:stop] for side in (layer.start, layer.end, layer.decoded))
-        yield Layer(layer.text[start:stop], *sides, layer.path)
+        yield start, stop, Layer(layer.text[start:stop], *sides, layer.path)
+
+
+def _replaced(layer: Layer, found: list[tuple[int, int, Read]], low: int, high: int, name: str) -> tuple[Layer, np.ndarray]:
+    """The stretch of a layer with its runs replaced, and which characters are fresh."""
+    texts, arrays, at = [], [], low
+    for a, b, (text, starts, ends) in found:
+        texts += [layer.text[at:a], text]
+        new = np.ones(len(text), dtype=bool)
+        arrays.append((layer.start[at:a], layer.end[at:a], layer.decoded[at:a], np.zeros(a - at, dtype=bool)))
+        arrays.append((layer.start[a + starts], layer.end[a + ends - 1], new, new))
+        at = b
+    texts.append(layer.text[at:high])
+    rest = np.zeros(high - at, dtype=bool)
+    arrays.append((layer.start[at:high], layer.end[at:high], layer.decoded[at:high], rest))
+    start, end, decoded, fresh = (np.concatenate(side) for side in zip(*arrays))
+    return Layer("".join(texts), start, end, decoded, (*layer.path, name)), fresh
 
 
 def _decode(layer: Layer, name: str, runs, most: int) -> tuple[list[Layer], list[tuple[int, int, _Large]]]:
-    """The parts of the layer that change when every readable run is replaced, and runs of large data."""
-    texts, arrays, at, large = [], [], 0, []
+    """The parts of the layer that change when every readable run is replaced, and runs of large data.
+
+    Runs are replaced in stretches of the layer; where a part reaches the end of its stretch, all
+    are made anew with more around them.
+    """
+    found, large = [], []
     for a, b, got in runs(layer.text, most):
         if isinstance(got, _Large):
             large.append((int(layer.start[a]), int(layer.end[b - 1]), got))
-            continue
-        text, starts, ends = got
-        texts += [layer.text[at:a], text]
-        size, new = a - at, len(text)
-        arrays.append((layer.start[at:a], layer.end[at:a], layer.decoded[at:a], np.zeros(size, dtype=bool)))
-        arrays.append((layer.start[a + starts], layer.end[a + ends - 1], np.ones(new, dtype=bool), np.ones(new, dtype=bool)))
-        at = b
-    if not texts:
-        return [], large
-    texts.append(layer.text[at:])
-    rest = np.zeros(len(layer.text) - at, dtype=bool)
-    arrays.append((layer.start[at:], layer.end[at:], layer.decoded[at:], rest))
-    start, end, decoded, fresh = (np.concatenate(side) for side in zip(*arrays))
-    return list(_cut(Layer("".join(texts), start, end, decoded, (*layer.path, name)), fresh)), large
+        else:
+            found.append((a, b, got))
+    reach, size = 2048, len(layer.text)
+    while found:
+        groups, parts, whole = [], [], True
+        for one in found:
+            if groups and one[0] - reach <= groups[-1][-1][1] + reach:
+                groups[-1].append(one)
+            else:
+                groups.append([one])
+        for group in groups:
+            low, high = max(0, group[0][0] - reach), min(size, group[-1][1] + reach)
+            made, fresh = _replaced(layer, group, low, high, name)
+            for first, last, part in _cut(made, fresh):
+                whole &= (first > 0 or low == 0) and (last < len(made.text) or high == size)
+                parts.append(part)
+        if whole:
+            return parts, large
+        reach *= 16
+    return [], large
 
 
 class _Scan:

@@ -6,7 +6,7 @@ with a rate of its own; L1 keeps all weights that the data do not call for at ex
 model is a short list of (feature, weight), at most 2**BITS of them, and is broadcast.
 
 The model is fitted on at most ``rows`` labelled documents, half of each label, those with the
-smallest hashes of their id; the rest is weighed so that the labels keep their shares. Scoring
+smallest hashes of their id, one for each id; the rest is weighed so that the labels keep their shares. Scoring
 reads every whole text once and shuffles nothing.
 
 Edge cases: a null or empty text gets the score of the bias alone; without labelled rows of both
@@ -135,7 +135,8 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(w[kept])], ["place", "value"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "_id")  # at most ``rows`` ids
+    # at most ``rows`` ids; of documents that repeat one, the first text in order, so as many rows
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("text").alias("text"))
     described = sample.select(F.xxhash64("_id").alias("draw"), "_y", "text").mapInArrow(
         describe, "draw long, y int, at binary"
     )

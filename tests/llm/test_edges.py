@@ -118,6 +118,63 @@ def test_packing():
     assert (token_files.unpack(control, data, counts) == ranks).all()
 
 
+def test_vectors_of_any_size(spark):
+    """Cosines do not depend on the length of a vector, however large or small."""
+    far = [(i, [scale * x for x in (3.0, 4.0, 0.0)], 1) for i, scale in enumerate((1.0, 1e200, 1e-200, 1e-320))]
+    rows = far + [(9, [0.0, 0.0, 0.0], 1), (10, [float("inf"), 1.0, 0.0], 1), (11, [1e308, -1e308, 0.0], 1)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.link(made).collect()}
+    assert {i: found[i] for i in (0, 1, 2)} == {0: (3, 0), 1: (3, 0), 2: (3, 0)}
+    assert found[9] == (0, 9) and found[10] == (0, 10) and found[11] == (0, 11)
+
+
+def test_toxicity_learns_as_a_plain_learner(spark):
+    """FTRL-proximal one document and one feature at a time gives the same weights."""
+    draw = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(90):
+        toxic = int(draw.random() < 0.4)
+        words = list(draw.choice(["calm", "sun", "tree", "walk", "road"], 8))
+        if toxic and draw.random() < 0.9:
+            words[draw.integers(8)] = draw.choice(["vile", "foul"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows + [(0, "zzz repeats an id")], "doc_id long, text string")
+    how = {"passes": 2, "alpha": 0.5, "beta": 1.0, "l1": 0.3, "l2": 0.01, "least_docs": 3, "toxic_weight": 1.5}
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), **how)
+
+    order = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    held = [(order[i], y, toxicity.features([text.encode()])[0]) for (i, text), (_, y) in zip(rows, labels)]
+    held.sort(key=lambda one: (one[0], one[1], one[2].tobytes()))
+    seen = {}
+    for _, _, at in held:
+        for f in at.tolist():
+            seen[f] = seen.get(f, 0) + 1
+    z, n, bias = {}, {}, "bias"
+
+    def weight(f):
+        size, l1, l2 = z.get(f, 0.0), 0.0 if f == bias else how["l1"], 1e-6 if f == bias else how["l2"]
+        if abs(size) <= l1:
+            return 0.0
+        rate = (how["beta"] + n.get(f, 0.0) ** 0.5) / how["alpha"] + l2
+        return (np.sign(size) * l1 - size) / rate
+
+    for turn in range(how["passes"]):
+        for place in np.random.default_rng(turn).permutation(len(held)):
+            _, y, at = held[place]
+            own = [f for f in at.tolist() if seen[f] >= how["least_docs"]] + [bias]
+            w = {f: weight(f) for f in own}
+            slope = (1 / (1 + np.exp(-sum(w.values()))) - y) * (how["toxic_weight"] if y else 1.0)
+            for f in own:
+                before = n.get(f, 0.0)
+                n[f] = before + slope * slope
+                z[f] = z.get(f, 0.0) + slope - (n[f] ** 0.5 - before**0.5) / how["alpha"] * w[f]
+    want = {f: weight(f) for f in z if f != bias and weight(f)}
+    assert model.bias == pytest.approx(weight(bias), abs=1e-9)
+    assert dict(zip(model.places.tolist(), model.values.tolist())) == pytest.approx(want, abs=1e-9)
+    assert len(want) > 4
+
+
 def test_secret_layers():
     text = 'é token="abcdefgh" '
     inner = "password: hunter2hunter2"
@@ -312,7 +369,7 @@ def test_near(docs, none, odd):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("block", [512, 7])
+@pytest.mark.parametrize("block", [2048, 7])
 def test_a_group_whose_copies_lie_about_the_threshold(rows_of, monkeypatch, block):
     """No copy is the original: many pairs are links, many are not, some copies link with none."""
     monkeypatch.setattr(minhash, "BLOCK", block)
