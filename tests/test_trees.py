@@ -188,3 +188,17 @@ def test_lasso_from_moments(spark):
     kept = [r["feature"] for r in selection.lasso_top3(df, names, steps=steps).collect()]
     assert kept == [names[i] for i in np.argsort(-np.abs(want))[:3]]
     assert set(selection.lasso_weights(df.limit(0), names).values()) == {0.0}
+
+
+def test_rows_are_never_broadcast_to_their_nodes(spark):
+    """Whatever size Spark expects of checkpointed rows, a level's nodes are sent to them."""
+    rows = spark.range(3).selectExpr(
+        "0 AS tree", "'' AS path", "id AS row", "1D AS y", "1D AS w", "array(double(id), 1D) AS x"
+    )
+    nodes = spark.range(1).selectExpr(
+        "0 AS tree", "'' AS path", "0 AS feature", "1D AS cut", "3L AS n", "0.5D AS share", "0D AS gain", "2L AS n_left"
+    )
+    moved = trees._moved(rows, nodes)
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan
+    assert sorted(map(tuple, moved.select("path", "row", "size").collect())) == [("0", 0, 2), ("0", 1, 2), ("1", 2, 1)]
