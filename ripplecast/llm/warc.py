@@ -24,20 +24,15 @@ from pyspark.sql import functions as F
 from ripplecast.llm.common import stored
 from ripplecast.session import scratch_path
 
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed values: the alphabet of RFC 4648
+_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed values: RFC 4648
 _END = "\r\n"
 
 
 def sha1_base32(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of binary data: 32 digits for 160 bits."""
+    """Upper-case base32 of the SHA-1 of binary data: 32 digits for 160 bits, 8 for every 40 bits."""
     code = F.sha1(data)
-
-    def digit(i: Column) -> Column:
-        bits = F.conv(F.substr(code, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        value = F.pmod(F.floor(bits / F.pow(F.lit(2), 15 - 5 * (i % 4))).cast("int"), F.lit(32))
-        return F.substr(F.lit(_BASE32), value + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+    parts = [F.lpad(F.conv(F.substring(code, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), _DIGITS, _BASE32)
 
 
 def _urn(page: Column) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ripplecast.llm import queries
+from ripplecast.llm import queries, warc
 from tests.llm import brute
 
 
@@ -133,3 +133,13 @@ def test_pipeline(spark, folder, documents):
     for r in kept["bpe"]:
         own = tokenizer.encode(documents[r["doc_id"]]["text"] or "", add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
+
+
+def test_base32_of_sha1_is_compiled(spark):
+    """Equal to the plain digest, without a lambda for each of its 32 digits."""
+    texts = [None, "", *(f"page {i}" for i in range(300))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    made = rows.select("i", warc.sha1_base32(F.col("t").cast("binary")).alias("d"))
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    found = dict(map(tuple, made.collect()))
+    assert found == {i: t if t is None else brute.sha1_base32(t.encode()) for i, t in enumerate(texts)}
