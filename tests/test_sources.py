@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplecast import schemas
+from ripplecast.catalogue import data
 from ripplecast.sources import api, csvfiles, tables
 from ripplecast.streaming import ingest
 from ripplecast.streaming.ingest import incremental_ingest, ingest_tables, ingested
@@ -195,3 +196,22 @@ def test_empty_nested_columns_are_null(spark):
 def test_union_of_different_columns(spark):
     both = tables.union_years([spark.sql("select 1 a"), spark.sql("select 2 b")])
     assert both.where(F.col("a").isNull()).first()["b"] == 2
+
+
+def test_pages_of_a_drop_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    orders = "id AS o_orderkey, id % 7 AS o_custkey, 1D AS o_totalprice, DATE '2020-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority"
+    spark.range(1, 1200).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/in/orders.parquet")
+    spark.range(7).selectExpr("id AS c_custkey", "'name' AS c_name", "double(id) AS c_acctbal").write.parquet(f"{tmp_path}/in/customer.parquet")
+    spark.range(1, 1200).selectExpr("id AS l_orderkey").write.parquet(f"{tmp_path}/in/lineitem.parquet")
+    monkeypatch.setattr(data, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    settings = {"spark.sql.shuffle.partitions": "3", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        made = data.incremental_ingest(spark, f"{tmp_path}/in").groupBy("kind").count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list((tmp_path / "drop").glob("part-*.json"))) > 2
+    assert dict(map(tuple, made)) == {"post": 1199, "user": 7}
