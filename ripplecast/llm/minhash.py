@@ -200,10 +200,11 @@ def link(
         links, tested = _merged(links.unionByName(more)), tested.unionByName(pairs)
         named = _named(entries, links)
     sets = stored(_sets(texts.join(_sought(named, links), "class"), width), "sets")
-    more = stored(_with_component(named, links, sets, per_cent), "edges")
-    links = _merged(links.unionByName(more))
-    more = stored(_among_outside(named, links, sets, per_cent), "edges")
-    return _labelled(made, components(links.unionByName(more)))
+    for compare in (_with_component, _among_outside):
+        more = stored(compare(named, links, sets, per_cent), "edges")
+        if not more.isEmpty():
+            links = _merged(links.unionByName(more))
+    return _labelled(made, links.toDF("node", "component"))
 
 
 def _merged(edges: DataFrame) -> DataFrame:
