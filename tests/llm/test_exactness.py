@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ripplecast.llm import queries, warc
+from ripplecast.llm import common, queries, warc
 from tests.llm import brute
 
 
@@ -144,3 +144,14 @@ def test_base32_of_sha1_is_compiled(spark):
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
     found = dict(map(tuple, made.collect()))
     assert found == {i: t if t is None else brute.sha1_base32(t.encode()) for i, t in enumerate(texts)}
+
+
+def test_components_end_when_links_are_stars(spark, monkeypatch):
+    """Links that are stars already take no round, whichever way they point."""
+    written = []
+    monkeypatch.setattr(common, "stored", lambda df, label: written.append(label) or df.localCheckpoint())
+    stars = spark.createDataFrame([(1, 2), (3, 1), (5, 9)], "a long, b long")
+    assert dict(map(tuple, common.components(stars).collect())) == {1: 1, 2: 1, 3: 1, 5: 5, 9: 5}
+    assert written == ["links"]
+    chain = spark.createDataFrame([(i + 1, i) for i in range(9)] + [(20, 21), (21, 22)], "a long, b long")
+    assert dict(map(tuple, common.components(chain).collect())) == {**dict.fromkeys(range(10), 0), 20: 20, 21: 20, 22: 20}
