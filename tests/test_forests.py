@@ -41,11 +41,9 @@ def plain_tree(codes, w, ones, tree, settings):
         found[path] = (n, k / n, -1, 0)
         if n < settings.per_node or not 0 < k < n or len(path) >= settings.deepest():
             return
-        low, high = codes[at].min(axis=0)[None].astype(float), codes[at].max(axis=0)[None].astype(float)
         key = trees.node_key(settings.seed, tree, path)
-        order = trees.competing(key, low, high, settings.competing(codes.shape[1]))[0][0]
         least = (np.inf, -1, 0)
-        for f in order[order >= 0]:
+        for f in forests.competing(key, codes.shape[1], settings.competing(codes.shape[1]))[0]:
             for c in np.unique(codes[at, f])[:-1]:
                 goes = codes[at, f] <= c
                 cost = impurity(at[goes]) + impurity(at[~goes])
@@ -147,6 +145,25 @@ def test_forest_learns_as_sparks_own(spark, sample):
     assert abs(hits[0] - hits[1]) < 12
 
 
+def test_single_tree_is_sparks_own(spark, sample):
+    """The same columns twice: equal cuts go to the first."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    x, y = sample
+    df = table(spark, np.hstack([x, x]), y)
+    theirs, mine = DecisionTreeClassifier(labelCol="popularity", maxDepth=30).fit(df), classifiers.cart().fit(df)
+    assert np.allclose(mine.importances(10), theirs.featureImportances.toArray())
+    rows = [sorted(m.transform(df).select("tweet_id", "prediction").collect()) for m in (mine, theirs)]
+    assert rows[0] == rows[1]
+
+
+def test_every_feature_is_drawn_as_often():
+    keys = np.random.default_rng(2).integers(0, 1 << 63, size=20_000).astype(np.uint64)
+    drawn = forests.competing(keys, 5, 2)
+    assert (drawn[:, 0] != drawn[:, 1]).all()
+    assert np.allclose(np.bincount(drawn.ravel(), minlength=5) / 20_000, 0.4, atol=0.02)
+
+
 def test_forests_and_trees_stay_off_the_driver(spark, sample):
     """The fitted forest is a table; a forest of Spark ML would keep every node on the driver."""
     df = table(spark, *sample)
