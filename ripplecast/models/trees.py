@@ -9,8 +9,9 @@ depend on how its rows are dealt over tasks, its first trees are the forest of f
 greater ``per_node`` gives the same trees cut shorter.
 
 A node of more than ``group_rows`` rows is split on grouped counts: one pass for the extremes and
-one for the competing splits, of all such nodes of a level at once. A smaller node is finished by
-one task, from its rows alone; trees that start from the same few rows share them. Nothing depends
+one for the competing splits, of all such nodes of a level at once. Both walk the rows down the splits
+so far, so no tree has a copy of them before a smaller node is finished by one task, from its rows
+alone; trees that start from the same few rows share them. Nothing depends
 on ``group_rows`` but the time it takes. With ``bootstrap`` a row has a Poisson(1) weight for each
 tree and takes part in the trees where it is not 0; row counts are counts of rows, shares are weighted.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.models.features import LABEL
@@ -271,96 +272,155 @@ def _finished(small: DataFrame, settings: Settings) -> DataFrame:
     return small.groupBy("first", "last", "path").applyInArrow(run, "tree int, path string, nodes binary")
 
 
-def _bagged(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(tree, path, row, y, w, x): every tree's rows at its root."""
+def _walked(
+    batch: pa.RecordBatch, tops: Sequence[np.ndarray], marks: Sequence[np.ndarray], settings: Settings
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tree, rows, weights, marks): each tree's rows of a batch that end at a marked node of its top."""
+    number, x = batch.column("row").to_numpy(), _matrix(batch.column("x"))
+    for tree, nodes in enumerate(tops):
+        if marks[tree].max() < 0:
+            continue
+        weight = weights(settings, tree, number)
+        own = np.flatnonzero(weight > 0)
+        mark = marks[tree][leaves(nodes, x[own])]
+        held = mark >= 0
+        if held.any():
+            yield tree, own[held], weight[own[held]], mark[held]
+
+
+def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings equal marks together, where each begins in it, and the marks."""
+    order = np.argsort(mark, kind="stable")
+    ranked = mark[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    return order, first, ranked[first]
+
+
+def _extremes(
+    rows: DataFrame, tops: Sequence[np.ndarray], marks: Sequence[np.ndarray], settings: Settings, width: int
+) -> DataFrame:
+    """(node, n, w, w1, l0.., h0..): counts, weights and extremes of every marked node, a row a task first."""
+    count = sum(int((m >= 0).sum()) for m in marks)
+    names = ["n", "w", "w1", *[f"l{i}" for i in range(width)], *[f"h{i}" for i in range(width)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((count, 3))
+        low, high = np.full((count, width), np.inf), np.full((count, width), -np.inf)
         for batch in batches:
-            number = batch.column(0).to_numpy()
-            for tree in range(settings.trees):
-                w = weights(settings, tree, number)
-                own = batch.filter(pa.array(w > 0))
-                size = own.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, tree, np.int32)), pa.array([""] * size, pa.string()), *own.columns[:2],
-                     pa.array(w[w > 0]), own.column(2)],
-                    ["tree", "path", "row", "y", "w", "x"],
-                )
+            x, y = _matrix(batch.column("x")), batch.column("y").to_numpy()
+            for _, own, weight, mark in _walked(batch, tops, marks, settings):
+                order, first, at = _runs(mark)
+                sums = np.stack([np.ones(len(own)), weight, weight * y[own]], axis=1)
+                ranked = x[own[order]]
+                total[at] += np.add.reduceat(sums[order], first)
+                low[at] = np.fmin(low[at], np.fmin.reduceat(ranked, first))
+                high[at] = np.maximum(high[at], np.maximum.reduceat(ranked, first))
+        yield _node_rows(np.hstack([total, low, high]), total[:, 0] > 0, names)
+
+    made = rows.mapInArrow(run, ", ".join(["node long", *[f"{n} double" for n in names]]))
+    part = {"l": F.min, "h": F.max}
+    return made.groupBy("node").agg(*[part.get(n[0], F.sum)(n).alias(n) for n in names])
+
+
+def _sides(
+    rows: DataFrame, tops: Sequence[np.ndarray], marks: Sequence[np.ndarray], settings: Settings,
+    feature: np.ndarray, cut: np.ndarray,
+) -> DataFrame:
+    """(node, s0..): rows, weight and weight of ones that every competing split of a node sends left."""
+    names = [f"s{i}" for i in range(3 * feature.shape[1])]
 
-    return rows.mapInArrow(run, "tree int, path string, row long, y double, w double, x array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.zeros((len(feature), len(names)))
+        for batch in batches:
+            x, y = _matrix(batch.column("x")), batch.column("y").to_numpy()
+            for _, own, weight, mark in _walked(batch, tops, marks, settings):
+                order, first, at = _runs(mark)
+                sums = np.stack([np.ones(len(own)), weight, weight * y[own]], axis=1)
+                goes = (feature[mark] >= 0) & (x[own[:, None], np.maximum(feature, 0)[mark]] <= cut[mark])
+                parts = (goes[:, :, None] * sums[:, None, :]).reshape(len(own), -1)
+                left[at] += np.add.reduceat(parts[order], first)
+        yield _node_rows(left, left.any(axis=1), names)
 
+    made = rows.mapInArrow(run, ", ".join(["node long", *[f"{n} double" for n in names]]))
+    return made.groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
 
-def _drawn(extremes: DataFrame, settings: Settings) -> DataFrame:
-    """The competing splits of every node, none for those that are leaves."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            low, high = _matrix(named["low"]), _matrix(named["high"])
-            paths, trees = named["path"].to_pylist(), named["tree"].to_pylist()
-            keys = np.concatenate([node_key(settings.seed, *node) for node in zip(trees, paths)] or [np.zeros(0, np.uint64)])
-            feature, cut = competing(keys, low, high, settings.competing(low.shape[1]))
-            total = np.stack([named[c].to_numpy() for c in ("n", "w", "w1")], axis=1)
-            depth = np.array([len(p) for p in paths])
-            feature[~splittable(total, depth, settings)] = -1
-            yield pa.RecordBatch.from_arrays(
-                [*(named[c] for c in ("tree", "path", "n", "w", "w1")),
-                 pa.array(feature.tolist(), pa.list_(pa.int32())), pa.array(cut.tolist(), pa.list_(pa.float64()))],
-                ["tree", "path", "n", "w", "w1", "f", "c"],
-            )
-
-    return extremes.mapInArrow(
-        run, "tree int, path string, n double, w double, w1 double, f array<int>, c array<double>"
-    )
-
-
-def _chosen(tallied: DataFrame, settings: Settings) -> DataFrame:
-    """(tree, path, feature, cut, n, share, gain, n_left): the winning split, feature -1 for leaves."""
+def _node_rows(table: np.ndarray, kept: np.ndarray, names: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array(np.flatnonzero(kept)), *[pa.array(column) for column in table[kept].T]]
+    return pa.RecordBatch.from_arrays(columns, ["node", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            feature, cut = _matrix(named["f"]), _matrix(named["c"])
-            total = np.stack([named[c].to_numpy() for c in ("n", "w", "w1")], axis=1)
-            left = _matrix(named["left"]).reshape(*feature.shape, 3)
-            place, gain = best(feature, total, left, settings.per_leaf)
-            at = np.maximum(place, 0)[:, None]
-            pick = lambda table: np.take_along_axis(table, at, axis=1)[:, 0]
-            columns = [np.where(place >= 0, pick(feature), -1).astype(np.int32), pick(cut), total[:, 0].astype(np.int64),
-                       total[:, 2] / total[:, 1], gain, pick(left[:, :, 0]).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [named["tree"], named["path"], *map(pa.array, columns)],
-                ["tree", "path", "feature", "cut", "n", "share", "gain", "n_left"],
-            )
 
-    return tallied.mapInArrow(
-        run, "tree int, path string, feature int, cut double, n long, share double, gain double, n_left long"
-    )
+def _by_node(summed: DataFrame, count: int) -> np.ndarray:
+    """One short row for each node of more than ``group_rows`` rows, 0 where no task had any."""
+    found = np.zeros((count, len(summed.columns) - 1))
+    for row in summed.collect():
+        found[row[0]] = row[1:]
+    return found
+
 
+def _tops(rows: DataFrame, settings: Settings, width: int) -> tuple[list, list, list, list, list]:
+    """Splits (tree, path, feature, cut, gain), leaves (tree, path, n, share), and every tree's top.
 
-def _level(active: DataFrame, settings: Settings, width: int) -> DataFrame:
-    """The splits of all nodes of a level, from two grouped passes over their rows."""
-    at = ["tree", "path"]
-    extremes = active.groupBy(*at).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum("w").alias("w"),
-        F.sum(F.col("w") * F.col("y")).alias("w1"),
-        F.array(*[F.min(F.col("x")[i]) for i in range(width)]).alias("low"),
-        F.array(*[F.max(F.col("x")[i]) for i in range(width)]).alias("high"),
-    )
-    drawn = cut_lineage(_drawn(extremes, settings))
+    A top is the nodes above ``group_rows`` rows and their children; with it come the paths of its nodes
+    and, for those that a task is to finish, a mark. It is all that a level keeps: the next one walks the
+    rows down it again, so no row is stored for a tree.
+    """
+    root = np.zeros(1, dtype=NODE)
+    root["feature"] = root["left"] = -1
+    tops, paths = [root.copy() for _ in range(settings.trees)], [[""] for _ in range(settings.trees)]
+    splits, whole, gone = [], [], set()
+    waiting = [(tree, 0) for tree in range(settings.trees)]
+    while waiting:
+        marks = [np.full(len(nodes), -1) for nodes in tops]
+        for i, (tree, at) in enumerate(waiting):
+            marks[tree][at] = i
+        found = _by_node(_extremes(rows, tops, marks, settings, width), len(waiting))
+        total, low, high = found[:, :3], found[:, 3 : 3 + width], found[:, 3 + width :]
+        own = [paths[tree][at] for tree, at in waiting]
+        keys = np.concatenate([node_key(settings.seed, tree, path) for (tree, _), path in zip(waiting, own)])
+        feature, cut = competing(keys, low, high, settings.competing(width))
+        feature[~splittable(total, len(own[0]), settings)] = -1
+        left = _by_node(_sides(rows, tops, marks, settings, feature, cut), len(waiting)).reshape(*feature.shape, 3)
+        place, gain = best(feature, total, left, settings.per_leaf)
+        made, opened = [[nodes] for nodes in tops], []
+        for i, (tree, at) in enumerate(waiting):
+            gone.add((tree, at))
+            n, share = int(total[i, 0]), total[i, 2] / total[i, 1] if total[i, 1] else 0.0
+            if place[i] < 0:
+                whole += [(tree, own[i], n, float(share))] if n else []
+                continue
+            k = place[i]
+            splits.append((tree, own[i], int(feature[i, k]), float(cut[i, k]), float(gain[i])))
+            kids = len(paths[tree])
+            tops[tree]["feature"][at], tops[tree]["cut"][at], tops[tree]["left"][at] = feature[i, k], cut[i, k], kids
+            made[tree] += [root, root]
+            paths[tree] += [own[i] + "0", own[i] + "1"]
+            sizes = int(left[i, k, 0]), n - int(left[i, k, 0])
+            opened += [(tree, kids + side) for side in (0, 1) if sizes[side] > settings.group_rows]
+        tops, waiting = [np.concatenate(parts) for parts in made], opened
+    marks = [np.array([-1 if (tree, at) in gone else at for at in range(len(p))]) for tree, p in enumerate(paths)]
+    return splits, whole, tops, paths, marks
+
+
+def _small(
+    rows: DataFrame, tops: Sequence[np.ndarray], paths: Sequence[Sequence[str]], marks: Sequence[np.ndarray],
+    settings: Settings,
+) -> DataFrame:
+    """(first, last, path, row, y, x): every tree's rows at the nodes below its top."""
 
-    def tallies(k: int) -> list[Column]:
-        value = F.get("x", F.get("f", F.lit(k)))
-        goes = (F.get("f", F.lit(k)) >= 0) & (value <= F.get("c", F.lit(k)))
-        sides = (F.lit(1.0), F.col("w"), F.col("w") * F.col("y"))
-        return [F.sum(F.when(goes, part).otherwise(0.0)) for part in sides]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = [pa.array(own, pa.string()) for own in paths]
+        for batch in batches:
+            for tree, own, _, at in _walked(batch, tops, marks, settings):
+                first = np.full(len(own), tree, np.int32)
+                held = batch.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first), pa.array(first + 1), named[tree].take(pa.array(at)),
+                     *(held.column(c) for c in ("row", "y", "x"))],
+                    ["first", "last", "path", "row", "y", "x"],
+                )
 
-    cells = [cell for k in range(settings.competing(width)) for cell in tallies(k)]
-    counted = (
-        _at_node(active, drawn.select(*at, "f", "c")).groupBy(*at).agg(F.array(*cells).alias("left"))
-    )
-    return cut_lineage(_chosen(drawn.join(counted, at), settings))
+    return rows.mapInArrow(run, "first int, last int, path string, row long, y double, x array<double>")
 
 
 def _at_node(active: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -413,7 +473,6 @@ def grow(df: DataFrame, settings: Settings, label: str = LABEL) -> tuple[DataFra
     tops = spark.createDataFrame([], TOP)
     if not total:
         return tops, spark.createDataFrame([], "tree int, path string, nodes binary")
-    shape = ["first", "last", "path", "row", "y", "x"]
     if total <= settings.group_rows:  # all trees start from few rows: each task grows a run of trees
         tasks = min(settings.trees, 2 * spark.sparkContext.defaultParallelism)
         cuts = [i * settings.trees // tasks for i in range(tasks + 1)]
@@ -421,20 +480,14 @@ def grow(df: DataFrame, settings: Settings, label: str = LABEL) -> tuple[DataFra
         small = rows.select(F.explode(runs).alias("run"), F.lit("").alias("path"), "row", "y", "x")
         small = small.select("run.*", "path", "row", "y", "x")
         return tops, cut_lineage(_finished(small, settings))
-    width = len(rows.first()["x"])
-    active, small, made = cut_lineage(_bagged(rows, settings)), None, None
-    while not active.isEmpty():
-        chosen = _level(active, settings, width)
-        tops = tops.unionByName(chosen.where("feature >= 0").select("tree", "path", "feature", "cut", "gain"))
-        whole = _leaf_nodes(chosen)
-        made = whole if made is None else made.unionByName(whole)
-        moved = cut_lineage(_moved(active, chosen))
-        few = moved.where(F.col("size") <= settings.group_rows).withColumns(
-            {"first": F.col("tree"), "last": F.col("tree") + 1}
-        )
-        small = few.select(shape) if small is None else small.unionByName(few.select(shape))
-        active = moved.where(F.col("size") > settings.group_rows).drop("size")
-    return cut_lineage(tops), cut_lineage(made.unionByName(_finished(small, settings)))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // settings.group_rows))
+    rows = cut_lineage(rows.repartition(tasks, "row"))
+    splits, whole, *below = _tops(rows, settings, len(rows.first()["x"]))
+    made = _finished(_small(rows, *below, settings), settings)
+    if whole:
+        leaf = spark.createDataFrame(whole, "tree int, path string, n long, share double").withColumn("feature", F.lit(-1))
+        made = made.unionByName(_leaf_nodes(leaf))
+    return spark.createDataFrame(splits, TOP), cut_lineage(made)
 
 
 class ExtraTrees(Estimator):

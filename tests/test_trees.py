@@ -202,3 +202,12 @@ def test_rows_are_never_broadcast_to_their_nodes(spark):
     plan = moved._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan
     assert sorted(map(tuple, moved.select("path", "row", "size").collect())) == [("0", 0, 2), ("0", 1, 2), ("1", 2, 1)]
+
+
+def test_levels_store_no_rows_for_a_tree(spark, sample, monkeypatch):
+    """Rows are stored without a tree, however many levels are split on counts; what is stored for trees is nodes."""
+    stored, cut = [], trees.cut_lineage
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    tops, _ = trees.grow(table(spark, *sample), Settings(trees=4, group_rows=30))
+    assert max(len(r["path"]) for r in tops.collect()) > 1
+    assert len(stored) <= 3 and [c for c in stored if "tree" in c] == [["tree", "path", "nodes"]]
