@@ -61,11 +61,19 @@ def sentiment_class(compound: Column) -> Column:
     )
 
 
+def mean_valences(lexicon: DataFrame) -> DataFrame:
+    """(word, valence): lower-case words, a repeated one with the mean of its valences.
+
+    The words are dealt out first, since Spark evaluates the rows of a literal lexicon while it plans:
+    ``lower`` there fills tables for all of Unicode, some 3 GB of allocations at once, on the driver.
+    """
+    known = lexicon.where("word is not null and valence is not null").hint("rebalance")
+    return known.groupBy(F.lower("word").alias("word")).agg(F.avg("valence").alias("valence"))
+
+
 def valences(lexicon: DataFrame, most: int = MOST_WORDS) -> dict[str, float]:
-    """The lexicon's words; a repeated word has the mean of its valences. Raises beyond ``most`` words."""
-    known = lexicon.where("word is not null and valence is not null")
-    means = known.groupBy(F.lower("word").alias("word")).agg(F.avg("valence").alias("valence"))
-    rows = means.limit(most + 1).collect()
+    """The lexicon's words with their valences. Raises beyond ``most`` words."""
+    rows = mean_valences(lexicon).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a lexicon of more than {most} words")
     return {row["word"]: row["valence"] for row in rows}

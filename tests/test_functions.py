@@ -7,7 +7,7 @@ from ripplecast.functions import numeric as nm
 from ripplecast.functions import text as tx
 from ripplecast.functions import timeparts as tp
 from ripplecast.functions import topics as tg
-from ripplecast.functions.sentiment import sentiment_class, sentiment_score, valences
+from ripplecast.functions.sentiment import mean_valences, sentiment_class, sentiment_score, valences
 
 
 def apply(spark, values, kind, expression):
@@ -184,6 +184,13 @@ def test_sentiment_of_a_large_lexicon(spark):
         valences(lexicon, 100)
 
 
+def test_words_of_a_literal_lexicon_are_lowered_by_tasks(spark):
+    lexicon = spark.sql("SELECT * FROM VALUES ('Good', 1.0D), ('good', 2.0D), (null, 1.0D) AS l(word, valence)")
+    plan = mean_valences(lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" in plan
+    assert valences(lexicon) == {"good": 1.5}
+
+
 def test_half_even_rounding(spark):
     rounded = apply(spark, [0.125, 0.375, -0.125], "double", nm.round_half_even)
     assert rounded == [0.12, 0.38, -0.12]
