@@ -74,15 +74,19 @@ def cut_points(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
     place = F.when(F.col("values") <= _RUNS, F.col("rank")).otherwise(
         F.expr(f"cast(rows as decimal(38, 0)) * {_RUNS} div all_rows")
     )
-    runs = (
-        placed.groupBy("feature", place.alias("place"))
-        .agg(F.min("value"), F.max("value"), F.sum("n"))
-        .collect()  # features x _RUNS rows
+    runs = placed.groupBy("feature", place.cast("long").alias("place")).agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("n")
     )
-    found: list[list] = [[] for _ in range(width)]
-    for feature, _, *run in sorted(map(tuple, runs)):
-        found[feature].append(run)
-    return [cuts_of(one, bins) for one in found]
+
+    def borders(key: tuple, table: pa.Table) -> pa.Table:  # at most _RUNS + 1 rows
+        table = table.sort_by("place")
+        own = cuts_of(list(zip(*(table.column(c).to_pylist() for c in ("low", "high", "n")))), bins)
+        return pa.table({"feature": pa.array([key[0].as_py()], pa.int32()), "cuts": pa.array([own], pa.list_(pa.float64()))})
+
+    found: list[list[float]] = [[] for _ in range(width)]
+    for feature, cuts in runs.groupBy("feature").applyInArrow(borders, "feature int, cuts array<double>").collect():
+        found[feature] = cuts
+    return found
 
 
 def cells_of(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
@@ -383,8 +387,10 @@ def _joined(tops: DataFrame, subtrees: DataFrame) -> tuple[DataFrame, DataFrame]
     return tops.select("tree", "path", "feature", "cut", "gain"), subtrees
 
 
-def grow(df: DataFrame, settings: Settings, label: str = LABEL, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
-    """(tops, subtrees) of a forest, as ``trees.grow`` gives them."""
+def grow(
+    df: DataFrame, settings: Settings, label: str = LABEL, bins: int = BINS, cuts: list[list[float]] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(tops, subtrees) of a forest, as ``trees.grow`` gives them; ``cuts`` are the cut points if they are known."""
     spark = df.sparkSession
     rows = df.select(F.col(label).cast("double").alias("y"), vector_to_array("features").alias("x"))
     tops = spark.createDataFrame([], tr.TOP)
@@ -392,7 +398,7 @@ def grow(df: DataFrame, settings: Settings, label: str = LABEL, bins: int = BINS
     if head is None:
         return tops, spark.createDataFrame([], "tree int, path string, nodes binary")
     width = len(head[0])
-    cuts = cut_points(rows, width, min(bins, BINS))
+    cuts = cut_points(rows, width, min(bins, BINS)) if cuts is None else cuts
     cells = cut_lineage(cells_of(rows, cuts))
     if cells.count() <= settings.group_rows:  # all trees start from few cells: each task grows a run of trees
         tasks = min(settings.trees, 2 * spark.sparkContext.defaultParallelism)
@@ -424,21 +430,25 @@ def grow(df: DataFrame, settings: Settings, label: str = LABEL, bins: int = BINS
 class Forest(Estimator):
     """``fit`` grows the forest that the settings name; ``per_split`` 0 stands for the root of the width, rounded up."""
 
-    def __init__(self, settings: Settings, label: str = LABEL, bins: int = BINS):
+    def __init__(
+        self, settings: Settings, label: str = LABEL, bins: int = BINS, cuts: list[list[float]] | None = None
+    ):
         super().__init__()
-        self.settings, self.label, self.bins = settings, label, bins
+        self.settings, self.label, self.bins, self.cuts = settings, label, bins, cuts
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
         settings = self.settings
         if not settings.per_split:
             head = dataset.select("features").first()
             settings = replace(settings, per_split=math.ceil(math.sqrt(len(head[0]))) if head else 1)
-        return ForestModel(settings, *grow(dataset, settings, self.label, self.bins))
+        return ForestModel(settings, *grow(dataset, settings, self.label, self.bins, self.cuts))
 
 
-def random_forest(trees: int, depth: int, seed: int, label: str = LABEL) -> Forest:
+def random_forest(
+    trees: int, depth: int, seed: int, label: str = LABEL, cuts: list[list[float]] | None = None
+) -> Forest:
     """Bootstrapped trees that try the root of the number of features, rounded up, at a node."""
-    return Forest(Settings(trees, depth, 0, 1, 2, True, seed, GROUP_CELLS), label)
+    return Forest(Settings(trees, depth, 0, 1, 2, True, seed, GROUP_CELLS), label, cuts=cuts)
 
 
 def single_tree(depth: int, seed: int, label: str = LABEL) -> Forest:

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.models.classifiers import DEEPEST
 from ripplecast.models.features import LABEL
-from ripplecast.models.forests import random_forest
+from ripplecast.models.forests import BINS, cut_points, random_forest
 from ripplecast.models.trees import ExtraTrees, Settings
 from ripplecast.operators.ordering import top_k
 
@@ -105,8 +106,8 @@ def _matrix(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return assembled.select("label", "features")
 
 
-def _importances(matrix: DataFrame, width: int, trees: int, depth: int) -> list[float]:
-    return random_forest(trees, depth, SEED, "label").fit(matrix).importances(width)
+def _importances(matrix: DataFrame, cuts: list[list[float]], trees: int, depth: int) -> list[float]:
+    return random_forest(trees, depth, SEED, "label", cuts).fit(matrix).importances(len(cuts))
 
 
 def tree_importance_top3(
@@ -222,12 +223,18 @@ def lasso_top3(
 def rfe_top3(
     df: DataFrame, columns: Sequence[str], label: str = LABEL, trees: int = 100, depth: int = DEEPEST
 ) -> DataFrame:
-    """Drop the least important feature of a refitted forest until three remain."""
-    left = list(columns)
-    scores = _importances(_matrix(df, left, label), len(left), trees, depth)
+    """Drop the least important feature of a refitted forest until three remain.
+
+    A feature's cut points follow from its values alone, so they are found once for all fits.
+    """
+    left, matrix = list(columns), _matrix(df, columns, label)
+    cuts = cut_points(matrix.select(vector_to_array("features").alias("x")), len(left), BINS)
+    scores = _importances(matrix, cuts, trees, depth)
     while len(left) > KEEP_NUMERIC:
-        left.pop(scores.index(min(scores)))
-        scores = _importances(_matrix(df, left, label), len(left), trees, depth)
+        worst = scores.index(min(scores))
+        left.pop(worst)
+        cuts.pop(worst)
+        scores = _importances(_matrix(df, left, label), cuts, trees, depth)
     return top_k(_score_table(df, dict(zip(left, scores))), KEEP_NUMERIC)
 
 

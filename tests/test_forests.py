@@ -189,3 +189,30 @@ def test_no_rows_and_one_label(spark):
     df = table(spark, [[1.0], [2.0]], [1, 1])
     assert [r["prediction"] for r in classifiers.forest(3).fit(df).transform(df).collect()] == [1.0, 1.0]
     assert forests.random_forest(3, 30, 7).fit(df.limit(0)).importances(1) == [0.0]
+
+
+def test_runs_of_values_stay_off_the_driver(spark, monkeypatch):
+    rows = spark.range(3000).select(F.array(F.col("id") * 1.0, F.col("id") % 7 * 1.0, F.lit(2.0)).alias("x"))
+    kind, brought = type(rows), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: brought.append(collect(df)) or brought[-1])
+    found = forests.cut_points(rows, 3, 32)
+    assert sum(map(len, brought)) <= 3
+    assert len(found[0]) == 31 and found[1:] == [[0.5, 1.5, 2.5, 3.5, 4.5, 5.5], []]
+
+
+def test_elimination_finds_cut_points_once(spark, sample, monkeypatch):
+    x, y = sample
+    names = ["a", "b", "c", "d"]
+    rows = [(*map(float, v), int(b)) for v, b in zip(x[:, :4], y)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", popularity int")
+    calls, cut_points = [], forests.cut_points
+    for place in (forests, selection):
+        monkeypatch.setattr(place, "cut_points", lambda *a: calls.append(a) or cut_points(*a), raising=False)
+    got = dict(map(tuple, selection.rfe_top3(df, names, trees=5, depth=4).collect()))
+    assert len(calls) == 1
+    monkeypatch.undo()
+    left = [n for n in names if n in got]
+    matrix = selection._matrix(df, left, "popularity")
+    fresh = forests.random_forest(5, 4, selection.SEED, "label").fit(matrix).importances(3)
+    assert got == pytest.approx(dict(zip(left, fresh)))
