@@ -215,3 +215,21 @@ def test_pages_of_a_drop_are_written_by_several_tasks(spark, tmp_path, monkeypat
             spark.conf.set(name, value)
     assert len(list((tmp_path / "drop").glob("part-*.json"))) > 2
     assert dict(map(tuple, made)) == {"post": 1199, "user": 7}
+
+
+def test_the_ingest_query_ends_its_second_drop_between_the_tables_and_runs_it_again(spark, tmp_path, monkeypatch):
+    orders = "id AS o_orderkey, id % 7 AS o_custkey, 1D AS o_totalprice, DATE '2020-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority"
+    spark.range(1, 1200).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/in/orders.parquet")
+    spark.range(7).selectExpr("id AS c_custkey", "'name' AS c_name", "double(id) AS c_acctbal").write.parquet(f"{tmp_path}/in/customer.parquet")
+    spark.range(1, 1200).selectExpr("id AS l_orderkey").write.parquet(f"{tmp_path}/in/lineitem.parquet")
+    monkeypatch.setattr(data, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    whole, written = ingest._replace, []
+
+    def noted(rows, path, number, by):
+        written.append((number, path.rsplit("/", 1)[1]))
+        whole(rows, path, number, by)
+
+    monkeypatch.setattr(ingest, "_replace", noted)
+    made = data.incremental_ingest(spark, f"{tmp_path}/in").groupBy("kind").count().collect()
+    assert written == [(0, "tweets"), (0, "users"), (1, "tweets"), (1, "tweets"), (1, "users")]
+    assert dict(map(tuple, made)) == {"post": 1199, "user": 7}
