@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.models import evaluate, selection, trees
@@ -211,3 +212,61 @@ def test_levels_store_no_rows_for_a_tree(spark, sample, monkeypatch):
     tops, _ = trees.grow(table(spark, *sample), Settings(trees=4, group_rows=30))
     assert max(len(r["path"]) for r in tops.collect()) > 1
     assert len(stored) <= 3 and [c for c in stored if "tree" in c] == [["tree", "path", "nodes"]]
+
+
+def test_equal_rows_are_one_entry_of_a_block(spark, sample):
+    """Rows are handled in blocks, and without a bootstrap equal ones once; the forest is that of all rows."""
+    x, y = (np.concatenate([part] * 3) for part in sample)
+    df = table(spark, x, y)
+    plain = df.select(F.col("popularity").cast("double").alias("y"), vector_to_array("features").alias("x"))
+    for bootstrap, entries in ((False, len({tuple(v) for v in x})), (True, len(x))):
+        blocks = trees._blocks(plain, Settings(bootstrap=bootstrap)).collect()
+        assert sum(b["size"] for b in blocks) == entries > 4 * len(blocks)
+        assert sum(np.frombuffer(b["counts"]).sum() for b in blocks) == len(x)
+        assert sum(np.frombuffer(b["ones"]).sum() for b in blocks) == y.sum()
+    for group_rows in (1000, 30):
+        found = {}
+        tops, subtrees = trees.grow(df, Settings(trees=1, group_rows=group_rows))
+        for r in subtrees.collect():
+            found |= {p: n[0] for p, n in walk(np.frombuffer(bytes(r["nodes"]), trees.NODE), r["path"]).items() if n[2] is None}
+        whole = plain_tree(x, y, np.arange(len(x)), 0, Settings(trees=1))
+        assert found == {path: n for path, (n, _, feature, _) in whole.items() if feature is None}
+
+
+def test_a_node_of_many_equal_rows_is_finished_by_a_task(spark):
+    """What a task holds is entries, so copies of few rows need no split on counts."""
+    rows = spark.range(4000).selectExpr("id % 8 AS x", "CAST(id % 3 = 0 AS int) AS popularity")
+    df = rows.select("popularity", array_to_vector(F.array(F.col("x").cast("double"))).alias("features"))
+    tops, subtrees = trees.grow(df, Settings(trees=2, group_rows=30))
+    assert tops.count() == 0 and sorted(r["tree"] for r in subtrees.collect()) == [0, 1]
+
+
+def test_features_that_vary_late_compete_in_tops_and_tasks(spark):
+    """Where none of the first features drawn varies, the first one that does takes their place."""
+    draw = np.random.default_rng(5)
+    x = np.ones((300, 9))
+    x[:, 7], x[:, 8] = draw.normal(size=300), draw.normal(size=300)
+    y = (x[:, 7] + draw.normal(size=300) > 1).astype(int)
+    for group_rows in (1000, 60):
+        tops, subtrees = trees.grow(table(spark, x, y), Settings(trees=3, per_split=1, group_rows=group_rows))
+        for tree in range(3):
+            found = {r["path"]: r["feature"] for r in tops.collect() if r["tree"] == tree}
+            for r in subtrees.collect():
+                if r["tree"] == tree:
+                    nodes = walk(np.frombuffer(bytes(r["nodes"]), trees.NODE), r["path"])
+                    found |= {path: node[2] for path, node in nodes.items()}
+            want = plain_tree(x, y, np.arange(300), tree, Settings(trees=3, per_split=1))
+            assert found == {path: node[2] for path, node in want.items()}
+
+
+def test_no_tree_of_a_larger_forest_comes_to_the_driver(spark, sample, monkeypatch):
+    df = table(spark, *sample)
+    model = ExtraTrees(Settings(trees=6)).fit(df)
+    want = sorted(model.transform(df).select("tweet_id", "prediction").collect())
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(trees, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(self.columns) or collect(self))
+    scored = model.transform(df)
+    assert seen and not any("nodes" in columns for columns in seen)
+    assert scored.columns == [*df.columns, "prediction"]
+    assert sorted(scored.select("tweet_id", "prediction").collect()) == want
