@@ -9,7 +9,8 @@ A node draws ``per_split`` features into a reservoir, and the cut with the lowes
 two sides wins, the first one drawn among equals. A node is a leaf when it is pure, at ``depth``, or
 when no cut of the drawn features removes impurity; leaves of one parent that predict the same become
 one. These are the rules of Spark ML, whose single tree is this one. As in ``trees``, draws are hashes of (seed, tree, path of the node) and of the cell, nodes of more than
-``group_rows`` cells are split on grouped counts, and one task finishes a smaller one.
+``group_rows`` cells are split on grouped counts, which walk the cells down the splits so far, and one task
+finishes a smaller one. Cells travel in blocks, so no tree has a copy of them before that.
 No tree comes to the driver whole; the fitted model is that of ``trees``.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -179,7 +180,7 @@ def cheapest(key: np.ndarray, sums: np.ndarray, total: np.ndarray, per_leaf: int
 
 def _tallied(key: np.ndarray, weight: np.ndarray, ones: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys that occur, ascending, and their sums."""
-    if top <= 2 * len(key):
+    if top <= 16 * len(key):  # a small table of all keys costs less than a sort
         seen = np.bincount(key, minlength=top) > 0
         found = np.flatnonzero(seen)
         return found, np.stack([np.bincount(key, w, top)[found] for w in (weight, ones)], axis=1)
@@ -197,7 +198,8 @@ def finish(
 ) -> list[np.ndarray]:
     """The subtree of every (tree, path) whose node holds these cells; ``cut`` is a code."""
     keys = np.concatenate([tr.node_key(settings.seed, tree, path) for tree, path in starts])
-    depth, compete = len(starts[0][1]), settings.competing(codes.shape[1])
+    depth, width, compete = len(starts[0][1]), codes.shape[1], settings.competing(codes.shape[1])
+    flat = codes.ravel()
     both = [weights(settings, tree, ids, n0, n1) for tree, _ in starts]
     held = [np.flatnonzero(w > 0) for w, _ in both]
     node = np.repeat(np.arange(len(starts)), [len(h) for h in held])
@@ -221,12 +223,12 @@ def finish(
             break
         order = np.argsort(node, kind="stable")
         node, at, weight, ones = node[order], at[order], weight[order], ones[order]
-        inside, own = total[open_], codes[at]
-        feature = competing(keys[open_], codes.shape[1], compete)
+        inside, place_of = total[open_], at * width
+        feature = competing(keys[open_], width, compete)
         cost = np.full(len(inside), np.inf)
         chosen, edge = np.full(len(inside), -1), np.zeros(len(inside), dtype=np.int64)
         for k in range(feature.shape[1]):
-            code = np.take_along_axis(own, feature[node, k][:, None], axis=1)[:, 0]
+            code = flat.take(place_of + feature[node, k])
             tally = _tallied(node * BINS + code, weight, ones, len(inside) * BINS)
             lowest, place = cheapest(*tally, inside, settings.per_leaf)
             better = lowest < cost
@@ -235,7 +237,7 @@ def finish(
         split = gain > _LEAST_GAIN
         parents = np.flatnonzero(open_)[split]
         made["feature"][parents], made["cut"][parents], made["gain"][parents] = chosen[split], edge[split], gain[split]
-        goes = np.take_along_axis(own, np.maximum(chosen, 0)[node][:, None], axis=1)[:, 0] <= edge[node]
+        goes = flat.take(place_of + np.maximum(chosen, 0)[node]) <= edge[node]
         kept = split[node]
         node = ((np.cumsum(split) - 1)[node] * 2 + ~goes)[kept]
         at, weight, ones = at[kept], weight[kept], ones[kept]
@@ -264,28 +266,64 @@ def pruned(nodes: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ DataFrames
 
-_SHAPE = ["first", "last", "path", "id", "n0", "n1", "codes"]
+#: Cells in one row; codes stand feature by feature.
+_BLOCK = "size int, ids binary, n0 binary, n1 binary, codes binary"
+_BLOCK_NAMES = ["size", "ids", "n0", "n1", "codes"]
 
 
-def _codes(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _block(ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, lines: np.ndarray) -> list[pa.Array]:
+    parts = (np.ascontiguousarray(part).tobytes() for part in (ids, n0, n1, lines))
+    return [pa.array([len(ids)], pa.int32()), *[pa.array([part], pa.binary()) for part in parts]]
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            numbers = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", "n0", "n1"))
+            lines = np.concatenate([tr._matrix(b.column("codes")) for b in held]).astype(np.int8).T
+            return pa.RecordBatch.from_arrays(_block(*numbers, lines), _BLOCK_NAMES)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= tr._BLOCK_ROWS:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    return cells.select("id", "n0", "n1", "codes").mapInArrow(run, _BLOCK)
+
+
+def _cells(table: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
+    """(codes feature by feature, n0, n1, ids) of all blocks of a table."""
+    sizes = table.column("size").to_pylist()
+    lines, end = np.empty((width, sum(sizes)), dtype=np.int8), 0
+    for size, codes in zip(sizes, table.column("codes")):
+        lines[:, end : end + size] = np.frombuffer(codes.as_buffer(), np.int8).reshape(width, size)
+        end += size
+    numbers = (
+        np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in table.column(name)]) for name in ("n0", "n1", "ids")
+    )
+    return lines, *numbers
 
 
 def _finished(small: DataFrame, settings: Settings, cuts: list[list[float]]) -> DataFrame:
-    """(tree, path, nodes): trees ``first`` to ``last`` - 1 from their common cells at a path."""
+    """(tree, path, nodes): trees ``first`` to ``last`` - 1 from the blocks of their common cells at a path."""
     table_of = np.array([[*one, *[np.inf] * (BINS - len(one))] for one in cuts])
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last, path = key[0].as_py(), key[1].as_py(), key[2].as_py()
-        parts = [
-            (_codes(b.column("codes"), len(cuts)), *(b.column(c).to_numpy() for c in ("n0", "n1", "id"))) for b in batches
-        ]
-        cells = [np.concatenate(part) for part in zip(*parts)]
-        step = max(1, _ENTRIES // max(1, len(cells[1])))
+        lines, *numbers = _cells(pa.Table.from_batches(list(batches)), len(cuts))
+        codes = np.ascontiguousarray(lines.T)
+        del lines
+        step = max(1, _ENTRIES // max(1, len(codes)))
         for at in range(first, last, step):
             starts = [(tree, path) for tree in range(at, min(last, at + step))]
-            made = finish(*cells, starts, settings)
+            made = finish(codes, *numbers, starts, settings)
             for nodes in made:
                 split = nodes["feature"] >= 0
                 nodes["cut"][split] = table_of[nodes["feature"][split], nodes["cut"][split].astype(int)]
@@ -298,67 +336,120 @@ def _finished(small: DataFrame, settings: Settings, cuts: list[list[float]]) ->
     return small.groupBy("first", "last", "path").applyInArrow(run, "tree int, path string, nodes binary")
 
 
-def _bagged(cells: DataFrame, settings: Settings) -> DataFrame:
-    """Every tree's cells at its root, with the drawn weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n0, n1 = (batch.column(i).to_numpy() for i in range(3))
-            for tree in range(settings.trees):
-                w, ones = weights(settings, tree, ids, n0, n1)
-                own = batch.filter(pa.array(w > 0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(own.num_rows, tree, np.int32)), pa.array([""] * own.num_rows, pa.string()),
-                     pa.array(w[w > 0]), pa.array(ones[w > 0]), *own.columns],
-                    ["tree", "path", "w", "w1", "id", "n0", "n1", "codes"],
-                )
-
-    schema = "tree int, path string, w double, w1 double, id long, n0 long, n1 long, codes array<tinyint>"
-    return cells.select("id", "n0", "n1", "codes").mapInArrow(run, schema)
-
+def _draw(settings: Settings, n0: np.ndarray, n1: np.ndarray, ids: np.ndarray) -> Callable[[int], tuple[np.ndarray, ...]]:
+    def of(tree: int) -> tuple[np.ndarray, ...]:
+        w, ones = weights(settings, tree, ids, n0, n1)
+        at = np.flatnonzero(w > 0)
+        return at, w[at], ones[at]
+
+    return of
+
+
+def _chosen(
+    blocks: DataFrame, tops: Sequence[np.ndarray], marks: Sequence[np.ndarray], settings: Settings,
+    asked: np.ndarray, depth: int, width: int,
+) -> DataFrame:
+    """(node, feature, code, n, share, gain, n_left, cells): the winning cut of every marked node, feature -1 for leaves."""
+    count = asked.shape[1]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(asked), count, BINS, 3))
+        for block in tr._each(batches):
+            lines, *numbers = _cells(block, width)
+            for _, mark, own, weight, ones in tr._walked(lines, _draw(settings, *numbers), tops, marks):
+                for k, feature in enumerate(asked[mark]):
+                    code = lines[feature][own]
+                    for j, value in enumerate((weight, ones, None)):
+                        sums[mark, k, :, j] += np.bincount(code, value, BINS)
+        sums = sums.reshape(-1, 3)
+        place = np.flatnonzero(sums[:, 2])
+        node, at = np.divmod(place, count * BINS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part) for part in (node, at, *sums[place].T)], ["node", "place", "w", "w1", "c"]
+        )
 
-def _level(active: DataFrame, settings: Settings, width: int) -> DataFrame:
-    """(tree, path, feature, code, n, share, gain, n_left): the winning cut of every node, feature -1 for leaves."""
-    tally = (
-        active.select("tree", "path", "w", "w1", F.posexplode("codes").alias("feature", "code"))
-        .groupBy("tree", "path", "feature", "code")
-        .agg(F.sum("w").alias("w"), F.sum("w1").alias("w1"), F.count(F.lit(1)).alias("c"))
-    )  # at most width x BINS rows a node
+    tallied = blocks.mapInArrow(tally, "node long, place long, w double, w1 double, c double")
+    summed = tallied.groupBy("node", "place").agg(*[F.sum(c).alias(c) for c in ("w", "w1", "c")])
 
-    def choose(key: tuple, table: pa.Table) -> pa.Table:
-        tree, path = key[0].as_py(), key[1].as_py()
-        feature, code, w, w1, c = (table.column(n).to_numpy() for n in ("feature", "code", "w", "w1", "c"))
-        order = np.lexsort((code, feature))
-        feature, code, c, sums = feature[order], code[order], c[order], np.stack([w, w1], axis=1)[order]
-        total = sums[feature == 0].sum(axis=0)[None]
+    def choose(key: tuple, table: pa.Table) -> pa.Table:  # at most count x BINS rows
+        node, table = key[0].as_py(), table.sort_by("place")
+        place, w, w1, c = (table.column(n).to_numpy() for n in ("place", "w", "w1", "c"))
+        k, code, sums = place // BINS, place % BINS, np.stack([w, w1], axis=1)
+        total = sums[k == 0].sum(axis=0)[None]
         found = (np.inf, -1, 0, 0)
-        if _is_open(total, len(path), settings)[0]:
-            for own in competing(tr.node_key(settings.seed, tree, path), width, settings.competing(width))[0]:
-                at = feature == own
-                lowest, place = cheapest(code[at].astype(np.int64), sums[at], total, settings.per_leaf)
+        if _is_open(total, depth, settings)[0]:
+            for i, own in enumerate(asked[node]):
+                at = k == i
+                lowest, cut = cheapest(code[at], sums[at], total, settings.per_leaf)
                 if lowest[0] < found[0]:
-                    found = (lowest[0], own, place[0], c[at & (code <= place[0])].sum())
+                    found = (lowest[0], own, cut[0], c[at & (code <= cut[0])].sum())
         gain = float(tr._impurity(total[:, 0], total[:, 1])[0] - found[0])
-        cost, own, place, left = found if gain > _LEAST_GAIN else (0.0, -1, 0, 0)
-        row = dict(tree=tree, path=path, feature=int(own), code=int(place), n=int(total[0, 0]),
-                   share=float(total[0, 1] / total[0, 0]), gain=max(gain, 0.0), n_left=int(left),
-                   cells=int(c[feature == 0].sum()))
-        return pa.Table.from_pylist([row], pa.schema([
-            ("tree", pa.int32()), ("path", pa.string()), ("feature", pa.int32()), ("code", pa.int32()), ("n", pa.int64()),
-            ("share", pa.float64()), ("gain", pa.float64()), ("n_left", pa.int64()), ("cells", pa.int64())]))
-
-    schema = "tree int, path string, feature int, code int, n long, share double, gain double, n_left long, cells long"
-    return cut_lineage(tally.groupBy("tree", "path").applyInArrow(choose, schema))
-
-
-def _moved(active: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The cells of split nodes at the children, with the children's cell counts."""
-    goes = F.get("codes", "feature") <= F.col("code")
-    cut = chosen.where("feature >= 0").select("tree", "path", "feature", "code", "n_left", "cells")
-    return tr._at_node(active, cut).select(
-        "tree", F.concat("path", F.when(goes, "0").otherwise("1")).alias("path"), "w", "w1", "id", "n0", "n1", "codes",
-        F.when(goes, F.col("n_left")).otherwise(F.col("cells") - F.col("n_left")).alias("size"),
-    )
+        _, own, cut, left = found if gain > _LEAST_GAIN else (0.0, -1, 0, 0)
+        row = (node, own, cut, total[0, 0], total[0, 1] / total[0, 0], max(gain, 0.0), left, c[k == 0].sum())
+        kinds = (int, int, int, int, float, float, int, int)
+        return pa.table([pa.array([kind(v)]) for v, kind in zip(row, kinds)], _CHOSEN.split())
+
+    kinds = zip(_CHOSEN.split(), ("long", "long", "long", "long", "double", "double", "long", "long"))
+    return summed.groupBy("node").applyInArrow(choose, ", ".join(map(" ".join, kinds)))
+
+
+_CHOSEN = "node feature code n share gain n_left cells"
+
+
+def _tops(blocks: DataFrame, settings: Settings, cuts: list[list[float]]) -> tuple[list, list, list, list, list]:
+    """Splits (tree, path, feature, cut, gain, n, share), leaves (tree, path, n, share), and every tree's top.
+
+    As in ``trees``: nodes above ``group_rows`` cells and their children, walked again on each level; cuts are codes.
+    """
+    width, root = len(cuts), np.zeros(1, dtype=NODE)
+    root["feature"] = root["left"] = -1
+    tops, paths = [root.copy() for _ in range(settings.trees)], [[""] for _ in range(settings.trees)]
+    splits, whole, gone = [], [], set()
+    waiting = [(tree, 0) for tree in range(settings.trees)]
+    while waiting:
+        marks = [np.full(len(nodes), -1) for nodes in tops]
+        for i, (tree, at) in enumerate(waiting):
+            marks[tree][at] = i
+        own = [paths[tree][at] for tree, at in waiting]
+        keys = np.concatenate([tr.node_key(settings.seed, tree, path) for (tree, _), path in zip(waiting, own)])
+        asked = competing(keys, width, settings.competing(width))
+        gone.update(waiting)
+        made, opened = [[nodes] for nodes in tops], []
+        for row in _chosen(blocks, tops, marks, settings, asked, len(own[0]), width).collect():  # a row a node
+            tree, at = waiting[row["node"]]
+            path, feature, code = own[row["node"]], row["feature"], row["code"]
+            if feature < 0:
+                whole.append((tree, path, row["n"], row["share"]))
+                continue
+            splits.append((tree, path, feature, float(cuts[feature][code]), row["gain"], row["n"], row["share"]))
+            kids = len(paths[tree])
+            tops[tree]["feature"][at], tops[tree]["cut"][at], tops[tree]["left"][at] = feature, code, kids
+            made[tree] += [root, root]
+            paths[tree] += [path + "0", path + "1"]
+            sizes = row["n_left"], row["cells"] - row["n_left"]
+            opened += [(tree, kids + side) for side in (0, 1) if sizes[side] > settings.group_rows]
+        tops, waiting = [np.concatenate(parts) for parts in made], sorted(opened)
+    marks = [np.array([-1 if (tree, at) in gone else at for at in range(len(p))]) for tree, p in enumerate(paths)]
+    return splits, whole, tops, paths, marks
+
+
+def _small(
+    blocks: DataFrame, tops: Sequence[np.ndarray], paths: Sequence[Sequence[str]], marks: Sequence[np.ndarray],
+    settings: Settings, width: int,
+) -> DataFrame:
+    """(first, last, path, block): every tree's cells at the nodes below its top."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tr._each(batches):
+            lines, n0, n1, ids = _cells(block, width)
+            for tree, at, own, _, _ in tr._walked(lines, _draw(settings, n0, n1, ids), tops, marks):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tree], pa.int32()), pa.array([tree + 1], pa.int32()), pa.array([paths[tree][at]]),
+                     *_block(ids[own], n0[own], n1[own], lines.take(own, axis=1))],
+                    ["first", "last", "path", *_BLOCK_NAMES],
+                )
+
+    return blocks.mapInArrow(run, f"first int, last int, path string, {_BLOCK}")
 
 
 def _joined(tops: DataFrame, subtrees: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -399,32 +490,19 @@ def grow(
         return tops, spark.createDataFrame([], "tree int, path string, nodes binary")
     width = len(head[0])
     cuts = cut_points(rows, width, min(bins, BINS)) if cuts is None else cuts
-    cells = cut_lineage(cells_of(rows, cuts))
-    if cells.count() <= settings.group_rows:  # all trees start from few cells: each task grows a run of trees
+    blocks = cut_lineage(_blocks(cells_of(rows, cuts)))
+    if blocks.agg(F.sum("size")).first()[0] <= settings.group_rows:  # few cells: each task grows a run of trees
         tasks = min(settings.trees, 2 * spark.sparkContext.defaultParallelism)
         ends = [i * settings.trees // tasks for i in range(tasks + 1)]
         runs = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in zip(ends, ends[1:])])
-        small = cells.select(F.explode(runs).alias("run"), F.lit("").alias("path"), "id", "n0", "n1", "codes")
-        return tops, cut_lineage(_finished(small.select("run.*", *_SHAPE[2:]), settings, cuts))
-    active, small, made = cut_lineage(_bagged(cells, settings)), None, None
-    tops = spark.createDataFrame([], f"{tr.TOP}, n long, share double")
-    real = F.array(*[F.array(*[F.lit(float(c)) for c in one]).cast("array<double>") for one in cuts])
-    while not active.isEmpty():
-        chosen = _level(active, settings, width)
-        split = chosen.where("feature >= 0")
-        cut = F.get(F.get(real, F.col("feature")), F.col("code")).alias("cut")
-        tops = tops.unionByName(split.select("tree", "path", "feature", cut, "gain", "n", "share"))
-        whole = tr._leaf_nodes(chosen)
-        made = whole if made is None else made.unionByName(whole)
-        moved = cut_lineage(_moved(active, chosen))
-        few = moved.where(F.col("size") <= settings.group_rows).withColumns(
-            {"first": F.col("tree"), "last": F.col("tree") + 1}
-        )
-        small = few.select(_SHAPE) if small is None else small.unionByName(few.select(_SHAPE))
-        active = moved.where(F.col("size") > settings.group_rows).drop("size")
-    if small is not None:
-        made = made.unionByName(_finished(small, settings, cuts))
-    return _joined(cut_lineage(tops), cut_lineage(made))
+        small = blocks.select(F.explode(runs).alias("run"), F.lit("").alias("path"), *_BLOCK_NAMES)
+        return tops, cut_lineage(_finished(small.select("run.*", "path", *_BLOCK_NAMES), settings, cuts))
+    splits, whole, *below = _tops(blocks, settings, cuts)
+    made = _finished(_small(blocks, *below, settings, width), settings, cuts)
+    if whole:
+        leaf = spark.createDataFrame(whole, "tree int, path string, n long, share double").withColumn("feature", F.lit(-1))
+        made = made.unionByName(tr._leaf_nodes(leaf))
+    return _joined(spark.createDataFrame(splits, f"{tr.TOP}, n long, share double"), cut_lineage(made))
 
 
 class Forest(Estimator):

@@ -21,7 +21,7 @@ tree and takes part in the trees where it is not 0; row counts are counts of row
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -442,13 +442,12 @@ def _finished(small: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _walked(
-    block: pa.RecordBatch, tops: Sequence[np.ndarray], marks: Sequence[np.ndarray], settings: Settings
-) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tree, mark, entries, weights, weights of ones, lines of values, 0/1 lines) of each tree's marked nodes.
+    cols: np.ndarray, drawn: Callable[[int], tuple[np.ndarray, ...]], tops: Sequence[np.ndarray], marks: Sequence[np.ndarray]
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tree, mark, entries, weights, weights of ones) of each tree's marked nodes; ``drawn`` gives a tree's entries.
 
     Marked nodes are leaves of the top; branches without one are not walked.
     """
-    cols, bits, counts, ones, rows = _entries(block)
     for tree, nodes in enumerate(tops):
         if marks[tree].max() < 0:
             continue
@@ -456,17 +455,22 @@ def _walked(
         for at in range(len(nodes) - 1, -1, -1):  # children come after their parent
             if left[at] >= 0:
                 sought[at] = sought[left[at]] or sought[left[at] + 1]
-        drawn, weight, hits = _drawn(counts, ones, rows, tree, settings)
-        waiting = [(0, np.arange(len(drawn)))]
+        own, weight, hits = drawn(tree)
+        waiting = [(0, np.arange(len(own)))] if len(own) else []
         while waiting:
-            at, own = waiting.pop()
+            at, inside = waiting.pop()
             if marks[tree][at] >= 0:
-                yield tree, int(marks[tree][at]), drawn[own], weight[own], hits[own], cols, bits
+                yield tree, int(marks[tree][at]), own[inside], weight[inside], hits[inside]
                 continue
-            goes = cols[nodes["feature"][at]][drawn[own]] <= nodes["cut"][at]
+            goes = cols[nodes["feature"][at]][own[inside]] <= nodes["cut"][at]
             for kid, side in ((left[at], goes), (left[at] + 1, ~goes)):
                 if sought[kid] and side.any():
-                    waiting.append((kid, own[side]))
+                    waiting.append((kid, inside[side]))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block at a time."""
+    return (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
 
 
 def _extremes(
@@ -478,8 +482,10 @@ def _extremes(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(asked), 4))
         low, high = np.full(asked.shape, np.inf), np.full(asked.shape, -np.inf)
-        for block in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            for _, mark, own, weight, hits, cols, _ in _walked(block, tops, marks, settings):
+        for block in _each(batches):
+            cols, _, *numbers = _entries(block)
+            draw = lambda tree: _drawn(*numbers, tree, settings)  # noqa: B023, E731
+            for _, mark, own, weight, hits in _walked(cols, draw, tops, marks):
                 n = len(own) if settings.bootstrap else weight.sum()
                 total[mark] += n, weight.sum(), hits.sum(), len(own)
                 for k, feature in enumerate(asked[mark]):
@@ -501,8 +507,10 @@ def _sides(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.zeros((*feature.shape, 4))
-        for block in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            for _, mark, own, weight, hits, cols, _ in _walked(block, tops, marks, settings):
+        for block in _each(batches):
+            cols, _, *numbers = _entries(block)
+            draw = lambda tree: _drawn(*numbers, tree, settings)  # noqa: B023, E731
+            for _, mark, own, weight, hits in _walked(cols, draw, tops, marks):
                 for k in np.flatnonzero(feature[mark] >= 0):
                     goes = cols[feature[mark, k]][own] <= cut[mark, k]
                     sent = weight[goes].sum()
@@ -598,9 +606,10 @@ def _small(
     """(first, last, path, block): every tree's entries at the nodes below its top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            _, _, counts, ones, rows = _entries(block)
-            for tree, at, own, _, _, cols, bits in _walked(block, tops, marks, settings):
+        for block in _each(batches):
+            cols, bits, counts, ones, rows = _entries(block)
+            draw = lambda tree: _drawn(counts, ones, rows, tree, settings)  # noqa: B023, E731
+            for tree, at, own, _, _ in _walked(cols, draw, tops, marks):
                 sent = _block(rows[own] if settings.bootstrap else rows, counts[own], ones[own], cols.take(own, axis=1), bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([tree], pa.int32()), pa.array([tree + 1], pa.int32()), pa.array([paths[tree][at]]), *sent],
@@ -814,7 +823,7 @@ class ForestModel(Model, MLWritable, MLReadable):
             run, made = key[0].as_py(), []
             held = zip(zip(trees.column("tree").to_pylist(), trees.column("path").to_pylist()), trees.column("nodes"))
             known = _known(((at, nodes.as_buffer()) for at, nodes in held), per_node)
-            for block in (blocks.slice(i, 1) for i in range(blocks.num_rows)):
+            for block in _each([blocks]):
                 cols = np.empty((block.column("width")[0].as_py(), block.column("size")[0].as_py()))
                 _decode(block.column("x")[0].as_buffer(), cols)
                 found = summed_shares(cols, known, sent.value, upto, len(per_node))

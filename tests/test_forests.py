@@ -216,3 +216,12 @@ def test_elimination_finds_cut_points_once(spark, sample, monkeypatch):
     matrix = selection._matrix(df, left, "popularity")
     fresh = forests.random_forest(5, 4, selection.SEED, "label").fit(matrix).importances(3)
     assert got == pytest.approx(dict(zip(left, fresh)))
+
+
+def test_levels_store_no_cells_for_a_tree(spark, sample, monkeypatch):
+    """Cells are stored in blocks and without a tree, however many levels are split on counts."""
+    stored, cut = [], forests.cut_lineage
+    monkeypatch.setattr(forests, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    tops, _ = forests.grow(table(spark, *sample), Settings(4, 30, 2, 1, 2, True, 7, 40))
+    assert tops.count() > 4
+    assert [c for c in stored if "tree" in c] == [["tree", "path", "nodes"]] and len(stored) <= 2
