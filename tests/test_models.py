@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -371,3 +372,19 @@ def test_registered_queries_use_library_settings_and_kept_columns(spark, monkeyp
     monkeypatch.setattr(evaluate, "grid_scores", recorded("grid_scores", None))
     learning.grid_search(spark, "")
     assert calls["grid_scores"][1] == {} and len(calls["grid_scores"][0]) == 1
+
+
+def test_boosting_sums_blocks_and_explodes_no_rows(spark, monkeypatch):
+    """A round reads what was kept once, in blocks; its sums are those of all rows."""
+    x = [[float(i % 7), float(i % 2), float(i * 37 % 101)] for i in range(400)]
+    rows = [(v, int(v[2] > 60 or v[0] > 4)) for v in x]
+    df = spark.createDataFrame(rows, "x array<double>, popularity int").select("popularity", array_to_vector("x").alias("features"))
+    kept, persist = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self: kept.append(self) or persist(self))
+    model = classifiers.AdaBoost(2).fit(df)
+    assert [k.columns for k in kept] == [["y", "codes"]] and kept[0].dtypes[1][1] == "binary"
+    feature, cut, below, above, vote = model.state["stumps"][0]
+    sides = [[y for v, y in rows if (v[feature] <= cut) == low] for low in (True, False)]
+    assert [below, above] == [1.0 if 2 * sum(side) > len(side) else -1.0 for side in sides]
+    missed = sum(min(sum(side), len(side) - sum(side)) for side in sides) / len(rows)
+    assert vote == pytest.approx(math.log((1 - missed) / missed)) and len(model.state["stumps"]) == 2
