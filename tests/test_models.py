@@ -1,8 +1,8 @@
 """Encodings, selection, oversampling, models and evaluation."""
 
+import math
 from pathlib import Path
 
-import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
